@@ -29,23 +29,31 @@ def exact_groups(
     is smaller than any other and stays only where all ids of its group are null. An empty table gives no rows. Other columns of
     the input are not looked at.
     """
-    n = salts(docs.sparkSession)
+    words = -(-min(240, salts(docs.sparkSession)) // 60)
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         normalise(F.coalesce(F.col(text_col), F.lit(""))).alias("content"),
-        F.pmod(F.spark_partition_id(), F.lit(n)).alias("salt"),
+        F.pmod(F.spark_partition_id(), F.lit(60 * words)).alias("salt"),
     ).withColumn("digest", F.sha2("content", 256))
 
     by_salt = rows.groupBy("digest", "salt", "content").agg(F.max("doc_id").alias("best"), F.count("*").alias("n"))
-    by_text = by_salt.groupBy("digest", "content").agg(F.max("best").alias("keep_id"), F.sum("n").alias("group_size"))
+    bit = lambda s: F.call_function("shiftleft", F.lit(1).cast("long"), s.cast("int"))
+    # The salts that a text has, as bits of a few longs.
+    bits = [
+        F.bit_or(F.when(F.col("salt").between(60 * k, 60 * k + 59), bit(F.col("salt") - 60 * k)))
+        for k in range(words)
+    ]
+    masks = [f"mask{k}" for k in range(words)]
+    by_text = by_salt.groupBy("digest", "content").agg(
+        F.max("best").alias("keep_id"), F.sum("n").alias("group_size"), F.min("salt").alias("low"), F.max("salt").alias("high"),
+        *[b.alias(m) for b, m in zip(bits, masks, strict=True)],
+    )
     # The look-up is by digest: were there two texts of one digest, the query would stop here.
-    by_digest = (
-        by_text.groupBy("digest")
-        .agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.count("*").alias("texts"))
-        .where(F.assert_true(F.col("texts") == 1, F.lit("two texts share a digest")).isNull())
-        .drop("texts")
-    )
-    found = by_salt.select("digest", "salt").join(by_digest, "digest")
+    found = by_text.groupBy("digest").agg(*[F.max(c).alias(c) for c in ("keep_id", "group_size", "low", "high", *masks)], F.count("*").alias("texts"))
+    found = found.where(F.assert_true(F.col("texts") == 1, F.lit("two texts share a digest")).isNull())
+    has = lambda s: F.element_at(F.array(*masks), (s / 60).cast("int") + 1).bitwiseAND(bit(s % 60)) != 0
+    every = F.when(F.col("low") == F.col("high"), F.array("low")).otherwise(F.filter(F.sequence("low", "high"), has))
+    found = found.select("digest", "keep_id", "group_size", F.explode(every).alias("salt"))
     ids = rows.select("doc_id", "digest", "salt")
     return ids.join(found, ["digest", "salt"]).select(
         "doc_id",

@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing
+from . import exact_dedup, langid, mixing, packing, pii, token_count
 from .common import documents
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    dictionaries = langid.learn(docs.where(~langid.held_out()))
+    found = langid.predict(docs, dictionaries)
+    return found.withColumn("held_out", langid.held_out())
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(documents(spark, sf_dir))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenised(documents(spark, sf_dir)).withColumn("ids_crc32", F.crc32("tokens")).drop("tokens")
     return packing.packed(pieces)
@@ -25,8 +36,27 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detected(documents(spark, sf_dir))
+    kinds = F.transform("base", lambda s: s["kind"])
+    n = [F.size(kinds).cast("long") - F.size(F.array_remove(kinds, k)) for k in pii.KINDS[:4]]
+    return found.select(
+        "doc_id",
+        *[x.cast("long").alias(f"n_{k}") for k, x in zip(pii.KINDS, n, strict=False)],
+        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+        pii.listed(F.concat("base", "added")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_best_fit_packing, op8_systematic_mix, op9_exact_dedup)
+    f.__name__: f for f in (
+        op2_language_id,
+        op3_token_counts,
+        op5_best_fit_packing,
+        op8_systematic_mix,
+        op9_exact_dedup,
+        op10_personal_data,
+    )
 }
 
 SQL: dict[str, str] = {

@@ -92,7 +92,7 @@ class Automaton:
             self.known.clear()
         known = self.known
         known[""] = 0
-        for w in set(words) - known.keys():
+        for w in set(words).difference(known):
             known[w] = self.pieces(w)
         return len(words) - words.count(""), sum(map(known.__getitem__, words))
 

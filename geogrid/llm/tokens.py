@@ -65,7 +65,7 @@ class WordTokens:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.known) > MEMORY:
             self.known.clear()
-        unseen = set().union(*split) - self.known.keys()
+        unseen = set().union(*split).difference(self.known)
         if unseen:
             self._learn(unseen)
         ids = self.known.__getitem__

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, packing, pii, token_count
+from . import exact_dedup, langid, mixing, packing, pii, quality, token_count, warc
 from .common import documents
 
 
@@ -27,6 +27,16 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(pieces)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, mean = warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    found = warc.read(spark, warc.resolved(spark, path, mean_bytes=mean), payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = mixing.mixed(documents(spark, sf_dir))
     return x.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("copies") * F.col("size")).alias("taken"))
@@ -53,6 +63,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_language_id,
         op3_token_counts,
         op5_best_fit_packing,
+        op6_quality_rules,
+        op7_warc_revisits,
         op8_systematic_mix,
         op9_exact_dedup,
         op10_personal_data,
@@ -60,6 +72,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op7_warc_revisits": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages
+), s AS (
+  SELECT page_id, payload, octet_length(encode(payload)) AS payload_bytes, sha1(payload) AS hex,
+    max(page_id) OVER (PARTITION BY payload) AS keep FROM p
+)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      (((('0x' || substr(hex, (i // 4 * 5 + 1)::INT, 5))::INT) >> (15 - 5 * (i % 4))::INT) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN keep = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN keep <> page_id THEN keep END AS refers_to
+FROM s""",
     "op8_systematic_mix": r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import WHITE, WORD
 
 BUCKETS = 1 << 14
+PRIOR = 4.0
 
 
 def with_words(docs: DataFrame) -> DataFrame:
@@ -69,24 +70,25 @@ def trusted_ids(labels: DataFrame, most: int = 20_000) -> DataFrame:
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
-    """For each bucket log P(bucket | trusted) - log P(bucket | raw), with one added to each count.
+    """For each bucket log P(bucket | trusted) - log P(bucket | raw).
 
-    The raw multinomial counts the n-grams of every document; the trusted one those of documents in ``trusted``,
+    One is added to each raw count, and PRIOR n-grams a bucket, dealt as the raw multinomial has them, to the trusted
+    counts: where little is known, the ratio is near 0. The raw multinomial counts the n-grams of every document; the trusted one those of documents in ``trusted``,
     whose size is bounded by ``trusted_ids``. Counts are combined within tasks first; the driver gets BUCKETS rows.
     """
     worded = with_words(docs.select("doc_id", "text"))
     x = worded.join(F.broadcast(trusted), F.col("doc_id") == F.col("__trusted"), "left")
     x = x.select(F.col("__trusted").isNotNull().cast("long").alias("t"), F.explode(grams("__words")).alias("b"))
     rows = x.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("good")).collect()
-    raw, good = [1] * BUCKETS, [1] * BUCKETS
+    raw, good = [1] * BUCKETS, [0] * BUCKETS
     for r in rows:
         raw[r["b"]] += r["raw"]
         good[r["b"]] += r["good"]
-    every, best = math.log(sum(raw)), math.log(sum(good))
-    return [math.log(g) - best - math.log(r) + every for g, r in zip(good, raw, strict=True)]
+    every, best, prior = sum(raw), sum(good), PRIOR * BUCKETS
+    return [math.log((g + prior * r / every) / (best + prior)) - math.log(r / every) for g, r in zip(good, raw, strict=True)]
 
 
-def judged(docs: DataFrame, labels: DataFrame, threshold: float = -0.06, trusted_most: int = 20_000) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, threshold: float = -0.1, trusted_most: int = 20_000) -> DataFrame:
     """Per row: doc_id, the base counts, base_failed, score and kept.
 
     ``score`` is the mean log-likelihood ratio of the text's hashed words and word pairs between trusted and raw

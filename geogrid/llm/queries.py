@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, packing, pii, quality, token_count, warc
+from . import exact_dedup, langid, mixing, near_dedup, packing, pii, quality, token_count, warc
 from .common import documents
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(documents(spark, sf_dir))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     dictionaries = langid.learn(docs.where(~langid.held_out()))
@@ -60,6 +64,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
+        op1_minhash_near_dedup,
         op2_language_id,
         op3_token_counts,
         op5_best_fit_packing,

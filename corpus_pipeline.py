@@ -1,12 +1,63 @@
-"""A corpus from raw documents to packed sequences, in five stages."""
+"""A corpus from raw documents to packed sequences, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
+next stage's documents. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from geogrid.llm import exact_dedup, langid, mixing, near_dedup, packing
+from geogrid.llm.common import documents, stored
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told; those that identification rejects go."""
+    dictionaries = langid.learn(docs.where(~langid.held_out()))
+    found = langid.predict(docs, dictionaries, keep=tuple(docs.columns))
+    return found.where(~F.col("language.rejected")).select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text."""
+    return exact_dedup.deduplicated(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each class of near-duplicates."""
+    found = near_dedup.near_classes(docs)
+    gone = found.where("doc_id <> class_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.emit(docs, mixing.mixed(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens in sequences of at most 4096."""
+    pieces = packing.tokenised(docs).withColumn("ids_crc32", F.crc32("tokens")).drop("tokens")
+    return packing.packed(pieces)
+
+
+STAGES = [
+    ("language ID", identify),
+    ("exact dedup", drop_copies),
+    ("near dedup", drop_near_copies),
+    ("source mixing", mix),
+    ("best-fit packing", pack),
+]
 
-STAGES: list = []
+# SQL can't express compression, consistent sampling and packing; tests/llm/ holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``; the last one's rows."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

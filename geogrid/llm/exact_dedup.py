@@ -62,3 +62,32 @@ def exact_groups(
         F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
+
+
+def deduplicated(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    normalise: Callable[[Column], Column] = lambda text: text,
+) -> DataFrame:
+    """One row of each group of equal (normalised) texts, that with the largest id; columns as in ``docs``.
+
+    The same steps as ``exact_groups``, with the row that stays carried along instead of looked up. Of rows that
+    repeat an id and a text one stays. Null text counts as empty; a row that stays keeps its own text.
+    """
+    words = -(-min(240, salts(docs.sparkSession)) // 60)
+    rest = [F.col(c) for c in docs.columns if c != text_col]
+    same = F.when(F.col(text_col).isNotNull(), normalise(F.col(text_col)) == F.col(text_col))
+    # The text itself is carried only where the content doesn't tell it.
+    other = F.when(~F.coalesce(same, F.lit(False)), F.col(text_col)).alias("__text")
+    rows = docs.select(
+        normalise(F.coalesce(F.col(text_col), F.lit(""))).alias("__content"),
+        F.struct(*rest, other, F.coalesce(same, F.lit(False)).alias("__same")).alias("__row"),
+        F.struct(F.col(id_col).isNotNull().alias("a"), F.col(id_col).alias("b")).alias("__id"),
+        F.pmod(F.spark_partition_id(), F.lit(60 * words)).alias("__salt"),
+    ).withColumn("__digest", F.sha2("__content", 256))
+    best = [F.max_by("__row", "__id").alias("__row"), F.max("__id").alias("__id")]
+    by_salt = rows.groupBy("__digest", "__salt", "__content").agg(*best)
+    by_text = by_salt.groupBy("__digest", "__content").agg(*best)
+    text = F.when(F.col("__row.__same"), F.col("__content")).otherwise(F.col("__row.__text"))
+    return by_text.select(*[text.alias(c) if c == text_col else F.col("__row").getField(c).alias(c) for c in docs.columns])

@@ -8,11 +8,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tokens import slices
 
 UND = "und"
-RESULT = "doc_id long, lang_pred string, score double, margin double, rejected boolean"
+RESULT = "lang_pred string, score double, margin double, rejected boolean"
 
 
 def learn(
@@ -48,9 +49,9 @@ def learn(
 
 
 def predict(
-    docs: DataFrame, dictionaries: dict[str, bytes], least_margin: float = 1.0, per_byte: float = 0.35
+    docs: DataFrame, dictionaries: dict[str, bytes], keep: tuple[str, ...] = ("doc_id",), least_margin: float = 1.0, per_byte: float = 0.35
 ) -> DataFrame:
-    """Per row: doc_id, lang_pred, score, margin, rejected.
+    """Per row: the columns of ``keep``, and a struct ``language`` of lang_pred, score, margin, rejected.
 
     The whole text, in lower case, is compressed with each language's dictionary; the language with the fewest bytes
     is predicted, of equal ones the first in ``dictionaries``. Where a fast search leaves the languages within a few
@@ -100,13 +101,16 @@ def predict(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = compressors()
-        for b in slices(batches, "text"):
-            lang, score, margin, rejected = zip(*[of(t, made) for t in b.column("text").to_pylist()], strict=True)
-            kinds = (lang, pa.string()), (score, pa.float64()), (margin, pa.float64()), (rejected, pa.bool_())
-            cols = [b.column("doc_id").cast(pa.int64()), *[pa.array(v, t) for v, t in kinds]]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang_pred", "score", "margin", "rejected"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, RESULT)
+        for b in slices(batches, "__text"):
+            found = [dict(zip(names, of(t, made), strict=True)) for t in b.column("__text").to_pylist()]
+            cols = [b.column(i) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(found, kind)], names=[*keep, "language"])
+
+    names = ("lang_pred", "score", "margin", "rejected")
+    kind = pa.struct(list(zip(names, (pa.string(), pa.float64(), pa.float64(), pa.bool_()), strict=True)))
+    rows = docs.select(*keep, F.col("text").alias("__text"))
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("language", T.StructType.fromDDL(RESULT))])
+    return rows.mapInArrow(run, schema)
 
 
 def held_out() -> Column:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, near_dedup, packing, pii, quality, token_count, warc
-from .common import documents
+from . import exact_dedup, langid, mixing, near_dedup, packing, pii, quality, shards, token_count, warc
+from .common import documents, scratch
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,13 +19,19 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     dictionaries = langid.learn(docs.where(~langid.held_out()))
     found = langid.predict(docs, dictionaries)
-    return found.withColumn("held_out", langid.held_out())
+    return found.select("doc_id", langid.held_out().alias("held_out"), "language.*")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(documents(spark, sf_dir))
 
 
+def op4_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = shards.ShardStore(spark, scratch(spark, "shards"))
+    found = shards.ingest(store, documents(spark, sf_dir))
+    return found.select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenised(documents(spark, sf_dir)).withColumn("ids_crc32", F.crc32("tokens")).drop("tokens")
     return packing.packed(pieces)
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_minhash_near_dedup,
         op2_language_id,
         op3_token_counts,
+        op4_size_tiered_shards,
         op5_best_fit_packing,
         op6_quality_rules,
         op7_warc_revisits,
@@ -77,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op4_size_tiered_shards": "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents",
     "op7_warc_revisits": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages
 ), s AS (

@@ -133,8 +133,8 @@ def silhouette(df: DataFrame, array: str = "px", label: str = "label", key: str
     a = blocks.select(F.lit(1).alias("k"), F.col("label").alias("a_label"), F.col("r.id").alias("a_ids"), F.col("r.v").alias("a"))
     b = blocks.select(F.lit(1).alias("k"), F.col("label").alias("b_label"), F.col("r.v").alias("b"))
     fan = 16
-    a = a.withColumn("u", F.pmod(F.xxhash64("a_ids"), F.lit(fan))).withColumn("w", F.explode(F.sequence(F.lit(0), F.lit(fan - 1))).cast("long"))
-    b = b.withColumn("w", F.pmod(F.xxhash64("b"), F.lit(fan))).withColumn("u", F.explode(F.sequence(F.lit(0), F.lit(fan - 1))).cast("long"))
+    a = a.withColumn("u", F.pmod(F.xxhash64("a_ids"), F.lit(fan))).withColumn("w", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(fan - 1).cast("long"))))
+    b = b.withColumn("w", F.pmod(F.xxhash64("b"), F.lit(fan))).withColumn("u", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(fan - 1).cast("long"))))
     pairs = a.join(b, ["u", "w"]).select("a_ids", "a_label", "a", "b_label", "b")
     d = pairs.mapInPandas(sums, "id long, own int, other int, s double, n long").groupBy("id", "own", "other").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     p = d.groupBy("id", "own").agg(

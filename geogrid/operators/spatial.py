@@ -27,7 +27,7 @@ def within_distance(a: DataFrame, b: DataFrame, radius: float, spread: int = 1)
     on = ["__gx", "__gy"]
     if spread > 1:
         left = left.withColumn("__salt", F.pmod(F.xxhash64("id"), F.lit(spread)))
-        right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).cast("long"))
+        right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
         on.append("__salt")
     dx, dy = F.col("x") - F.col("bx"), F.col("y") - F.col("by")
     pairs = left.join(right, on).drop(*on).withColumn("__d2", dx * dx + dy * dy)

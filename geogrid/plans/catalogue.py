@@ -1,4 +1,6 @@
 """All registered queries of the grid library, and the SQL that checks each."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import q_features, q_metrics, q_models, q_raster, q_reports, q_space, q_time  # noqa: F401
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

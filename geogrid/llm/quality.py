@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, WORD
+from .common import WHITE, WORD, stored
 
 BUCKETS = 1 << 14
 PRIOR = 4.0
@@ -105,4 +105,6 @@ def judged(docs: DataFrame, labels: DataFrame, threshold: float = -0.1, trusted_
     x = x.withColumn("score", F.coalesce(F.try_divide(summed, 2.0 * F.col("n_words") - 1), F.lit(0.0)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     x = x.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
-    return x.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
+    x = x.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
+    # Stored, or a filter on a result would be pushed down as the whole expression behind it, once for each word.
+    return stored(x, "quality")

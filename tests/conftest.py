@@ -42,14 +42,14 @@ def duck():
 
 def plain(v):
     """A value as text that both engines agree on."""
-    if v is None or v != v:
+    if isinstance(v, (list, tuple)) or getattr(v, "ndim", 0) == 1:
+        return str([plain(x) for x in v])
+    if v is None or type(v).__name__ in ("NAType", "NaTType") or v != v:
         return "null"
-    if isinstance(v, bool) or type(v).__name__ == "bool_":
+    if isinstance(v, bool) or type(v).__name__ == "bool":
         return str(bool(v))
-    if isinstance(v, (int, float)) or hasattr(v, "dtype") and getattr(v, "ndim", 1) == 0:
+    if isinstance(v, (int, float)) or hasattr(v, "dtype"):
         return f"{float(v) + 0.0:.5f}"
-    if isinstance(v, (list, tuple)) or hasattr(v, "tolist"):
-        return str([plain(x) for x in v])
     return str(v)
 
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +17,9 @@ from .common import stored
 from .tokens import slices
 
 BLOCK = 1 << 15
-SMALL = 16
+ROWS = 512  # members of a bucket that are compared with as many others at once
+BYTES = 4 << 20  # of text, likewise
+ROUNDS = 4  # with leaders, before the rest is compared in blocks
 
 
 @dataclass(frozen=True)
@@ -73,7 +76,7 @@ def inverse_frequencies(docs: DataFrame, common: float) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, idf: np.ndarray, settings: Settings) -> DataFrame:
-    """Per row: doc_id, content (128-bit hash of the text), bands (array of hashes, empty without words), samples."""
+    """Per row: doc_id, content (128-bit hash of the text), bands (array of hashes, empty without words), samples, size (bytes)."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
     n = settings.bands * settings.rows
 
@@ -96,11 +99,12 @@ def signatures(docs: DataFrame, idf: np.ndarray, settings: Settings) -> DataFram
                     pa.array([xxhash.xxh3_128_digest(t) for t in texts.cast(pa.binary()).to_pylist()], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.concatenate(([0], full.cumsum())), pa.int32()), flat),
                     pa.array([x.tobytes() for x in small], pa.binary()),
+                    pa.compute.binary_length(texts).cast(pa.int64()),
                 ],
-                names=["doc_id", "content", "bands", "samples"],
+                names=["doc_id", "content", "bands", "samples", "size"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, content binary, bands array<long>, samples binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, content binary, bands array<long>, samples binary, size long")
 
 
 def agreeing(pairs: DataFrame, least: float) -> DataFrame:
@@ -134,6 +138,152 @@ def verified(pairs: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long, similarity double")
 
 
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, sorted by their first column, cut so that no value of it is in two of them."""
+    kept: list[pa.RecordBatch] = []
+    for b in batches:
+        if b.num_rows == 0:
+            continue
+        g = b.column(0).to_numpy()
+        if kept and kept[-1].column(0)[-1].as_py() != g[0]:
+            yield pa.concat_batches(kept)
+            kept = []
+        at = int(np.searchsorted(g, g[-1]))
+        if at:
+            yield pa.concat_batches([*kept, b.slice(0, at)])
+            kept = []
+        kept.append(b.slice(at))
+    if kept:
+        yield pa.concat_batches(kept)
+
+
+def likely_in_buckets(members: DataFrame, vertices: DataFrame, least: float) -> DataFrame:
+    """All pairs of different classes that share a bucket and whose samples agree in ``least`` of all places, each once.
+
+    ``members`` are (band, key, id, class, home). A bucket's members are dealt over blocks of about ROWS, and each two
+    blocks meet in one place, so that a bucket of any size is spread and none is left out. A pair that shares several
+    bands is made in the first. Rows are (g, kind, a, bs): g stands for two homes; kind 1 has a document and those that it is
+    to be compared with (64-bit ids), kind 0 names a document of such pairs.
+    """
+    sizes = members.groupBy("band", "key").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("blocks"))
+    m = members.join(sizes, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    m = m.join(vertices.select("id", F.col("bands").alias("all"), "samples"), "id")
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    g = F.xxhash64("band", "key", F.least("block", "other"), F.greatest("block", "other"))
+    m = m.select(g.alias("g"), "id", "class", "home", "band", (F.col("block") > F.col("other")).alias("second"), (F.col("block") != F.col("other")).alias("cross"), "all", "samples")
+
+    def agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        if len(x) * len(y) <= 1024:
+            return (x[:, None, :] == y[None, :, :]).sum(axis=2)
+        found = np.zeros((len(x), len(y)), np.int16)
+        for k in range(x.shape[1]):
+            found += x[:, k, None] == y[None, :, k]
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in runs(batches):
+            g, ids, classes, homes, band, second, cross = (b.column(c).to_numpy(zero_copy_only=False) for c in ("g", "id", "class", "home", "band", "second", "cross"))
+            bands = b.column("all").flatten().to_numpy().reshape(len(ids), -1)
+            samples = np.frombuffer(b"".join(b.column("samples").to_pylist()), np.uint32).reshape(len(ids), -1)
+            edges = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+            lo, hi = [], []
+            for start, end in zip(edges, edges[1:], strict=False):
+                x = y = np.arange(start, end)
+                if cross[start]:
+                    x, y = x[~second[start:end]], y[second[start:end]]
+                for at in range(0, len(x), ROWS):
+                    part = x[at : at + ROWS]
+                    ok = (agree(samples[part], samples[y]) >= least * samples.shape[1]) & (classes[part][:, None] != classes[y][None, :])
+                    i, j = np.nonzero(ok)
+                    i, j = part[i], y[j]
+                    if not cross[start]:
+                        i, j = i[ids[i] < ids[j]], j[ids[i] < ids[j]]
+                    k = band[start]
+                    first = (bands[i, k] == bands[j, k]) & ~(bands[i, :k] == bands[j, :k]).any(axis=1)
+                    lo.append(i[first])
+                    hi.append(j[first])
+            i, j = np.concatenate(lo), np.concatenate(hi)
+            if not len(i):
+                continue
+            to = S.mixed(np.minimum(homes[i], homes[j]).view(np.uint64) + S.mixed(np.maximum(homes[i], homes[j]).view(np.uint64))).view(np.int64)
+            order = np.lexsort((ids[i], to))
+            to, a, other = to[order], ids[i][order], ids[j][order]
+            cut = [0, *(np.flatnonzero((to[1:] != to[:-1]) | (a[1:] != a[:-1])) + 1).tolist(), len(to)]
+            named = np.unique(np.stack((np.concatenate((to, to)), np.concatenate((a, other))), axis=1), axis=0)
+            bs = [other[p:q].tobytes() for p, q in zip(cut, cut[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate((named[:, 0], to[cut[:-1]]))),
+                    pa.array(np.repeat([0, 1], [len(named), len(bs)]), pa.int32()),
+                    pa.array(np.concatenate((named[:, 1], a[cut[:-1]]))),
+                    pa.array([None] * len(named) + bs, pa.binary()),
+                ],
+                names=["g", "kind", "a", "bs"],
+            )
+
+    return m.repartition("g").sortWithinPartitions("g").mapInArrow(run, "g long, kind int, a long, bs binary")
+
+
+def verified_in_blocks(likely: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
+    """As ``verified``, from the rows of ``likely_in_buckets``: a text goes once to each g, and is cut into shingles once there."""
+    shared = texts.sparkSession.sparkContext.broadcast(idf)
+    named = likely.where("kind = 0").select("g", "a").distinct()
+    named = named.join(texts.select(F.col("id").alias("a"), "text"), "a").select("g", F.lit(0).alias("kind"), "a", F.lit(None).cast("binary").alias("bs"), "text")
+    rows = named.unionByName(likely.where("kind = 1").withColumn("text", F.lit(None).cast("string")))
+
+    def compare(known: dict, pairs: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if sum(len(others) for _, others in pairs) > 4:
+            names, at = np.unique(np.concatenate([h for h, _ in known.values()]), return_inverse=True)
+            cols = dict(zip(known, np.split(at, np.cumsum([len(h) for h, _ in known.values()])[:-1]), strict=True))
+            row, sums = np.zeros(len(names)), {x: w.sum() for x, (_, w) in known.items()}
+        else:
+            cols = None
+        for x, others in pairs:
+            if cols is None:
+                yield x, others, np.array([S.similarity(known[x], known[y]) for y in others.tolist()])
+                continue
+            row[cols[x]] = known[x][1]
+            for k in range(0, len(others), 1024):
+                part = others[k : k + 1024].tolist()
+                both = np.minimum(row[np.concatenate([cols[y] for y in part])], np.concatenate([known[y][1] for y in part]))
+                both = np.add.reduceat(both, np.cumsum([0] + [len(cols[y]) for y in part[:-1]]))
+                found = both / (sums[x] + np.array([sums[y] for y in part]) - both)
+                for i in np.flatnonzero(np.abs(found - least) < 1e-9):  # sums in another order don't decide
+                    found[i] = S.similarity(known[x], known[part[i]])
+                yield x, others[k : k + 1024], found
+            row[cols[x]] = 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, known, pairs = None, {}, []
+
+        def result() -> pa.RecordBatch:
+            a, b, s = [], [], []
+            for x, others, found in compare(known, pairs):
+                ok = found >= least
+                a.append(np.full(ok.sum(), x))
+                b.append(others[ok])
+                s.append(found[ok])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (a, b, s)], names=["a", "b", "similarity"])
+
+        for whole in batches:
+            for part in slices(iter([whole]), "text", S.CHUNK):
+                h, times, sizes = S.shingled(part.column("text"))
+                w, ends = S.weights(h, times, shared.value), sizes.cumsum()
+                for g, kind, x, bs, end, n in zip(*(part.column(c).to_pylist() for c in ("g", "kind", "a", "bs")), ends, sizes, strict=True):
+                    if g != group:
+                        if pairs:
+                            yield result()
+                        group, known, pairs = g, {}, []
+                    if kind == 0:
+                        known[x] = (h[end - n : end], w[end - n : end])
+                    else:
+                        pairs.append((x, np.frombuffer(bs, np.int64)))
+        if pairs:
+            yield result()
+
+    return rows.repartition("g").sortWithinPartitions("g", "kind").mapInArrow(run, "a long, b long, similarity double")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, class) of each end of ``links`` (a, b): the smallest id that it is linked to, over any number of steps.
 
@@ -166,14 +316,14 @@ def near_classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     smallest doc_id. ``n_links`` counts the verified links of the row's text to other texts: enough of them to join
     the class are made, not every pair of it.
 
-    Candidates come from equal bands of samples. In a bucket each member is compared with one leader, which is linear
-    in the bucket's size, so thousands of near copies join up at once. Members whose class is then still another one
-    than their leader's go to the next round, with another leader in each bucket; leaders are the members that share their
-    bands with the most others, so they are near the middle of a group, and arbitrary ones every other round. From the second round on, buckets
-    of at most SMALL members compare all their pairs of different classes and are done; larger ones, which hold near
-    copies that resemble one another a little less than ``similarity``, go on until two rounds find no link at all.
-    No member and no bucket is left out of a round. Comparing starts with samples; texts of the remaining pairs are
-    joined and verified, in tasks of bounded batches.
+    Candidates come from equal bands of samples. In the first rounds, at most ROUNDS, each member of a bucket is
+    compared with one leader, which is linear in the bucket's size, so thousands of near copies join up at once.
+    Leaders are the members that share their bands with the most others, so they are near the middle of a group, and
+    arbitrary ones every other round. Then every pair of a bucket that is of two classes still is compared, in buckets
+    of all sizes: a class ends only where all its pairs with other classes are decided. Similarity is not transitive,
+    so nobody stands for its class: a bucket is done only when all its members are of one. Comparing starts with
+    samples; texts of the remaining pairs are verified, in the last step by blocks, each text cut into shingles once
+    a block.
 
     Null text counts as empty. Texts without words are alike only to each other. Rows with a null id are of the
     class of the text they have; a text that only such rows have is compared with none and has class null. Rows that repeat are in one class. An empty table gives no rows. Columns other than
@@ -183,32 +333,29 @@ def near_classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     sig = stored(signatures(docs, idf, settings), "signatures")
     # One vertex for each text.
     vertices = stored(
-        sig.groupBy("content").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("bands", "samples"), "doc_id").alias("s")).select("id", "s.*").where("id is not null"), "vertices"
+        sig.groupBy("content").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("bands", "samples", "size"), "doc_id").alias("s")).select("id", "s.*").where("id is not null"), "vertices"
     )
-    rows = vertices.select("id", F.posexplode("bands").alias("band", "key"))
-    crowded = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    rows = vertices.select("id", "size", F.posexplode("bands").alias("band", "key"))
+    crowded = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / ROWS), F.ceil(F.sum("size") / BYTES)).alias("parts")).where("n > 1")
     members = rows.join(crowded, ["band", "key"])
-    # Who shares its bands with many is near the middle of a group, and leads.
-    central = members.groupBy("id").agg(F.sum("n").alias("central"))
-    members = stored(members.drop("n").join(central, "id"), "members")
+    # Who shares its bands with many is near the middle of a group, and leads; a home is a part of one's largest bucket.
+    central = members.groupBy("id").agg(F.sum("n").alias("central"), F.max(F.struct("n", "band", "key", "parts")).alias("h"))
+    home = F.xxhash64("h.band", "h.key", F.pmod(F.xxhash64("id"), F.col("h.parts")))
+    members = stored(members.select("band", "key", "id").join(central.select("id", "central", home.alias("home")), "id"), "members")
     samples = vertices.select("id", "samples")
     # One plan at every size: the texts of candidates are shuffled once by id, whether or not the ids would fit a broadcast.
     wanted = members.select("id").distinct().hint("merge")
     texts = stored(docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id").dropDuplicates(["id"]), "texts")
 
     links = classes = None
-    turn, before = 0, True
+    turn, found = 0, True
     members = members.withColumn("class", F.col("id"))
-    while not members.isEmpty():
+    while found and turn < ROUNDS and not members.isEmpty():
         # Every other round the leaders are arbitrary ones, another in each bucket.
         order = F.struct((-F.col("central") if turn % 2 == 0 else F.lit(0)).alias("c"), F.xxhash64("id", "band", "key", F.lit(turn)).alias("h"))
-        sizes = members.groupBy("band", "key").agg(F.min(F.struct(order.alias("o"), F.col("id").alias("b"), F.col("class").alias("class_b"))).alias("l"), F.count("*").alias("n"))
-        lead = stored(sizes.select("band", "key", "l.b", "l.class_b", "n"), "leaders")
+        lead = members.groupBy("band", "key").agg(F.min(F.struct(order.alias("o"), F.col("id").alias("b"), F.col("class").alias("class_b"))).alias("l"))
+        lead = lead.select("band", "key", "l.b", "l.class_b")
         pairs = members.withColumnRenamed("id", "a").join(lead, ["band", "key"]).where("class <> class_b").select("a", "b")
-        if turn:
-            few = members.join(lead.where(F.col("n") <= SMALL).select("band", "key"), ["band", "key"])
-            others = few.select("band", "key", F.col("id").alias("b"), F.col("class").alias("class_b"))
-            pairs = pairs.unionByName(few.withColumnRenamed("id", "a").join(others, ["band", "key"]).where("class <> class_b and a < b").select("a", "b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         sided = pairs.join(samples.select(F.col("id").alias("a"), F.col("samples").alias("sa")), "a")
         sided = sided.join(samples.select(F.col("id").alias("b"), F.col("samples").alias("sb")), "b")
@@ -217,20 +364,17 @@ def near_classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         full = full.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         new = stored(verified(full.select("a", "b", "ta", "tb"), idf, settings.similarity), "verified")
         found = not new.isEmpty()
-        if turn and not found and not before:
-            break
-        before = found
         links = new if links is None else links.unionByName(new)
         classes = components(links)
-        # Leaders have met everyone in their bucket; who is of their class by now is represented by it.
-        met = lead.join(classes.select(F.col("id").alias("b"), F.col("class").alias("k")), "b", "left").select("band", "key", F.coalesce("k", "b").alias("class"), "n")
-        left = members.drop("class").join(classes, "id", "left").select("band", "key", "id", "central", F.coalesce("class", "id").alias("class"))
-        if turn:
-            left = left.join(lead.where(F.col("n") > SMALL).select("band", "key"), ["band", "key"], "left_semi")
-        left = left.join(met.drop("n"), ["band", "key", "class"], "left_anti")
+        # A bucket is done when it is of one class.
+        left = members.drop("class").join(classes, "id", "left").select("band", "key", "id", "central", "home", F.coalesce("class", "id").alias("class"))
         several = left.groupBy("band", "key").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("band", "key")
         members = stored(left.join(several, ["band", "key"]), "members")
         turn += 1
+    if not members.isEmpty():
+        likely = stored(likely_in_buckets(members, vertices, settings.agreement), "likely")
+        links = links.unionByName(stored(verified_in_blocks(likely, texts, idf, settings.similarity), "verified"))
+        classes = components(links)
 
     own = sig.groupBy("content").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
     if links is not None:

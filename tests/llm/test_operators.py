@@ -125,6 +125,40 @@ def test_a_large_group_of_near_copies_is_one_class(spark):
     assert all(got[i] == i for i in range(150))
 
 
+def edited(text, seed, many=2):
+    r, w = random.Random(seed), text.split(" ")
+    for at in r.sample(range(5, len(w) - 5), many):
+        w[at] = f"e{seed}x{at}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("rows", [8, 512])
+def test_chains_of_near_copies_are_those_of_all_pairs_in_a_bucket(spark, monkeypatch, rows):
+    monkeypatch.setattr(near_dedup, "ROWS", rows, raising=False)
+    texts = []
+    for k, n in enumerate([3] * 40 + [12] * 5 + [150]):  # each an edit of an earlier one: neighbours are similar, others are not
+        tree = [words(100, 5000 + k)]
+        while len(tree) < n:
+            tree.append(edited(random.Random(n + len(tree)).choice(tree), 1000 * k + len(tree)))
+        texts += tree
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(df).collect()}
+    settings = near_dedup.Settings()
+    idf = near_dedup.inverse_frequencies(df, settings.common)
+    sig = {r["doc_id"]: (np.array(r["bands"]), np.frombuffer(r["samples"], np.uint32)) for r in near_dedup.signatures(df, idf, settings).collect()}
+    h, n, sizes = shingles.shingled(pa.array(texts))
+    w, ends = shingles.weights(h, n, idf), sizes.cumsum()
+    sets = [(h[e - k : e], w[e - k : e]) for e, k in zip(ends, sizes, strict=True)]
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = (sig[i][0] == sig[j][0]).any() and (sig[i][1] == sig[j][1]).mean() >= settings.agreement
+            if shared and want[i] != want[j] and shingles.similarity(sets[i], sets[j]) >= settings.similarity:
+                lo, hi = sorted((want[i], want[j]))
+                want = [lo if x == hi else x for x in want]
+    assert found == dict(enumerate(want))
+
+
 def test_shingles_are_those_of_a_plain_reading():
     texts = [words(n, n) for n in (1, 4, 5, 6, 300)] + ["A b\tc\nd  e f", None, "", "é  x y"] + [words(3, 5) + " " + "z" * 3_000_000 + " " + words(9, 6)]
     _, times, sizes = shingles.shingled(pa.array(texts))

@@ -98,7 +98,10 @@ class Automaton:
 
 
 def vocabulary(path: str) -> list[tuple[int, ...]]:
-    """The pieces of a vocabulary that spells bytes with letters and marks the end of a word with ``</w>``."""
+    """The pieces of a vocabulary that spells bytes with letters and marks the end of a word with ``</w>``.
+
+    Each piece may end a word, also one that the file has without ``</w>`` only: greedy pieces of a word can end on any.
+    """
     from tokenizers import Tokenizer
 
     from .tokens import LETTERS
@@ -109,7 +112,7 @@ def vocabulary(path: str) -> list[tuple[int, ...]]:
         body = t.removesuffix("</w>")
         if body and all(c in byte for c in body):
             out.append((*[byte[c] for c in body], *[END] * (len(body) < len(t))))
-    return out
+    return [*out, *sorted({(*x, END) for x in out if x[-1] != END}.difference(out))]
 
 
 def token_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

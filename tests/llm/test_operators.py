@@ -229,6 +229,21 @@ def test_automaton_without_a_needed_piece():
     assert [a.pieces(w) for w in ("a", "ab", "abc", "abd", "d")] == [2, 2, 1, 1, 1]  # greedy: ab is taken, c is left
 
 
+def test_a_plain_piece_can_end_a_word():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    raw = Tokenizer.from_file(path).get_vocab(with_added_tokens=False)
+    automaton = token_count.Automaton.of(path)
+    plain = [t for t in raw if t.isascii() and t.isalpha() and t == t.lower() and len(t) > 2 and t + "</w>" not in raw]
+    assert len(plain) > 500
+    for t in plain:
+        assert automaton.pieces(t) == 1 and automaton.pieces("!" * 50 + t) > 1, t
+    # Every byte that UTF-8 has is a piece, so no word is unknown.
+    pieces = set(token_count.vocabulary(path))
+    assert all((b,) in pieces and (b, token_count.END) in pieces for b in range(256) if b not in (0xC0, 0xC1, *range(0xF5, 0x100)))
+
+
 def test_word_by_word_tokens_are_the_tokenizers(docs):
     from tokenizers import Tokenizer
 

@@ -83,8 +83,37 @@ CREDENTIAL_WORDS = ("password", "passwd", "pwd", "passphrase", "secret", "token"
 NAME_WORDS = ("mr", "mrs", "ms", "dr", "prof", "herr", "frau", "monsieur", "madame", "sir", "señor", "señora")
 ABOUT_WORDS = ("name", "named", "called", "contact", "signed", "regards", "patient", "customer", "employee")
 
-_SECRET = re.compile(r"\b([A-Za-z_]{2,24})(\s{0,3}[=:]\s{0,3}[\"']?)([^\s\"'=,;]{6,512})")
-_NAME = re.compile(r"\b([A-Za-zñ]{2,12})(\.?[ ]{1,2})((?:[^\W\d_a-z][^\W\d_]{1,30})(?: [^\W\d_a-z][^\W\d_]{1,30}){0,2})")
+_KEY = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
+_JOIN = re.compile(r"\s{0,3}[\"']?")
+_SEPARATOR = re.compile(r"[=:]")
+_VALUE = re.compile(r"[^\s\"'=,;]{6,}")
+# What follows the name of a credential is whole, up to the next name of a list.
+_CREDENTIAL = re.compile(r"(?:[^\s\"',;]|[,;](?![A-Za-z_][A-Za-z0-9_.-]*[=:][^=\s]))+")
+_NAME = re.compile(rf"\b((?i:{'|'.join(NAME_WORDS + ABOUT_WORDS)}))(\.?[ ]{{1,2}})([^\W\d_a-z][^\W\d_]+(?: [^\W\d_a-z][^\W\d_]+)*)")
+
+
+def secrets(text: str) -> list[tuple[str, str, int, str]]:
+    """(key in lower case, what joins, start, value) by separator: the whole key is before it, the whole value after it."""
+    out, free = [], 0
+    for m in _SEPARATOR.finditer(text):
+        end = m.start()
+        if end < free:
+            continue
+        while end > max(free, m.start() - 3) and text[end - 1].isspace():
+            end -= 1
+        start = end
+        while start > free and text[start - 1] in _KEY:
+            start -= 1
+        key = text[start:end].lstrip("0123456789.-").lower()
+        if len(key) < 2:
+            continue
+        at = _JOIN.match(text, m.end()).end()
+        value = (_CREDENTIAL if any(w in key for w in CREDENTIAL_WORDS) else _VALUE).match(text, at)
+        found = value[0].rstrip(".,;") if value else ""
+        if len(found) >= 6:
+            out.append((key, text[end:at], at, found))
+            free = value.end()
+    return out
 
 
 def _entropy(s: str) -> float:
@@ -109,13 +138,12 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[dict]:
             out.append({"kind": kind, "start": start, "end": end, "votes": votes, "shape": [f"{kind}:{x}" for x in shape]})
 
     if "=" in text or ":" in text:
-        for m in _SECRET.finditer(text):
-            word, join, value = m[1].lower(), m[2], m[3].rstrip(".")
+        for word, join, start, value in secrets(text):
             digits, letters = sum(map(str.isdigit, value)), sum(map(str.isalpha, value))
             mixed, ent = digits > 1 and letters > 1, _entropy(value)
             votes = ("y" if mixed and ent >= 2.8 else "n" if not digits else "-") + ("y" if any(w in word for w in CREDENTIAL_WORDS) else "n")
             votes += "y" if '"' in join or "'" in join or "=" in join else "-"
-            add("secret", m.start(3), m.start(3) + len(value), votes, [f"length{_bin(len(value), 10, 16, 24, 40)}", f"entropy{_bin(ent, 2, 2.8, 3.4)}", f"mixed{mixed}", f"join{join.strip()}", f"hex{all(c in '0123456789abcdefABCDEF' for c in value)}"])
+            add("secret", start, start + len(value), votes, [f"length{_bin(len(value), 10, 16, 24, 40)}", f"entropy{_bin(ent, 2, 2.8, 3.4)}", f"mixed{mixed}", f"join{join.strip()}", f"hex{all(c in '0123456789abcdefABCDEF' for c in value)}"])
     low = text.lower()
     if any(w in low for w in NAME_WORDS + ABOUT_WORDS):
         for m in _NAME.finditer(text):

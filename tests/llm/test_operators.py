@@ -449,6 +449,30 @@ def test_personal_data(spark, awkward, empty):
     assert pii.detected(empty).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text, kind, want",
+    [
+        ("token=" + "a1B2" * 200 + " end", "secret", "a1B2" * 200),
+        ("GOOGLE_APPLICATION_CREDENTIALS_TOKEN=a1b2c3d4e5 x", "secret", "a1b2c3d4e5"),
+        ("s3_secret=a1b2c3d4e5, x", "secret", "a1b2c3d4e5"),
+        ("api_key2: 'a1b2c3d4e5'", "secret", "a1b2c3d4e5"),
+        ("password=a1,b2;c3d4== x", "secret", "a1,b2;c3d4=="),
+        ("password=a1b2c3d4,user=someone", "secret", "a1b2c3d4"),
+        ("INFO:auth=a1b2c3d4e5", "secret", "a1b2c3d4e5"),
+        ("Dear Mr. Juan Carlos Garcia Lopez wrote", "name", "Juan Carlos Garcia Lopez"),
+        ("Mr " + "A" + "b" * 50 + " wrote", "name", "A" + "b" * 50),
+    ],
+)
+def test_candidates_are_whole(text, kind, want):
+    found = [text[c["start"] : c["end"]] for c in pii.candidates(text, []) if c["kind"] == kind]
+    assert want in found
+
+
+def test_long_texts_of_separators_take_linear_time():
+    for text in ("a:" * 200_000, "token=" * 100_000, "k" * 400_000, "mr " * 100_000, "Mr A" + " Bb" * 100_000, "=" * 300_000, "token=" + ",a" * 200_000):
+        pii.candidates(text, [])
+
+
 def test_shards(spark, awkward, empty):
     store = shards.ShardStore(spark, scratch(spark, "store"), target_bytes=1 << 20, fanout=2, least_bytes=1 << 10)
     assert store.read() is None and store.compact() == 0

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,10 +18,13 @@ WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder of ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine), a temporary folder is set for it.
+    Where the session names none, a temporary folder is set for it in local mode (tests on one machine); on a
+    cluster, whose hosts have different disks, that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         root = "file://" + tempfile.mkdtemp(prefix="spark-geogrid-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -40,6 +45,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def id_schema(docs: DataFrame, *rest: str, name: str = "doc_id") -> T.StructType:
+    """The id column as ``docs`` has it, and after it the columns that the DDL strings of ``rest`` name."""
+    return T.StructType([T.StructField(name, docs.schema["doc_id"].dataType), *T.StructType.fromDDL(", ".join(rest)).fields])
+
+
 def salts(spark: SparkSession) -> int:
     """Salts for hot keys: as many as there are shuffle partitions, so that one key can use them all."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))

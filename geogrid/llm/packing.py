@@ -11,10 +11,10 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import id_schema, stored
 from .tokens import WordTokens, slices
 
-PIECE = "doc_id long, piece int, start long, length long, tokens binary"
+PIECE = "piece int, start long, length long, tokens binary"
 
 
 def default_tokenizer() -> str:
@@ -28,6 +28,8 @@ def tokenised(docs: DataFrame, tokenizer: str | None = None, size: int = 4096, e
 
     ``tokens`` holds little-endian unsigned 32-bit ids. A document is the ids of its whole text and then ``end_id``;
     null text counts as empty, so each document has a token at least. Only documents longer than ``size`` are cut.
+    Texts of any length are read whole. Ids keep their type, null ids and rows that repeat give pieces of their own,
+    an empty table gives none, and columns other than doc_id and text are not looked at, whatever they are called.
     """
     path = tokenizer or default_tokenizer()
     end = np.array([end_id], "<u4").tobytes()
@@ -45,7 +47,7 @@ def tokenised(docs: DataFrame, tokenizer: str | None = None, size: int = 4096, e
             tokens = [ids[r][4 * s : 4 * (s + k)] for r, s, k in zip(row, start, length, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column("doc_id").take(pa.array(row)).cast(pa.int64()),
+                    b.column("doc_id").take(pa.array(row)),
                     pa.array(piece, pa.int32()),
                     pa.array(start, pa.int64()),
                     pa.array(length, pa.int64()),
@@ -54,7 +56,7 @@ def tokenised(docs: DataFrame, tokenizer: str | None = None, size: int = 4096, e
                 names=["doc_id", "piece", "start", "length", "tokens"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECE)
+    return docs.select("doc_id", "text").mapInArrow(cut, id_schema(docs, PIECE))
 
 
 class Plan:
@@ -187,8 +189,8 @@ def packed(pieces: DataFrame, size: int = 4096) -> DataFrame:
     ``pieces`` has a ``length`` of 1 to ``size`` and whatever else; a null or other length raises an error. The
     lengths' counts, at most ``size`` numbers, are all that the driver gets; it plans the sequences as runs of ranks
     (``Plan``). Each piece then has a rank among those of its length, counted up block by block, so a length that a
-    third of all pieces have is spread over all blocks. Pieces of one length are exchangeable, repeated rows too.
-    An empty table gives no rows.
+    third of all pieces have is spread over all blocks. Pieces of one length are exchangeable, so ties and repeated
+    rows need no rule. An empty table gives no rows. Columns called ``sequence_id`` or ``offset`` are replaced.
     """
     given = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     ok = F.col("length").between(1, size)
@@ -204,7 +206,8 @@ def packed(pieces: DataFrame, size: int = 4096) -> DataFrame:
     earlier = Window.partitionBy("length").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     first = blocks.select("length", "__block", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__first"))
     within = Window.partitionBy("length", "__block").orderBy("__nth")
-    ranked = slim.withColumn("__rank", F.row_number().over(within) - 1).join(first, ["length", "__block"])
+    # Never broadcast: the table of first ranks has a row for each length of each block, and blocks grow with the input.
+    ranked = slim.withColumn("__rank", F.row_number().over(within) - 1).join(first.hint("merge"), ["length", "__block"])
     ranked = ranked.select(*given, (F.col("__rank") + F.col("__first")).alias("__rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

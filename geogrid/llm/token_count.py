@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .tokens import slices
+from .common import id_schema
+from .tokens import Memory, slices
 
 END = 256  # the end of a word, a symbol beside the 256 bytes
-MEMORY = 1_000_000
 _workers: dict[str, "Automaton"] = {}
 
 
@@ -51,7 +51,7 @@ class Automaton:
                     if z >= 0:
                         self.fail[u], self.popped[u] = self.child[z][s], n
                 queue.append(u)
-        self.known: dict[str, int] = {}
+        self.memory = Memory()
 
     def _grow(self, at: int, s: int, ends: list[bool]) -> int:
         self.child.append({})
@@ -88,13 +88,12 @@ class Automaton:
         for c in "\t\n\x0b\x0c\r":
             text = text.replace(c, " ")
         words = text.split(" ")
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        known = self.known
-        known[""] = 0
-        for w in set(words).difference(known):
-            known[w] = self.pieces(w)
-        return len(words) - words.count(""), sum(map(known.__getitem__, words))
+        new, known = self.memory.missing(set(words)), self.memory.known
+        for w in new:
+            known[w] = self.pieces(w) if w else 0
+        found = len(words) - words.count(""), sum(map(known.__getitem__, words))
+        self.memory.rest(new)
+        return found
 
 
 def vocabulary(path: str) -> list[tuple[int, ...]]:
@@ -119,7 +118,8 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Per row: doc_id, n_words, n_tokens (greedy longest-match pieces of the whole text).
 
     Null and empty text have none. Rows are independent of one another: nothing is shuffled, and a repeated row is
-    counted again. Columns other than doc_id and text are not looked at.
+    counted again; so ties cannot arise. A null id is returned as it is. Very long texts and words are counted whole.
+    An empty table gives no rows. Columns other than doc_id and text are not looked at, whatever they are called.
     """
     from .packing import default_tokenizer
 
@@ -129,7 +129,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         automaton = Automaton.of(path)
         for b in slices(batches, "text"):
             words, tokens = zip(*[automaton.count(t or "") for t in b.column("text").to_pylist()], strict=True)
-            cols = [b.column("doc_id").cast(pa.int64()), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())]
+            cols = [b.column("doc_id"), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(run, id_schema(docs, "n_words long, n_tokens long"))

@@ -45,6 +45,13 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, lengthened until no column of ``taken`` is called so."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def id_schema(docs: DataFrame, *rest: str, name: str = "doc_id") -> T.StructType:
     """The id column as ``docs`` has it, and after it the columns that the DDL strings of ``rest`` name."""
     return T.StructType([T.StructField(name, docs.schema["doc_id"].dataType), *T.StructType.fromDDL(", ".join(rest)).fields])

@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh
 from .tokens import slices
 
 UND = "und"
+LEVEL = 9  # of compression
+LEAD = 3000  # bytes of a dictionary that go before a text where languages tie
 RESULT = "lang_pred string, score double, margin double, rejected boolean"
 
 
@@ -23,8 +26,9 @@ def learn(
 
     The sample is bounded: of each language at most ``texts_per_lang`` whole texts of at most ``longest_text``
     characters, those with the smallest hash of text and id, up to ``dictionary_bytes`` bytes. Rows with null text or
-    language are not used. The driver gets the sample and a count for each language; languages come in order of how
-    many rows they have, the most frequent first.
+    language are not used; an empty table gives no dictionary. Rows that repeat count as often as they do, ties of
+    the hash go by id. The driver gets the sample and a count for each language; languages come in order of how
+    many rows they have, the most frequent first. Other columns are not looked at, whatever they are called.
     """
     rows = docs.where(F.col("lang").isNotNull() & (F.col("lang") != UND) & (F.length("text") <= longest_text))
     slim = rows.select("lang", F.xxhash64("doc_id", "text").alias("h"), "doc_id")
@@ -49,44 +53,47 @@ def learn(
 
 
 def predict(
-    docs: DataFrame, dictionaries: dict[str, bytes], keep: tuple[str, ...] = ("doc_id",), least_margin: float = 1.0, per_byte: float = 0.35
+    docs: DataFrame,
+    dictionaries: dict[str, bytes],
+    keep: tuple[str, ...] = ("doc_id",),
+    least_margin: float = 0.005,
+    per_byte: float = 0.35,
+    result: str = "language",
 ) -> DataFrame:
-    """Per row: the columns of ``keep``, and a struct ``language`` of lang_pred, score, margin, rejected.
+    """Per row: the columns of ``keep``, and a struct ``result`` of lang_pred, score, margin, rejected.
 
     The whole text, in lower case, is compressed with each language's dictionary; the language with the fewest bytes
-    is predicted, of equal ones the first in ``dictionaries``. Where a fast search leaves the languages within a few
-    per cent of each other, or the text is short, a thorough search decides; where that finds two languages equal
-    for a short text, the start of each dictionary goes before the text, so that its letters have a language's
-    frequencies, and what the text adds is compared. Sizes are read as costs: ``score`` is the share of
-    exp(-per_byte * bytes) that the predicted language has, from 1 / number of languages to 1, and ``margin`` is how
-    many bytes the second language needs beyond the first. A prediction is ``rejected`` where the margin is below
-    ``least_margin`` bytes. Null text, empty text and text without a letter give ``und``, score 0, margin 0,
-    rejected; so does every text if there is no dictionary. With one dictionary the score is 1.
+    is predicted. Of languages with equally few, the start of each dictionary goes before the text, so that its
+    letters have a language's frequencies, and what the text adds is compared; of equal ones the first in
+    ``dictionaries`` is taken. Texts of any length go the same way. Sizes are read as costs: ``score`` is the share
+    of exp(-per_byte * bytes) that the predicted language has, from 1 / number of languages to 1, and ``margin`` is
+    how many bytes the second language needs beyond the first, as a share of the first's. A prediction is
+    ``rejected`` where that is below ``least_margin``: no dictionary explains the text clearly better than another.
+
+    Null text, empty text and text without a letter give ``und``, score 0, margin 0, rejected; so does every text if
+    there is no dictionary. With one dictionary score and margin are 1. Rows that repeat, and null ids, are rows like
+    others; an empty table gives no rows. Columns are carried along if ``keep`` names them, whatever they are called
+    but ``result``.
     """
     langs = list(dictionaries)
+    if result.lower() in {c.lower() for c in keep}:
+        raise ValueError(f"the column {result} is there already; name another result")
 
-    def compressors() -> tuple[list, list, list]:
+    def compressors() -> tuple[list, list]:
         import zstandard as z
 
-        def of(data: bytes, level: int) -> "z.ZstdCompressor":
+        def of(data: bytes) -> "z.ZstdCompressor":
             d = z.ZstdCompressionDict(data, dict_type=z.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=level)
-            return z.ZstdCompressor(level=level, dict_data=d, write_content_size=False)
-
-        lead = [dictionaries[x][:3000] for x in langs]
-        after = [of(dictionaries[x][3000:], 9) for x in langs]
-        begun = [(c, x, len(c.compress(x))) for c, x in zip(after, lead, strict=True)]
-        return [of(dictionaries[x], 3) for x in langs], [of(dictionaries[x], 9) for x in langs], begun
-
-    def sizes(data: bytes, fast: list, thorough: list, begun: list) -> list[int]:
-        if len(data) > 500:
-            found = [len(c.compress(data)) for c in fast]
-            low = sorted(found)
-            if len(low) < 2 or low[1] - low[0] > 0.04 * low[0]:
-                return found
-        found = [len(c.compress(data)) for c in thorough]
-        low = sorted(found)
-        if len(low) > 1 and low[0] == low[1] and len(data) <= 2000:
+            d.precompute_compress(level=LEVEL)
+            return z.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False)
+
+        lead = [dictionaries[x][:LEAD] for x in langs]
+        after = [of(dictionaries[x][LEAD:]) for x in langs]
+        return [of(dictionaries[x]) for x in langs], [(c, x, len(c.compress(x))) for c, x in zip(after, lead, strict=True)]
+
+    def sizes(data: bytes, whole: list, begun: list) -> list[int]:
+        found = [len(c.compress(data)) for c in whole]
+        if found.count(min(found)) > 1:
             return [len(c.compress(lead + data)) - n for c, lead, n in begun]
         return found
 
@@ -96,21 +103,22 @@ def predict(
         found = sizes(text.lower().encode("utf-8", "replace"), *made)
         low = sorted(found)
         score = 1 / math.fsum(math.exp(-per_byte * (s - low[0])) for s in found)
-        margin = float(low[1] - low[0] if len(low) > 1 else low[0])
+        margin = (low[1] - low[0]) / max(1, low[0]) if len(low) > 1 else 1.0
         return langs[found.index(low[0])], score, margin, margin < least_margin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = compressors()
-        for b in slices(batches, "__text"):
-            found = [dict(zip(names, of(t, made), strict=True)) for t in b.column("__text").to_pylist()]
+        for b in slices(batches, text_name):
+            found = [dict(zip(names, of(t, made), strict=True)) for t in b.column(text_name).to_pylist()]
             cols = [b.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(found, kind)], names=[*keep, "language"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(found, kind)], names=[*keep, result])
 
     names = ("lang_pred", "score", "margin", "rejected")
     kind = pa.struct(list(zip(names, (pa.string(), pa.float64(), pa.float64(), pa.bool_()), strict=True)))
-    rows = docs.select(*keep, F.col("text").alias("__text"))
-    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("language", T.StructType.fromDDL(RESULT))])
-    return rows.mapInArrow(run, schema)
+    text_name = fresh("text", list(keep))
+    kept = [F.col(f"`{c}`") for c in keep]
+    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField(result, T.StructType.fromDDL(RESULT))])
+    return docs.select(*kept, F.col("text").alias(text_name)).mapInArrow(run, schema)
 
 
 def held_out() -> Column:

@@ -9,17 +9,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import stored
+from .common import id_schema, salts, stored
 from .tokens import slices
 
 BLOCK = 1 << 15
 ROWS = 512  # members of a bucket that are compared with as many others at once
 BYTES = 4 << 20  # of text, likewise
-ROUNDS = 4  # with leaders, before the rest is compared in blocks
 
 
 @dataclass(frozen=True)
@@ -42,30 +41,37 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     Every document counts. There are 2^20 buckets at any input size: the few hundred shingles of a text are spread
     thinly over them, so that a bucket's count stands out only through shingles that many documents share, and those
-    alone change a weight. A task sends one compressed table, and tables are added up in two steps.
+    alone change a weight. A task sends one compressed table; tables are added up as they stream in, first those of
+    one salt, then each block of those sums, so no task ever holds more than one table.
     """
 
+    def packed(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        full = [(k, zlib.compress(x.tobytes(), 1)) for k, x in enumerate(total.reshape(-1, BLOCK)) if x.any()]
+        if full:
+            blocks, counts = zip(*full, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(counts, pa.binary())], names=["block", "counts"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(S.BUCKETS, np.int64)
         for b in slices(batches, "text", S.CHUNK):
             h, _, _ = S.shingled(b.column("text"))
             total += np.bincount(S.bucket(h), minlength=S.BUCKETS)
-        if total.any():
-            parts = [zlib.compress(x.tobytes(), 1) for x in total.reshape(-1, BLOCK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["block", "counts"])
+        yield from packed(total)
 
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(BLOCK, np.int64)
-        for x in table.column("counts"):
-            total += np.frombuffer(zlib.decompress(x.as_py()), np.int64)
-        return pa.table({"block": table.column("block")[:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(S.BUCKETS, np.int64)
+        for b in batches:
+            for k, x in zip(b.column("block").to_pylist(), b.column("counts"), strict=True):
+                total[k * BLOCK : (k + 1) * BLOCK] += np.frombuffer(zlib.decompress(x.as_py()), np.int64)
+        yield from packed(total)
 
     schema = "block int, counts binary"
-    parts = docs.select("text").mapInArrow(count, schema).withColumn("some", F.pmod(F.spark_partition_id(), F.lit(64)))
-    halves = parts.groupBy("block", "some").applyInArrow(lambda t: add(t), schema)
+    parts = docs.select("text").mapInArrow(count, schema)
+    salt = F.pmod(F.spark_partition_id(), F.lit(salts(docs.sparkSession))).alias("salt")
+    sums = parts.select("*", salt).repartition("salt").select("block", "counts").mapInArrow(add, schema)
     found = np.zeros(S.BUCKETS, np.int64)
-    for r in halves.groupBy("block").applyInArrow(lambda t: add(t), schema).collect():
-        found[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
+    for r in sums.repartition("block").mapInArrow(add, schema).collect():
+        found[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] += np.frombuffer(zlib.decompress(r["counts"]), np.int64)
     return found, docs.count()
 
 
@@ -75,14 +81,17 @@ def inverse_frequencies(docs: DataFrame, common: float) -> np.ndarray:
     return (1 + np.log(max(n, 1) / np.clip(counts, max(1, common * n), max(n, 1)))).astype(np.float32)
 
 
+def content(text: Column) -> Column:
+    """What stands for a whole text; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 def signatures(docs: DataFrame, idf: np.ndarray, settings: Settings) -> DataFrame:
-    """Per row: doc_id, content (128-bit hash of the text), bands (array of hashes, empty without words), samples, size (bytes)."""
+    """Per row: doc_id, content, bands (array of hashes, empty without words), samples, size (bytes)."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
     n = settings.bands * settings.rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for b in slices(batches, "text", S.CHUNK):
             texts = b.column("text").fill_null("")
             h, times, sizes = S.shingled(texts)
@@ -95,8 +104,8 @@ def signatures(docs: DataFrame, idf: np.ndarray, settings: Settings) -> DataFram
             small = np.ascontiguousarray((S.mixed(sig) >> np.uint64(32)).astype(np.uint32))
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column("doc_id").cast(pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(t) for t in texts.cast(pa.binary()).to_pylist()], pa.binary()),
+                    b.column("doc_id"),
+                    b.column("content"),
                     pa.ListArray.from_arrays(pa.array(np.concatenate(([0], full.cumsum())), pa.int32()), flat),
                     pa.array([x.tobytes() for x in small], pa.binary()),
                     pa.compute.binary_length(texts).cast(pa.int64()),
@@ -104,7 +113,8 @@ def signatures(docs: DataFrame, idf: np.ndarray, settings: Settings) -> DataFram
                 names=["doc_id", "content", "bands", "samples", "size"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, content binary, bands array<long>, samples binary, size long")
+    rows = docs.select("doc_id", content(F.col("text")).alias("content"), "text")
+    return rows.mapInArrow(run, id_schema(docs, "content binary, bands array<long>, samples binary, size long"))
 
 
 def agreeing(pairs: DataFrame, least: float) -> DataFrame:
@@ -113,29 +123,40 @@ def agreeing(pairs: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x, y = (np.stack([np.frombuffer(v, np.uint32) for v in b.column(c).to_pylist()]) for c in ("sa", "sb"))
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(b.num_rows, -1) for c in ("sa", "sb"))
                 ok = pa.array((x == y).mean(axis=1) >= least)
                 yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
 
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
-    """The pairs (a, b, ta, tb) whose texts have at least this weighted Jaccard similarity: a, b, similarity."""
-    shared = pairs.sparkSession.sparkContext.broadcast(idf)
+def verified_with_leaders(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
+    """The pairs (a, its leader b) whose texts have at least this weighted Jaccard similarity: a, b, similarity.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "ta", S.CHUNK // 2):
-            sides = []
-            for c in ("ta", "tb"):
-                h, times, sizes = S.shingled(b.column(c))
-                w, ends = S.weights(h, times, shared.value), sizes.cumsum()
-                sides.append([(h[e - n : e], w[e - n : e]) for e, n in zip(ends, sizes, strict=True)])
-            found = np.array([S.similarity(x, y) for x, y in zip(*sides, strict=True)])
-            ok = pa.array(found >= least)
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok), pa.array(found).filter(ok)], names=["a", "b", "similarity"])
+    The members of one leader are dealt over salts; the leader's text goes to each salt that has members, and theirs
+    stream past it, so a leader of any number of members is spread and only its own shingles are kept.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(idf)
+    keyed = pairs.withColumn("g", F.xxhash64("b", F.pmod(F.xxhash64("a"), F.lit(salts(pairs.sparkSession)))))
+    leaders = keyed.select("g", F.col("b").alias("id")).distinct().withColumn("kind", F.lit(0))
+    rows = leaders.unionByName(keyed.select("g", F.col("a").alias("id"), F.lit(1).alias("kind"))).join(texts, "id")
 
-    return pairs.mapInArrow(run, "a long, b long, similarity double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leader, own = None, None
+        for part in slices(batches, "text", S.CHUNK):
+            h, times, sizes = S.shingled(part.column("text"))
+            w, ends = S.weights(h, times, shared.value), sizes.cumsum()
+            found = []
+            for kind, x, end, n in zip(part.column("kind").to_pylist(), part.column("id").to_pylist(), ends, sizes, strict=True):
+                this = h[end - n : end], w[end - n : end]
+                if kind == 0:
+                    leader, own = x, tuple(map(np.copy, this))
+                elif (s := S.similarity(this, own)) >= least:
+                    found.append((x, leader, s))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=["a", "b", "similarity"])
+
+    return rows.select("g", "kind", "id", "text").repartition("g").sortWithinPartitions("g", "kind").mapInArrow(run, "a long, b long, similarity double")
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,13 +181,12 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def likely_in_buckets(members: DataFrame, vertices: DataFrame, least: float) -> DataFrame:
     """All pairs of different classes that share a bucket and whose samples agree in ``least`` of all places, each once.
 
-    ``members`` are (band, key, id, class, home). A bucket's members are dealt over blocks of about ROWS, and each two
-    blocks meet in one place, so that a bucket of any size is spread and none is left out. A pair that shares several
+    ``members`` are (band, key, n, id, class, home), n the members of the bucket. They are dealt over blocks of about
+    ROWS, and each two blocks meet in one place, so that a bucket of any size is spread and none is left out. A pair that shares several
     bands is made in the first. Rows are (g, kind, a, bs): g stands for two homes; kind 1 has a document and those that it is
     to be compared with (64-bit ids), kind 0 names a document of such pairs.
     """
-    sizes = members.groupBy("band", "key").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("blocks"))
-    m = members.join(sizes, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    m = members.withColumn("blocks", F.ceil(F.col("n") / ROWS).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     m = m.join(vertices.select("id", F.col("bands").alias("all"), "samples"), "id")
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     g = F.xxhash64("band", "key", F.least("block", "other"), F.greatest("block", "other"))
@@ -307,83 +327,116 @@ def components(links: DataFrame) -> DataFrame:
     return stored(found, "classes")
 
 
-def near_classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Per row: doc_id, class_id, class_size, n_links: the class of near-duplicates that the row belongs to.
+def merged(classes: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``classes`` (id, class) after new links between vertices, which join whole classes."""
+    if classes is None:
+        return components(links)
+    ends = links.select("a", "b")
+    for end in ("a", "b"):
+        of = classes.select(F.col("id").alias(end), F.col("class").alias("c"))
+        ends = ends.join(of, end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+    step = components(ends)
+    moved = classes.join(step.select(F.col("id").alias("class"), F.col("class").alias("to")), "class", "left")
+    moved = moved.select("id", F.coalesce("to", "class").alias("class"))
+    return stored(moved.unionByName(step.join(classes.select("id"), "id", "left_anti")), "classes")
 
-    Texts are whole; words are cut at ASCII white space, ASCII case folds, shingles are five words (all words of a
-    shorter text), weighed by TF-IDF. Rows of equal text are one vertex, its smallest id. Two texts are linked if
-    their weighted Jaccard similarity is at least ``settings.similarity``; a class is what links join, its id the
-    smallest doc_id. ``n_links`` counts the verified links of the row's text to other texts: enough of them to join
-    the class are made, not every pair of it.
 
-    Candidates come from equal bands of samples. In the first rounds, at most ROUNDS, each member of a bucket is
-    compared with one leader, which is linear in the bucket's size, so thousands of near copies join up at once.
-    Leaders are the members that share their bands with the most others, so they are near the middle of a group, and
-    arbitrary ones every other round. Then every pair of a bucket that is of two classes still is compared, in buckets
-    of all sizes: a class ends only where all its pairs with other classes are decided. Similarity is not transitive,
-    so nobody stands for its class: a bucket is done only when all its members are of one. Comparing starts with
-    samples; texts of the remaining pairs are verified, in the last step by blocks, each text cut into shingles once
-    a block.
-
-    Null text counts as empty. Texts without words are alike only to each other. Rows with a null id are of the
-    class of the text they have; a text that only such rows have is compared with none and has class null. Rows that repeat are in one class. An empty table gives no rows. Columns other than
-    doc_id and text are not looked at.
-    """
+def text_classes(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, content, salt), and their texts (content, first: smallest id, copies, class, n_links)."""
+    spark = docs.sparkSession
     idf = inverse_frequencies(docs, settings.common)
-    sig = stored(signatures(docs, idf, settings), "signatures")
-    # One vertex for each text.
-    vertices = stored(
-        sig.groupBy("content").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("bands", "samples", "size"), "doc_id").alias("s")).select("id", "s.*").where("id is not null"), "vertices"
-    )
+    # Stored, so the salt of a row is fixed.
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts(spark))).cast("int")
+    sig = stored(signatures(docs, idf, settings).withColumn("salt", salt), "signatures")
+    by_text = sig.groupBy("content").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.any_value(F.struct("bands", "samples", "size")).alias("s"))
+    vertices = stored(by_text.select(F.monotonically_increasing_id().alias("id"), "content", "first", "copies", "s.*"), "vertices")
+
     rows = vertices.select("id", "size", F.posexplode("bands").alias("band", "key"))
     crowded = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / ROWS), F.ceil(F.sum("size") / BYTES)).alias("parts")).where("n > 1")
     members = rows.join(crowded, ["band", "key"])
     # Who shares its bands with many is near the middle of a group, and leads; a home is a part of one's largest bucket.
     central = members.groupBy("id").agg(F.sum("n").alias("central"), F.max(F.struct("n", "band", "key", "parts")).alias("h"))
     home = F.xxhash64("h.band", "h.key", F.pmod(F.xxhash64("id"), F.col("h.parts")))
-    members = stored(members.select("band", "key", "id").join(central.select("id", "central", home.alias("home")), "id"), "members")
+    members = members.select("band", "key", "parts", "id", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
+    members = stored(members.join(central.select("id", "central", home.alias("home")), "id"), "members")
+    # One plan at every size: the texts of candidates are shuffled once, whether or not their keys would fit a broadcast.
+    named = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("name")
+    wanted = vertices.join(members.select("id").distinct(), "id", "left_semi").select("id", "content", F.coalesce(F.col("first").cast("string"), F.lit("")).alias("name"))
+    texts = docs.select(content(F.col("text")).alias("content"), named, "text").join(wanted.hint("merge"), ["content", "name"])
+    texts = stored(texts.dropDuplicates(["content", "name"]).select("id", "text"), "texts")
+
+    # Each member and its bucket's leader.
     samples = vertices.select("id", "samples")
-    # One plan at every size: the texts of candidates are shuffled once by id, whether or not the ids would fit a broadcast.
-    wanted = members.select("id").distinct().hint("merge")
-    texts = stored(docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id").dropDuplicates(["id"]), "texts")
-
-    links = classes = None
-    turn, found = 0, True
-    members = members.withColumn("class", F.col("id"))
-    while found and turn < ROUNDS and not members.isEmpty():
-        # Every other round the leaders are arbitrary ones, another in each bucket.
-        order = F.struct((-F.col("central") if turn % 2 == 0 else F.lit(0)).alias("c"), F.xxhash64("id", "band", "key", F.lit(turn)).alias("h"))
-        lead = members.groupBy("band", "key").agg(F.min(F.struct(order.alias("o"), F.col("id").alias("b"), F.col("class").alias("class_b"))).alias("l"))
-        lead = lead.select("band", "key", "l.b", "l.class_b")
-        pairs = members.withColumnRenamed("id", "a").join(lead, ["band", "key"]).where("class <> class_b").select("a", "b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        sided = pairs.join(samples.select(F.col("id").alias("a"), F.col("samples").alias("sa")), "a")
-        sided = sided.join(samples.select(F.col("id").alias("b"), F.col("samples").alias("sb")), "b")
-        likely = stored(agreeing(sided.select("a", "b", "sa", "sb"), settings.agreement), "likely")
-        full = likely.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        full = full.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-        new = stored(verified(full.select("a", "b", "ta", "tb"), idf, settings.similarity), "verified")
-        found = not new.isEmpty()
-        links = new if links is None else links.unionByName(new)
-        classes = components(links)
-        # A bucket is done when it is of one class.
-        left = members.drop("class").join(classes, "id", "left").select("band", "key", "id", "central", "home", F.coalesce("class", "id").alias("class"))
-        several = left.groupBy("band", "key").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("band", "key")
-        members = stored(left.join(several, ["band", "key"]), "members")
-        turn += 1
-    if not members.isEmpty():
-        likely = stored(likely_in_buckets(members, vertices, settings.agreement), "likely")
-        links = links.unionByName(stored(verified_in_blocks(likely, texts, idf, settings.similarity), "verified"))
-        classes = components(links)
-
-    own = sig.groupBy("content").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
-    if links is not None:
-        ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-        own = own.join(classes, "id", "left").join(ends, "id", "left")
-    else:
-        own = own.withColumn("class", F.col("id")).withColumn("n_links", F.lit(0))
-    own = own.select("content", "copies", F.coalesce("class", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    own = stored(own, "own")
-    sizes = own.where("class_id is not null").groupBy("class_id").agg(F.sum("copies").alias("class_size"))
-    own = own.join(sizes, "class_id", "left").select("content", "class_id", F.coalesce("class_size", "copies").alias("class_size"), "n_links")
-    return sig.select("doc_id", "content").join(own, "content").select("doc_id", "class_id", "class_size", "n_links")
+    lead = members.groupBy("band", "key").agg(F.max(F.struct("central", F.xxhash64("id", "band", "key").alias("h"), F.col("id").alias("b"))).alias("l"), F.max("parts").alias("parts"))
+    lead = lead.select("band", "key", "parts", "l.b").join(samples.select(F.col("id").alias("b"), F.col("samples").alias("sb")), "b")
+    lead = lead.select("band", "key", "b", "sb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    met = members.select("band", "key", "part", F.col("id").alias("a")).join(lead, ["band", "key", "part"]).where("a <> b")
+    met = met.select("a", "b", "sb").join(samples.select(F.col("id").alias("a"), F.col("samples").alias("sa")), "a")
+    likely = stored(agreeing(met.select("a", "b", "sa", "sb"), settings.agreement).distinct(), "likely")
+    links = stored(verified_with_leaders(likely, texts, idf, settings.similarity), "verified")
+    classes = merged(None, links)
+
+    # All pairs of different classes in the buckets that have several.
+    left = stored(members.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id")), "members")
+    several = left.groupBy("band", "key").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count("*").alias("n"), F.max("parts").alias("parts")).where("x <> y")
+    several = several.select("band", "key", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    left = left.join(several, ["band", "key", "part"]).select("band", "key", "n", "id", "class", "home")
+    likely = stored(likely_in_buckets(left, vertices, settings.agreement), "likely")
+    more = stored(verified_in_blocks(likely, texts, idf, settings.similarity), "verified")
+    classes, links = merged(classes, more), links.unionByName(more)
+
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+    own = vertices.select("id", "content", "first", "copies").join(classes, "id", "left").join(ends, "id", "left")
+    own = own.select("content", "first", "copies", F.coalesce("class", "id").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return sig.select("doc_id", "content", "salt"), stored(own, "own")
+
+
+def near_classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Per row: doc_id, class_id, class_size, n_links: the class of near-duplicates that the row belongs to.
+
+    Texts are whole; words are cut at ASCII white space, ASCII case folds, shingles are five words (all words of a
+    shorter text), weighed by TF-IDF. Rows of equal text are one vertex, whatever their ids. Two texts are linked if
+    their weighted Jaccard similarity is at least ``settings.similarity``; a class is what links join, its id the
+    smallest doc_id. ``n_links`` counts the verified links of the row's text to other texts: enough of them to join
+    the class are made, not every pair of it.
+
+    Candidates come from equal bands of samples. First each member of a bucket is compared with the bucket's leader,
+    the member that shares its bands with the most others and so is near the middle of a group: this is linear in
+    the bucket's size and joins up thousands of near copies at once. Then every pair of a bucket that is of two
+    classes still is compared, in buckets of all sizes: a class ends only where all its pairs with other classes are
+    decided. Similarity is not transitive, so nobody stands for its class: a bucket is done only when all its members
+    are of one. Comparing starts with samples; texts of the remaining pairs are verified, in the last step by blocks,
+    each text cut into shingles once a block. What stands under one key (a bucket, a leader) is salted; the two
+    look-ups of narrow rows, by bucket and by class, are sort-merge joins whose large partitions adaptive execution
+    splits.
+
+    Null text counts as empty. Texts without words are alike only to each other. Null ids are compared like others;
+    a class that only has rows with null ids has class_id null. Rows that repeat, also an id with several texts, are
+    each of the class of their own text. An empty table gives no rows. Columns other than doc_id and text are not
+    looked at, whatever they are called.
+    """
+    sig, own = text_classes(docs, settings)
+    of_class = own.groupBy("class").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
+    own = own.join(of_class, "class").select("content", "class_id", "class_size", "n_links")
+    # A text that many rows have is looked up by each of its salts.
+    own = sig.select("content", "salt").distinct().join(own, "content")
+    return sig.join(own, ["content", "salt"]).select("doc_id", "class_id", "class_size", "n_links")
+
+
+def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """One row of each class of near-duplicates, as ``near_classes`` has them; columns as in ``docs``.
+
+    The row with the smallest id stays, of equal ids that whose text's hash is smallest, a null id only where the
+    class has no other; of rows that repeat both id and text one stays. Rows are told apart by text, so a text that
+    is like no other stays whatever else its id stands for. Empty and null texts are one class, an empty table gives
+    no rows. Extra columns are carried along, whatever they are called.
+    """
+    _, own = text_classes(docs, settings)
+    keeper = F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first"), F.col("content"))).alias("k")
+    marked = own.join(own.groupBy("class").agg(keeper), "class").withColumn("gone", F.col("content") != F.col("k.content"))
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    marked = marked.where("gone or copies > 1").select("content", "gone", name("first").alias("keep"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), content(F.col("text")).alias("content"), name("doc_id").alias("name"))
+    rows = rows.join(marked, "content", "left").where("keep is null or not gone and keep = name")
+    single, several = rows.where("keep is null"), rows.where("keep is not null").dropDuplicates(["content", "name"])
+    return single.select("row.*").unionByName(several.select("row.*"))

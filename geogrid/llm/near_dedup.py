@@ -178,77 +178,70 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(kept)
 
 
-def likely_in_buckets(members: DataFrame, vertices: DataFrame, least: float) -> DataFrame:
+def likely_in_homes(members: DataFrame, vertices: DataFrame, least: float) -> DataFrame:
     """All pairs of different classes that share a bucket and whose samples agree in ``least`` of all places, each once.
 
-    ``members`` are (band, key, n, id, class, home), n the members of the bucket. They are dealt over blocks of about
-    ROWS, and each two blocks meet in one place, so that a bucket of any size is spread and none is left out. A pair that shares several
-    bands is made in the first. Rows are (g, kind, a, bs): g stands for two homes; kind 1 has a document and those that it is
-    to be compared with (64-bit ids), kind 0 names a document of such pairs.
+    ``members`` are (band, key, n, parts, id, class). Everyone has one home, a part of about ROWS members or BYTES of
+    its largest bucket. Two homes that meet in some bucket meet once, in a place g of their own, whatever number of
+    buckets they share, so a bucket of any size is spread, none is left out, and no pair is made twice. Rows are
+    (g, kind, id, pairs): kind 0 names a document of such pairs, kind 1 has the pairs, both sides' 64-bit ids.
     """
-    m = members.withColumn("blocks", F.ceil(F.col("n") / ROWS).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    m = m.join(vertices.select("id", F.col("bands").alias("all"), "samples"), "id")
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    g = F.xxhash64("band", "key", F.least("block", "other"), F.greatest("block", "other"))
-    m = m.select(g.alias("g"), "id", "class", "home", "band", (F.col("block") > F.col("other")).alias("second"), (F.col("block") != F.col("other")).alias("cross"), "all", "samples")
-
-    def agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        if len(x) * len(y) <= 1024:
-            return (x[:, None, :] == y[None, :, :]).sum(axis=2)
-        found = np.zeros((len(x), len(y)), np.int16)
-        for k in range(x.shape[1]):
-            found += x[:, k, None] == y[None, :, k]
-        return found
+    largest = F.max(F.struct("n", "band", "key", "parts"))
+    homes = members.groupBy("id").agg(largest.alias("h"), F.max("class").alias("class"))
+    home = F.xxhash64("h.band", "h.key", F.pmod(F.xxhash64("id"), F.col("h.parts")))
+    homes = stored(homes.select("id", "class", home.alias("home")), "homes")
+    present = members.select("band", "key", "id").join(homes, "id").groupBy("band", "key", "home").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
+    x = present.select("band", "key", F.col("home").alias("x"), F.col("lo").alias("xl"), F.col("hi").alias("xh"))
+    y = present.select("band", "key", F.col("home").alias("y"), F.col("lo").alias("yl"), F.col("hi").alias("yh"))
+    places = x.join(y, ["band", "key"]).where("x <= y and least(xl, yl) < greatest(xh, yh)").select("x", "y").distinct()
+    sides = F.when(F.col("x") == F.col("y"), F.array("x")).otherwise(F.array("x", "y"))
+    places = places.select(F.xxhash64("x", "y").alias("g"), F.posexplode(sides).alias("side", "home"))
+    m = homes.join(places, "home").join(vertices.select("id", "bands", "samples"), "id").select("g", "side", "id", "class", "bands", "samples")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in runs(batches):
-            g, ids, classes, homes, band, second, cross = (b.column(c).to_numpy(zero_copy_only=False) for c in ("g", "id", "class", "home", "band", "second", "cross"))
-            bands = b.column("all").flatten().to_numpy().reshape(len(ids), -1)
+            g, side, ids, classes = (b.column(c).to_numpy(zero_copy_only=False) for c in ("g", "side", "id", "class"))
+            bands = b.column("bands").flatten().to_numpy().reshape(len(ids), -1)
             samples = np.frombuffer(b"".join(b.column("samples").to_pylist()), np.uint32).reshape(len(ids), -1)
             edges = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
-            lo, hi = [], []
+            out: list[tuple[int, int, int | None, bytes | None]] = []
             for start, end in zip(edges, edges[1:], strict=False):
-                x = y = np.arange(start, end)
-                if cross[start]:
-                    x, y = x[~second[start:end]], y[second[start:end]]
-                for at in range(0, len(x), ROWS):
-                    part = x[at : at + ROWS]
-                    ok = (agree(samples[part], samples[y]) >= least * samples.shape[1]) & (classes[part][:, None] != classes[y][None, :])
-                    i, j = np.nonzero(ok)
-                    i, j = part[i], y[j]
-                    if not cross[start]:
-                        i, j = i[ids[i] < ids[j]], j[ids[i] < ids[j]]
-                    k = band[start]
-                    first = (bands[i, k] == bands[j, k]) & ~(bands[i, :k] == bands[j, :k]).any(axis=1)
-                    lo.append(i[first])
-                    hi.append(j[first])
-            i, j = np.concatenate(lo), np.concatenate(hi)
-            if not len(i):
-                continue
-            to = S.mixed(np.minimum(homes[i], homes[j]).view(np.uint64) + S.mixed(np.maximum(homes[i], homes[j]).view(np.uint64))).view(np.int64)
-            order = np.lexsort((ids[i], to))
-            to, a, other = to[order], ids[i][order], ids[j][order]
-            cut = [0, *(np.flatnonzero((to[1:] != to[:-1]) | (a[1:] != a[:-1])) + 1).tolist(), len(to)]
-            named = np.unique(np.stack((np.concatenate((to, to)), np.concatenate((a, other))), axis=1), axis=0)
-            bs = [other[p:q].tobytes() for p, q in zip(cut, cut[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate((named[:, 0], to[cut[:-1]]))),
-                    pa.array(np.repeat([0, 1], [len(named), len(bs)]), pa.int32()),
-                    pa.array(np.concatenate((named[:, 1], a[cut[:-1]]))),
-                    pa.array([None] * len(named) + bs, pa.binary()),
-                ],
-                names=["g", "kind", "a", "bs"],
-            )
-
-    return m.repartition("g").sortWithinPartitions("g").mapInArrow(run, "g long, kind int, a long, bs binary")
+                second = np.flatnonzero(side[start:end]) + start
+                x, y = np.flatnonzero(side[start:end] == 0) + start, second
+                if one := not len(second):
+                    y = x
+                lo, hi = [], []
+                for part in np.split(x, range(64, len(x), 64)):
+                    differ = classes[part][:, None] != classes[y][None, :]
+                    if not differ.any():
+                        continue
+                    share, agree = np.zeros(differ.shape, bool), np.zeros(differ.shape, np.int16)
+                    for k in range(bands.shape[1]):
+                        share |= bands[part, k][:, None] == bands[y, k][None, :]
+                    for k in range(samples.shape[1]):
+                        agree += samples[part, k][:, None] == samples[y, k][None, :]
+                    i, j = np.nonzero(differ & share & (agree >= least * samples.shape[1]))
+                    i, j = ids[part[i]], ids[y[j]]
+                    lo.append(i[i < j] if one else i)
+                    hi.append(j[i < j] if one else j)
+                if lo and sum(map(len, lo)):
+                    pairs = np.stack((np.concatenate(lo), np.concatenate(hi)))
+                    out += [(g[start], 0, int(n), None) for n in np.unique(pairs)]
+                    out.append((g[start], 1, None, pairs.tobytes()))
+            if out:
+                cols = zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], names=["g", "kind", "id", "pairs"])
+
+    return m.repartition("g").sortWithinPartitions("g").mapInArrow(run, "g long, kind int, id long, pairs binary")
 
 
 def verified_in_blocks(likely: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
-    """As ``verified``, from the rows of ``likely_in_buckets``: a text goes once to each g, and is cut into shingles once there."""
+    """The pairs of ``likely_in_homes`` whose texts have at least this weighted Jaccard similarity: a, b, similarity.
+
+    A text goes once to each g, and is cut into shingles once there.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(idf)
-    named = likely.where("kind = 0").select("g", "a").distinct()
-    named = named.join(texts.select(F.col("id").alias("a"), "text"), "a").select("g", F.lit(0).alias("kind"), "a", F.lit(None).cast("binary").alias("bs"), "text")
+    named = likely.where("kind = 0").join(texts, "id").select("g", "kind", "pairs", "id", "text")
     rows = named.unionByName(likely.where("kind = 1").withColumn("text", F.lit(None).cast("string")))
 
     def compare(known: dict, pairs: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -289,7 +282,7 @@ def verified_in_blocks(likely: DataFrame, texts: DataFrame, idf: np.ndarray, lea
             for part in slices(iter([whole]), "text", S.CHUNK):
                 h, times, sizes = S.shingled(part.column("text"))
                 w, ends = S.weights(h, times, shared.value), sizes.cumsum()
-                for g, kind, x, bs, end, n in zip(*(part.column(c).to_pylist() for c in ("g", "kind", "a", "bs")), ends, sizes, strict=True):
+                for g, kind, x, bs, end, n in zip(*(part.column(c).to_pylist() for c in ("g", "kind", "id", "pairs")), ends, sizes, strict=True):
                     if g != group:
                         if pairs:
                             yield result()
@@ -297,7 +290,10 @@ def verified_in_blocks(likely: DataFrame, texts: DataFrame, idf: np.ndarray, lea
                     if kind == 0:
                         known[x] = (h[end - n : end], w[end - n : end])
                     else:
-                        pairs.append((x, np.frombuffer(bs, np.int64)))
+                        a, b = np.frombuffer(bs, np.int64).reshape(2, -1)
+                        order = np.argsort(a, kind="stable")
+                        names, starts = np.unique(a[order], return_index=True)
+                        pairs += zip(names.tolist(), np.split(b[order], starts[1:]), strict=True)
         if pairs:
             yield result()
 
@@ -354,11 +350,10 @@ def text_classes(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFr
     rows = vertices.select("id", "size", F.posexplode("bands").alias("band", "key"))
     crowded = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / ROWS), F.ceil(F.sum("size") / BYTES)).alias("parts")).where("n > 1")
     members = rows.join(crowded, ["band", "key"])
-    # Who shares its bands with many is near the middle of a group, and leads; a home is a part of one's largest bucket.
-    central = members.groupBy("id").agg(F.sum("n").alias("central"), F.max(F.struct("n", "band", "key", "parts")).alias("h"))
-    home = F.xxhash64("h.band", "h.key", F.pmod(F.xxhash64("id"), F.col("h.parts")))
+    # Who shares its bands with many is near the middle of a group, and leads.
+    central = members.groupBy("id").agg(F.sum("n").alias("central"))
     members = members.select("band", "key", "parts", "id", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
-    members = stored(members.join(central.select("id", "central", home.alias("home")), "id"), "members")
+    members = stored(members.join(central, "id"), "members")
     # One plan at every size: the texts of candidates are shuffled once, whether or not their keys would fit a broadcast.
     named = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("name")
     wanted = vertices.join(members.select("id").distinct(), "id", "left_semi").select("id", "content", F.coalesce(F.col("first").cast("string"), F.lit("")).alias("name"))
@@ -379,9 +374,9 @@ def text_classes(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFr
     # All pairs of different classes in the buckets that have several.
     left = stored(members.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id")), "members")
     several = left.groupBy("band", "key").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count("*").alias("n"), F.max("parts").alias("parts")).where("x <> y")
-    several = several.select("band", "key", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    left = left.join(several, ["band", "key", "part"]).select("band", "key", "n", "id", "class", "home")
-    likely = stored(likely_in_buckets(left, vertices, settings.agreement), "likely")
+    several = several.select("band", "key", "n", F.greatest(F.ceil(F.col("n") / ROWS), F.least("parts", "n")).alias("homes"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    left = left.drop("parts").join(several, ["band", "key", "part"]).select("band", "key", "n", F.col("homes").alias("parts"), "id", "class")
+    likely = stored(likely_in_homes(left, vertices, settings.agreement), "likely")
     more = stored(verified_in_blocks(likely, texts, idf, settings.similarity), "verified")
     classes, links = merged(classes, more), links.unionByName(more)
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import salts
 
+MOST_SALTS = 240
+
 
 def exact_groups(
     docs: DataFrame,
@@ -22,31 +24,31 @@ def exact_groups(
     ``kept`` and ``text_sha256``. Three combining steps, each of which compares whole texts and not only digests:
     rows of one task are combined by the partial aggregate before anything is shuffled; the groups of one salt are
     combined after the first shuffle; the winners of the salts, at most one row per salt and text, after the second.
-    A salt is a task of the first scan, so a text that makes up a third of all rows is still one row per task when
-    it is shuffled. Ids are looked up by (digest, salt), again a key that no group can make hot.
+    The salt of the combining is the task of the first scan, so a text that makes up a third of all rows is still one
+    row per task when it is shuffled. Ids are looked up by digest and a second salt, a hash of the id that any task
+    computes alike; there are as many salts as shuffle partitions, but MOST_SALTS at most. More would only split one
+    text's ids, rows of a hundred bytes, over more than 240 tasks.
 
     Null text counts as empty. Rows that repeat an id: ``kept`` is true for each copy of the winning id. A null id
-    is smaller than any other and stays only where all ids of its group are null. An empty table gives no rows. Other columns of
-    the input are not looked at.
+    is smaller than any other and stays only where all ids of its group are null. Very long texts are compared whole.
+    An empty table gives no rows. Other columns of the input are not looked at, whatever they are called.
     """
-    words = -(-min(240, salts(docs.sparkSession)) // 60)
+    words = -(-min(MOST_SALTS, salts(docs.sparkSession)) // 60)
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         normalise(F.coalesce(F.col(text_col), F.lit(""))).alias("content"),
-        F.pmod(F.spark_partition_id(), F.lit(60 * words)).alias("salt"),
+        F.pmod(F.xxhash64(F.col(id_col)), F.lit(60 * words)).cast("int").alias("salt"),
     ).withColumn("digest", F.sha2("content", 256))
 
-    by_salt = rows.groupBy("digest", "salt", "content").agg(F.max("doc_id").alias("best"), F.count("*").alias("n"))
     bit = lambda s: F.call_function("shiftleft", F.lit(1).cast("long"), s.cast("int"))
-    # The salts that a text has, as bits of a few longs.
-    bits = [
-        F.bit_or(F.when(F.col("salt").between(60 * k, 60 * k + 59), bit(F.col("salt") - 60 * k)))
-        for k in range(words)
-    ]
+    # The salts that the ids of a text have, as bits of a few longs.
     masks = [f"mask{k}" for k in range(words)]
-    by_text = by_salt.groupBy("digest", "content").agg(
-        F.max("best").alias("keep_id"), F.sum("n").alias("group_size"), F.min("salt").alias("low"), F.max("salt").alias("high"),
-        *[b.alias(m) for b, m in zip(bits, masks, strict=True)],
+    bits = [F.bit_or(F.when(F.col("salt").between(60 * k, 60 * k + 59), bit(F.col("salt") - 60 * k))).alias(m) for k, m in enumerate(masks)]
+    of_task = F.pmod(F.spark_partition_id(), F.lit(60 * words)).alias("task")
+    by_task = rows.groupBy("digest", of_task, "content").agg(F.max("doc_id").alias("best"), F.count("*").alias("n"), F.min("salt").alias("low"), F.max("salt").alias("high"), *bits)
+    by_text = by_task.groupBy("digest", "content").agg(
+        F.max("best").alias("keep_id"), F.sum("n").alias("group_size"), F.min("low").alias("low"), F.max("high").alias("high"),
+        *[F.bit_or(m).alias(m) for m in masks],
     )
     # The look-up is by digest: were there two texts of one digest, the query would stop here.
     found = by_text.groupBy("digest").agg(*[F.max(c).alias(c) for c in ("keep_id", "group_size", "low", "high", *masks)], F.count("*").alias("texts"))
@@ -75,7 +77,7 @@ def deduplicated(
     The same steps as ``exact_groups``, with the row that stays carried along instead of looked up. Of rows that
     repeat an id and a text one stays. Null text counts as empty; a row that stays keeps its own text.
     """
-    words = -(-min(240, salts(docs.sparkSession)) // 60)
+    words = -(-min(MOST_SALTS, salts(docs.sparkSession)) // 60)
     rest = [F.col(c) for c in docs.columns if c != text_col]
     same = F.when(F.col(text_col).isNotNull(), normalise(F.col(text_col)) == F.col(text_col))
     # The text itself is carried only where the content doesn't tell it.

@@ -15,6 +15,7 @@ from .tokens import slices
 
 UND = "und"
 LEVEL = 9  # of compression
+SLACK = 3
 LEAD = 3000  # bytes of a dictionary that go before a text where languages tie
 RESULT = "lang_pred string, score double, margin double, rejected boolean"
 
@@ -57,6 +58,7 @@ def predict(
     dictionaries: dict[str, bytes],
     keep: tuple[str, ...] = ("doc_id",),
     least_margin: float = 0.005,
+    least_saved: float = 0.01,
     per_byte: float = 0.35,
     result: str = "language",
 ) -> DataFrame:
@@ -69,6 +71,8 @@ def predict(
     of exp(-per_byte * bytes) that the predicted language has, from 1 / number of languages to 1, and ``margin`` is
     how many bytes the second language needs beyond the first, as a share of the first's. A prediction is
     ``rejected`` where that is below ``least_margin``: no dictionary explains the text clearly better than another.
+    It is also rejected where the best dictionary saves less than ``least_saved`` of the bytes that the text takes
+    without one, beyond SLACK bytes that chance may cost: no language explains it, as with foreign scripts and codes.
 
     Null text, empty text and text without a letter give ``und``, score 0, margin 0, rejected; so does every text if
     there is no dictionary. With one dictionary score and margin are 1. Rows that repeat, and null ids, are rows like
@@ -79,7 +83,7 @@ def predict(
     if result.lower() in {c.lower() for c in keep}:
         raise ValueError(f"the column {result} is there already; name another result")
 
-    def compressors() -> tuple[list, list]:
+    def compressors() -> tuple:
         import zstandard as z
 
         def of(data: bytes) -> "z.ZstdCompressor":
@@ -89,22 +93,24 @@ def predict(
 
         lead = [dictionaries[x][:LEAD] for x in langs]
         after = [of(dictionaries[x][LEAD:]) for x in langs]
-        return [of(dictionaries[x]) for x in langs], [(c, x, len(c.compress(x))) for c, x in zip(after, lead, strict=True)]
+        begun = [(c, x, len(c.compress(x))) for c, x in zip(after, lead, strict=True)]
+        return [of(dictionaries[x]) for x in langs], begun, z.ZstdCompressor(level=LEVEL, write_content_size=False)
 
-    def sizes(data: bytes, whole: list, begun: list) -> list[int]:
+    def sizes(data: bytes, whole: list, begun: list, bare) -> tuple[list[int], bool]:  # noqa: ANN001
         found = [len(c.compress(data)) for c in whole]
+        told = min(found) <= (1 - least_saved) * len(bare.compress(data)) + SLACK
         if found.count(min(found)) > 1:
-            return [len(c.compress(lead + data)) - n for c, lead, n in begun]
-        return found
+            found = [len(c.compress(lead + data)) - n for c, lead, n in begun]
+        return found, told
 
     def of(text: str | None, made: tuple) -> tuple[str, float, float, bool]:
         if not text or not langs or not (text[:1].isalpha() or any(map(str.isalpha, text))):
             return UND, 0.0, 0.0, True
-        found = sizes(text.lower().encode("utf-8", "replace"), *made)
+        found, told = sizes(text.lower().encode("utf-8", "replace"), *made)
         low = sorted(found)
         score = 1 / math.fsum(math.exp(-per_byte * (s - low[0])) for s in found)
         margin = (low[1] - low[0]) / max(1, low[0]) if len(low) > 1 else 1.0
-        return langs[found.index(low[0])], score, margin, margin < least_margin
+        return langs[found.index(low[0])], score, margin, margin < least_margin or not told
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = compressors()

@@ -75,7 +75,8 @@ def mixed(
     gives no rows. Columns other than doc_id, text and source are not looked at.
     """
     spark = docs.sparkSession
-    slim = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "source", n_words(F.col("text")).alias("size"))
+    # Stored before it is ranged: finding the ranges reads it a second time, and words are counted once.
+    slim = stored(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "source", n_words(F.col("text")).alias("size")), "sizes")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = slim.repartitionByRange(n, "source", "size", "doc_id", "text_hash")
     # Stored once: both uses below must see the same cut.
@@ -97,7 +98,8 @@ def mixed(
     x = slim.withColumn("nth", F.row_number().over(within))
     starts = starts.withColumnsRenamed({"source": "of", "part": "of_part"})
     x = x.join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part")))
-    upto = lambda rows: F.floor((rows.cast("decimal(19,0)") * F.col("rate") + F.col("first")) / F.lit(UNIT))
+    # Whole numbers throughout: a quotient of decimals would be rounded up just below an integer.
+    upto = lambda rows: F.call_function("div", rows.cast("decimal(19,0)") * F.col("rate").cast("decimal(11,0)") + F.col("first"), F.lit(UNIT).cast("decimal(11,0)"))
     last = F.col("rows_before") + F.col("nth")
     return x.select("doc_id", "text_hash", "source", "size", "source_size", "target", (upto(last) - upto(last - 1)).cast("int").alias("copies"))
 
@@ -105,13 +107,19 @@ def mixed(
 def emit(docs: DataFrame, mix: DataFrame) -> DataFrame:
     """The documents of the mix, each as often as ``mix`` says; columns as in ``docs``.
 
-    doc_id is the key of documents. Rows that repeat both id and text share their copies, rounded up for each.
+    doc_id is the key of documents. Rows that repeat both id and text share their copies, and it is dealt out which
+    of them have one more, so the mix gets just as many as it says. Null ids and texts are keys like others, an empty
+    table gives no rows, and extra columns are carried along, whatever they are called.
     """
     copies = mix.groupBy(F.col("doc_id").alias("__mix_id"), F.col("text_hash").alias("__mix_hash")).agg(
-        F.ceil(F.sum("copies") / F.count("*")).cast("int").alias("__mix_copies")
+        F.sum("copies").alias("__mix_copies"), F.count("*").alias("__mix_rows")
     )
-    keyed = docs.withColumn("__mix_of", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("__mix_id")) & (F.col("__mix_of") == F.col("__mix_hash"))
-    x = keyed.join(copies.where("__mix_copies > 0"), same)
-    x = x.withColumn("__mix_nth", F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))))
-    return x.select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__mix_row"), F.col("doc_id").alias("__mix_doc"), F.xxhash64("text").alias("__mix_of"))
+    same = F.col("__mix_doc").eqNullSafe(F.col("__mix_id")) & (F.col("__mix_of") == F.col("__mix_hash"))
+    x = rows.join(copies.where("__mix_copies > 0"), same)
+    single, several = x.where("__mix_rows = 1").withColumn("__mix_nth", F.lit(1)), x.where("__mix_rows > 1")
+    nth = F.row_number().over(Window.partitionBy("__mix_id", "__mix_hash").orderBy(F.xxhash64("__mix_row")))
+    x = single.unionByName(several.withColumn("__mix_nth", nth))
+    total, n = F.col("__mix_copies"), F.col("__mix_rows")
+    own = F.call_function("div", total, n) + (F.col("__mix_nth") <= total % n).cast("int")
+    return x.where(own > 0).withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), own))).select("__mix_row.*")

@@ -12,14 +12,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import salts, scratch
 
 END = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = (
     "record_id string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, "
-    "content_key string, refers_to long, payload binary"
+    "content_key string, refers_to long, date string, payload binary"
 )
 
 
@@ -30,8 +30,24 @@ def sha1_base32(data: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def write(records: DataFrame, path: str, archive_bytes: int = 32 << 20, mean_bytes: float | None = None, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write records (record_id, page_id, url, record_type, payload_bytes, payload_digest, refers_to, refers_id, payload) as gzipped WARC 1.1.
+def now() -> Column:
+    """The time of the query, as WARC dates are written."""
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz"))
+    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def fresh_id(*of: Column) -> Column:
+    """A record id made from a hash, so that a task that runs again makes the same one."""
+    h = F.md5(F.concat_ws("\n", *of))
+    return F.concat(F.lit("urn:uuid:"), F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
+
+
+def write(records: DataFrame, path: str, archive_bytes: int = 32 << 20, mean_bytes: float | None = None) -> None:
+    """Write records as gzipped WARC 1.1.
+
+    ``records`` has record_id, date, page_id, url, record_type, payload_bytes, payload_digest, payload, and for
+    revisits refers_to, refers_id, refers_uri, refers_date, null elsewhere. Null urls are left out, line ends in them
+    are escaped; null payloads are empty. An empty table gives an empty folder.
 
     A record is a row of Spark's text writer, whose line end is the empty line that closes a WARC record; so tasks
     commit their archives as they do for any table, to any file system that Spark reaches. ``payload`` is a string
@@ -46,11 +62,13 @@ def write(records: DataFrame, path: str, archive_bytes: int = 32 << 20, mean_byt
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.col("record_type")),
         line("WARC-Record-ID", F.concat(F.lit("<"), F.col("record_id"), F.lit(">"))),
-        line("WARC-Date", F.lit(date)),
+        line("WARC-Date", F.col("date")),
         optional("WARC-Target-URI", one_line(F.col("url"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         optional("WARC-Profile", F.when(F.col("record_type") == "revisit", F.lit(PROFILE))),
         optional("WARC-Refers-To", F.concat(F.lit("<"), F.col("refers_id"), F.lit(">"))),
+        optional("WARC-Refers-To-Target-URI", one_line(F.col("refers_uri"))),
+        optional("WARC-Refers-To-Date", F.col("refers_date")),
         optional("X-Refers-To-Page", F.col("refers_to").cast("string")),
         optional("X-Page", F.col("page_id").cast("string")),
         line("X-Payload-Bytes", F.col("payload_bytes").cast("string")),
@@ -87,7 +105,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("content_key", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+        schema = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("content_key", pa.string()), ("refers_to", pa.int64()), ("date", pa.string()), ("payload", pa.binary())])
         number = lambda h, name: int(h[name]) if name in h else None
         for b in batches:
             for content in b.column("content"):
@@ -100,7 +118,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                     if kind != "revisit":
                         digest, n = base64.b32encode(hashlib.sha1(payload).digest()).decode(), len(payload)
                         key = hashlib.sha256(payload).hexdigest()
-                    rows.append((h.get("warc-record-id", "").strip("<>"), number(h, "x-page"), h.get("warc-target-uri"), kind, n, digest, key, number(h, "x-refers-to-page"), payload if payloads and kind != "revisit" else None))
+                    rows.append((h.get("warc-record-id", "").strip("<>"), number(h, "x-page"), h.get("warc-target-uri"), kind, n, digest, key, number(h, "x-refers-to-page"), h.get("warc-date"), payload if payloads and kind != "revisit" else None))
                     size += len(payload)
                     if size > 8 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -121,13 +139,15 @@ def archived(pages: DataFrame, archive_bytes: int = 32 << 20) -> tuple[str, floa
     payload = F.coalesce(F.col("html"), F.lit(""))
     mean = pages.select(F.avg(F.octet_length(payload)).alias("m")).first()["m"] or 0.0
     path = scratch(spark, "warc")
+    # The place in the table tells rows apart that repeat.
     nth = F.monotonically_increasing_id().cast("string")
     write(
         pages.select(
-            F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(":"), nth).alias("record_id"),
+            fresh_id(F.lit(path), F.col("page_id").cast("string"), nth).alias("record_id"), now().alias("date"),
             F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.lit("response").alias("record_type"),
             F.octet_length(payload).cast("long").alias("payload_bytes"), sha1_base32(payload).alias("payload_digest"),
-            F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("refers_id"), payload.alias("payload"),
+            F.lit(None).cast("long").alias("refers_to"), payload.alias("payload"),
+            *[F.lit(None).cast("string").alias(c) for c in ("refers_id", "refers_uri", "refers_date")],
         ),
         path, archive_bytes, mean,
     )
@@ -138,26 +158,34 @@ def resolved(spark: SparkSession, path: str, least_bytes: int = 0, archive_bytes
     """Write the archives of ``path`` anew without repeated payloads; the new folder.
 
     Of records with one payload of at least ``least_bytes`` bytes, the one with the largest page id stays a
-    response, the others become revisits that refer to it; records of one page id are told apart by record id. Only
-    headers are shuffled by payload digest, with counts combined before the shuffle; payloads travel once, by
-    record id, to the tasks that write them.
+    response, the others become revisits that refer to it; records of one page id are told apart by record id. All
+    records get fresh headers: a new record id, a new date, and revisits their original's id, address and date as
+    the new archives have them. Only headers are shuffled by payload digest, with counts combined before the shuffle;
+    the records of one payload are looked up by salts, so a payload that a third of all pages have is spread.
+    Payloads travel once, by record id, to the tasks that write them.
+
+    Empty payloads are payloads like others, null page ids are the smallest, and an empty folder gives an empty one.
     """
     found = read(spark, path)
-    heads = read(spark, path, payloads=False).select("record_id", "page_id", "payload_bytes", "payload_digest", "content_key")
-    alike = ["payload_digest", "payload_bytes", "content_key"]
-    shared = heads.where(F.col("payload_bytes") >= least_bytes)
-    first = shared.groupBy(*alike).agg(F.max(F.struct("page_id", "record_id")).alias("o"), F.count("*").alias("n")).where("n > 1")
-    first = first.select(*alike, F.col("o.page_id").alias("refers_to"), F.col("o.record_id").alias("refers_id"))
-    revisits = shared.join(first, alike).where(F.col("record_id") != F.col("refers_id")).select("record_id", "refers_to", "refers_id")
-    x = found.drop("refers_to").join(revisits, "record_id", "left")
-    again = F.col("refers_id").isNotNull()
     to = scratch(spark, "warc")
-    write(
-        x.withColumn("record_type", F.when(again, F.lit("revisit")).otherwise(F.lit("response"))).withColumn(
-            "payload", F.when(~again, F.col("payload").cast("string"))
-        ),
-        to,
-        archive_bytes,
-        mean_bytes,
+    new_id = fresh_id(F.lit(to), F.col("record_id"))
+    heads = read(spark, path, payloads=False).where(F.col("payload_bytes") >= least_bytes)
+    salt = F.pmod(F.xxhash64("record_id"), F.lit(salts(spark))).cast("int").alias("salt")
+    heads = heads.select("record_id", "page_id", "url", F.unhex("content_key").alias("key"), salt)
+    by_salt = heads.groupBy("key", "salt").agg(F.max(F.struct("page_id", "record_id", "url")).alias("o"), F.count("*").alias("n"))
+    first = by_salt.groupBy("key").agg(F.max("o").alias("o"), F.sum("n").alias("n")).where("n > 1")
+    of = by_salt.select("key", "salt").join(first, "key").select("key", "salt", F.col("o.page_id").alias("refers_to"), F.col("o.record_id").alias("origin"), F.col("o.url").alias("refers_uri"))
+    revisits = heads.select("record_id", "key", "salt").join(of, ["key", "salt"]).where("record_id <> origin").select("record_id", "refers_to", "origin", "refers_uri")
+    x = found.drop("refers_to").join(revisits, "record_id", "left").withColumn("date", now())
+    again = F.col("origin").isNotNull()
+    x = x.withColumns(
+        {
+            "record_type": F.when(again, F.lit("revisit")).otherwise(F.lit("response")),
+            "payload": F.when(~again, F.col("payload").cast("string")),
+            "refers_id": F.when(again, fresh_id(F.lit(to), F.col("origin"))),
+            "refers_date": F.when(again, F.col("date")),
+            "record_id": new_id,
+        }
     )
+    write(x, to, archive_bytes, mean_bytes)
     return to

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import gzip
 import hashlib
 import math
 import random
@@ -423,6 +424,14 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     assert r["good"] > 0.995 and r["bad"] < 0.1
 
 
+def test_quality_of_rows_that_nothing_was_learnt_from(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    x = quality.judged(docs, labels.where(~langid.held_out())).join(labels.where(langid.held_out()), "doc_id").where("not base_failed")
+    r = x.agg(F.avg(F.when(F.col("quality") == 1, F.col("kept").cast("int"))).alias("good"), F.avg(F.when(F.col("quality") == 0, F.col("kept").cast("int"))).alias("bad")).first()
+    assert r["good"] > 0.99 and r["bad"] < 0.1
+
+
 def test_log_ratios_are_the_formula(spark):
     docs = spark.createDataFrame([(1, "a b a"), (2, "c")], "doc_id long, text string")
     got = quality.log_ratios(docs, spark.createDataFrame([(1,)], "__trusted long"))
@@ -438,9 +447,18 @@ def test_warc_round_trip_and_revisits(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(1))
     path, mean = warc.archived(pages, archive_bytes=3000)
     back = warc.read(spark, path).collect()
+    assert len({r["record_id"] for r in back}) == len(rows) and all(re.fullmatch(r"20..-..-..T..:..:..Z", r["date"]) for r in back)
     assert sorted((r["payload"].decode() for r in back)) == sorted(h or "" for _, _, h in rows)
-    got = warc.read(spark, warc.resolved(spark, path, mean_bytes=mean)).collect()
+    to = warc.resolved(spark, path, mean_bytes=mean)
+    got = warc.read(spark, to).collect()
     assert len(got) == len(rows)
+    assert len({r["record_id"] for r in got + back}) == 2 * len(rows)  # fresh ones
+    raw = b"".join(gzip.decompress(r["content"]) for r in spark.read.format("binaryFile").load(to).where("path like '%part-%'").collect())
+    ids = {r["record_id"]: r for r in got}
+    for head in re.findall(rb"WARC-Type: revisit\r\n(?:[^\r\n]+\r\n)+", raw):
+        h = dict(x.split(": ", 1) for x in head.decode().strip().split("\r\n"))
+        origin = ids[h["WARC-Refers-To"].strip("<>")]
+        assert origin["record_type"] == "response" and h.get("WARC-Refers-To-Target-URI") == origin["url"] and h["WARC-Refers-To-Date"] == origin["date"]
     first = {"same": 5, odd: 8, "": 6}
     for r in got:
         html = next(h or "" for i, _, h in rows if i == r["page_id"])

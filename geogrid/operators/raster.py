@@ -69,15 +69,22 @@ def best_crop(yields: DataFrame, ranks: DataFrame, land: DataFrame | None = None
     )
 
 
-def clip(px: DataFrame, cells: DataFrame, side: int) -> DataFrame:
-    """(id, h, w, px): tiles of ``side`` x ``side`` pixels from cells' upper-left (row0, col0), rows and columns half-open.
+def clip(px: DataFrame, cells: DataFrame, h: int, w: int | None = None) -> DataFrame:
+    """(id, h, w, px): windows of h x w pixels (w: as h) from cells' upper-left (row0, col0), rows and columns half-open.
 
-    A tile is put together in one row, as large as a tile; pixels that are missing are null in it.
+    Cells may begin anywhere: each goes to the lattice squares of h x w that it overlaps, four at most, and takes the
+    pixels of its own window there. A tile is put together in one row, as large as a tile; pixels that are missing
+    are null in it. A cell without a pixel gives no tile.
     """
-    keyed = px.select((F.floor(F.col("row") / side)).alias("ty"), (F.floor(F.col("col") / side)).alias("tx"), (F.col("row") % side).alias("r"), (F.col("col") % side).alias("c"), "value")
-    c = cells.select("id", F.floor(F.col("row0") / side).alias("ty"), F.floor(F.col("col0") / side).alias("tx"))
-    got = c.join(keyed, ["ty", "tx"]).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct((F.col("r") * side + F.col("c")).alias("k"), "value"))).alias("m"))
-    return got.select("id", F.lit(side).alias("h"), F.lit(side).alias("w"), F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.try_element_at("m", i)).alias("px"))
+    w = w or h
+    at = lambda c, n: F.floor(F.col(c) / n)
+    keyed = px.select(at("row", h).alias("ty"), at("col", w).alias("tx"), "row", "col", "value")
+    over = lambda c, n: F.explode(F.sequence(at(c, n), F.floor((F.col(c) + (n - 1)) / n)))
+    c = cells.select("id", "row0", "col0", over("row0", h).alias("ty")).withColumn("tx", over("col0", w))
+    r, k = F.col("row") - F.col("row0"), F.col("col") - F.col("col0")
+    own = c.join(keyed, ["ty", "tx"]).where((r >= 0) & (r < h) & (k >= 0) & (k < w))
+    got = own.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct((r * w + k).cast("int").alias("k"), "value"))).alias("m"))
+    return got.select("id", F.lit(h).alias("h"), F.lit(w).alias("w"), F.transform(F.sequence(F.lit(0), F.lit(h * w - 1)), lambda i: F.try_element_at("m", i)).alias("px"))
 
 
 def tile_nodata(px: DataFrame, bio: Column, by: str = "id") -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import uniform
+from .timeline import numbered
 
 
 def first_by(df: DataFrame, by: list[str], order: list[Column], n: int | Column, into: str = "__nth") -> DataFrame:
@@ -14,6 +17,12 @@ def first_by(df: DataFrame, by: list[str], order: list[Column], n: int | Column,
     return df.withColumn(into, F.row_number().over(w)).where(F.col(into) <= n).drop(into)
 
 
+def lowest(df: DataFrame, salt: str, key: str, n: int) -> DataFrame:
+    """The ``n`` rows with the smallest random number, ties by key; ranges of numbers are ranked, none of them alone."""
+    x = numbered(df.withColumn("__o", F.struct(uniform(salt, key), F.col(key))), "__o", "__pos")
+    return x.where(F.col("__pos") < n).drop("__o", "__pos")
+
+
 def under_sample(df: DataFrame, label: str = "label", ratio: float = 0.1, salt: str = "s", key: str = "id") -> DataFrame:
     """All of the minority class and minority / ratio rows of the other, those with the smallest random number."""
     n = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
@@ -21,7 +30,7 @@ def under_sample(df: DataFrame, label: str = "label", ratio: float = 0.1, salt:
         return df
     small, large = sorted(n, key=lambda k: (n[k], -k))
     most = min(n[large], int(n[small] / ratio))
-    some = first_by(df.where(F.col(label) == large), [label], [uniform(salt, key), F.col(key)], most)
+    some = lowest(df.where(F.col(label) == large), salt, key, most)
     return df.where(F.col(label) == small).unionByName(some)
 
 
@@ -46,22 +55,26 @@ def resample_negatives(test: DataFrame, ratio: float = 0.1, label: str = "label"
     want = int(n.get(1, 0) / ratio)
     if n.get(0, 0) < want:
         raise ValueError(f"{want} negatives are wanted, {n.get(0, 0)} are there")
-    return test.where(F.col(label) == 1).unionByName(first_by(test.where(F.col(label) == 0), [label], [uniform(salt, key), F.col(key)], want))
+    return test.where(F.col(label) == 1).unionByName(lowest(test.where(F.col(label) == 0), salt, key, want))
 
 
 def bootstrap_weights(df: DataFrame, replicates: int, by: str | None = None, key: str = "row_id", salt: str = "b") -> DataFrame:
     """(rep, [by,] ix, weight): how often row ``ix`` (numbered from 0, within its class if ``by`` is given) is drawn.
 
-    Each replicate draws as many rows as the class has, with replacement; draws are numbers, not rows, and are
-    counted before they meet the data. ``df`` must have the numbers in a column ``ix``.
+    Each replicate draws as many rows as the class has, with replacement; draws are ranges of numbers, dealt over all
+    tasks, not rows, and are counted before they meet the data. ``df`` must have the numbers in a column ``ix``.
     """
     cls = [by] if by else []
-    sizes = df.groupBy(*cls).agg(F.count("*").alias("n")) if cls else df.agg(F.count("*").alias("n"))
-    reps = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
-    draws = sizes.where("n > 0").withColumn("rep", reps).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    name = F.concat(F.lit(salt), F.col("rep").cast("string"), F.lit("_"), *([F.col(by).cast("string"), F.lit("_")] if by else []))
-    ix = F.floor(F.col("n") * uniform(name, F.col("draw"))).cast("long")
-    return draws.select("rep", *cls, ix.alias("ix")).groupBy("rep", *cls, "ix").agg(F.count("*").alias("weight"))
+    sizes = (df.groupBy(*cls) if cls else df).agg(F.count("*").alias("n")).where("n > 0").collect()  # a row for each class
+    parts = []
+    for r in sizes:
+        n = r["n"]
+        draws = df.sparkSession.range(n * replicates).select(F.floor(F.col("id") / n).cast("int").alias("rep"), (F.col("id") % n).alias("draw"), *[F.lit(r[c]).alias(c) for c in cls])
+        name = F.concat(F.lit(salt), F.col("rep").cast("string"), F.lit("_"), *([F.col(by).cast("string"), F.lit("_")] if by else []))
+        parts.append(draws.select("rep", *cls, F.floor(n * uniform(name, F.col("draw"))).cast("long").alias("ix")))
+    if not parts:
+        return df.select(F.lit(0).alias("rep"), *cls, F.lit(0).cast("long").alias("ix"), F.lit(0).cast("long").alias("weight")).limit(0)
+    return reduce(DataFrame.unionByName, parts).groupBy("rep", *cls, "ix").agg(F.count("*").alias("weight"))
 
 
 def smote(df: DataFrame, array: str, label: str = "label", minority: int = 1, k: int = 5, per_row: int = 1, key: str = "id") -> DataFrame:

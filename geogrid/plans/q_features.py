@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import features as T
+from ..operators import timeline
 from ..operators.storage import stored
 from ..sources import fixtures as X
 from ..sources import tables as S
@@ -144,10 +145,24 @@ def flt8_positive_range(spark: SparkSession, d: str) -> DataFrame:
     return T.positive_range(X.cells(spark, d), "elevation")
 
 
-@query(f"WITH {CELLS} SELECT id, country FROM cells WHERE id < 1000 AND country = 1")
+@query(f"WITH {CELLS} SELECT id, country FROM cells WHERE country = 1")
 def flt9_regular_cells(spark: SparkSession, d: str) -> DataFrame:
-    """Regular cells of one country: the id cut-off is the operator's own predicate."""
-    return X.cells(spark, d).where("id < 1000 and country = 1").select("id", "country")
+    """Regular cells of one country, from a table that also has surrogate cells for towns, numbered above the regular ones."""
+    c = X.cells(spark, d).select("id", "country")
+    last = c.agg(F.max("id")).first()[0] or 0
+    towns = X.cities(spark, d).select((F.col("city_id") + last + 1).alias("id"), F.lit(1).alias("country"))
+    return c.unionByName(towns).where((F.col("id") <= last) & (F.col("country") == 1))
+
+
+@query(f"""WITH {CELLS} SELECT CASE WHEN id % 5 = 0 THEN 'test' ELSE 'train' END AS part, count(*) AS n, round(avg(x), 6) AS mean FROM cells GROUP BY 1""")
+def prj8_same_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Train and test of the same columns, after columns that only one of them has were dropped where they exist."""
+    c = X.cells(spark, d)
+    train = T.drop_prefixed(c.where("id % 5 <> 0").withColumn("unused1", F.lit(0)), "unused")
+    test = T.drop_prefixed(c.where("id % 5 = 0"), "unused")
+    T.check_same_columns(train, test)
+    both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    return both.groupBy("part").agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("mean"))
 
 
 @query(f"WITH {CELLS} SELECT id, CASE WHEN is_city = 1 THEN birth ELSE -1 END AS birth FROM cells")
@@ -243,10 +258,12 @@ def win8_first_of_group(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy(F.col("c_nationkey").alias("nation")).agg(first.alias("richest"))
 
 
-@query("SELECT c_custkey AS id, c_acctbal AS value FROM customer WHERE c_acctbal > 0")
+@query("SELECT id, value, row_number() OVER (ORDER BY value DESC, id) - 1 AS nth FROM (SELECT c_custkey AS id, c_acctbal AS value FROM customer WHERE c_acctbal > 0)")
 def srt2_draw_order(spark: SparkSession, d: str) -> DataFrame:
+    """Values falling, missing ones left out, and each one's place in that order."""
     x = X.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("value"))
-    return x.where("value is not null").orderBy(F.desc("value"))
+    x = x.where("value is not null").withColumn("o", F.struct(-F.col("value"), F.col("id")))
+    return timeline.numbered(x, "o", "nth").select("id", "value", F.col("nth").cast("long").alias("nth"))
 
 
 def _sink(spark: SparkSession, name: str) -> str:
@@ -296,12 +313,16 @@ def scl13_json_results(spark: SparkSession, d: str) -> DataFrame:
     return text.select(F.from_json("j", "event_type string, n long").alias("r")).select("r.*")
 
 
-@query()
+@query("SELECT DISTINCT year(o_orderdate)::BIGINT AS year, o_custkey % 10 AS id FROM orders WHERE year(o_orderdate) < 1998")
 def src4_tile_catalogue(spark: SparkSession, d: str) -> DataFrame:
-    """Files with tile names, one folder for each year, found again by name."""
-    path = _sink(spark, "src4")
-    X.table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("value")).repartition(4, "value").write.text(path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
-    part = F.regexp_extract("path", r"part-(\d+)", 1)
-    named = files.select(F.concat(F.lit("/tiles/Y-"), (part.cast("int") + 100).cast("string"), F.lit("_"), part.cast("int").cast("string"), F.lit(".tiff")).alias("path"))
-    return named.select("path", *S.parse_tile_name("path")).where("year is not null")
+    """Files of tiles in folders of years, and files of other names among them, found again by their names."""
+    path, year = _sink(spark, "src4"), F.year("o_orderdate")
+    name = F.concat(F.when(year < 1998, "Y").otherwise("X"), year.cast("string"), F.lit("_"), (F.col("o_custkey") % 10).cast("string"), F.lit(".tiff"))
+    rows = X.table(spark, d, "orders").select(year.alias("folder"), name.alias("tile"), F.col("o_orderkey").cast("string").alias("value"))
+    rows.repartition("folder", "tile").write.partitionBy("folder", "tile").text(path)
+    # Spark names the files that it writes; the tiles, one file each, get theirs by renaming.
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for r in spark.read.format("binaryFile").load(path).select("path").collect():
+        at = jvm.org.apache.hadoop.fs.Path(r["path"])
+        at.getFileSystem(conf).rename(at, jvm.org.apache.hadoop.fs.Path(at.getParent(), at.getParent().getName().split("=")[1]))
+    return S.catalogue(spark, path).select("year", "id")

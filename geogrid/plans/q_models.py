@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clustering, features, metrics, models, sampling, timeline
+from ..operators import clustering, features, metrics, models, sampling, spatial, timeline
 from ..sources import fixtures as X
 from .registry import query
 from .sql import CELLS, u
@@ -26,6 +26,16 @@ def smp3_group_split(spark: SparkSession, d: str) -> DataFrame:
     return sampling.group_split(X.cells(spark, d)).select("id", "part")
 
 
+@query(f"""WITH {CELLS}, g AS (SELECT DISTINCT city_id FROM cells WHERE is_city = 1 AND city_id > -1), k AS (SELECT floor(count(*) * 0.2::DOUBLE) AS k FROM g
+), t AS (SELECT city_id FROM (SELECT city_id, row_number() OVER (ORDER BY {u("splitg", "city_id")}, city_id) AS r FROM g), k WHERE r <= k)
+SELECT {u("split", "id")} < 0.2 AS drawn, city_id IN (SELECT city_id FROM t) AS moved, count(*) AS n FROM cells WHERE city_id > -1 GROUP BY 1, 2""")
+def set3_moved_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of towns by where a plain row split has them and where their town moves them."""
+    x = sampling.group_split(X.cells(spark, d)).where("city_id > -1").withColumnRenamed("part", "to")
+    x = sampling.row_split(x, salt="split")
+    return x.groupBy((F.col("part") == "test").alias("drawn"), (F.col("to") == "test").alias("moved")).agg(F.count("*").alias("n"))
+
+
 @query(f"""WITH {CELLS}, p AS (SELECT count(*) FILTER (is_city = 1) AS n FROM cells) SELECT id FROM (SELECT id, is_city, row_number() OVER (PARTITION BY is_city ORDER BY {u("neg", "id")}, id) AS r FROM cells), p
 WHERE is_city = 1 OR r <= floor(n / 0.5::DOUBLE)""")
 def smp4_resampled_negatives(spark: SparkSession, d: str) -> DataFrame:
@@ -95,20 +105,39 @@ def mdl4_ensemble(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("id").agg(F.count("*").alias("models"), F.avg("prob").alias("mean"), F.stddev_pop("prob").alias("std"))
 
 
+@query()
+def mdl5_ensemble_inference(spark: SparkSession, d: str) -> DataFrame:
+    """Each model's own scaler and probability for every row, in long form, and how many models gave one."""
+    x = labelled(spark, d)
+    p = models.ensemble_predict(models.ensemble(x, "px", 3), x, "px")
+    return p.groupBy("model_id").agg(F.count("*").alias("n"), F.min("prob").alias("low"), F.max("prob").alias("high"))
+
+
+MDL6 = "start_year int, end_year int, has_2nd_nature boolean, pr_auc double, f1 double, mcc double"
+
+
 @query()
 def mdl6_window_experiment(spark: SparkSession, d: str) -> DataFrame:
-    """For some windows: eligible rows, a split, a model with and without the town counts, and its scores."""
-    c = X.cells(spark, d)
+    """For some windows: eligible rows, a split by towns, a model with and without the counts of neighbouring towns, and its scores.
+
+    Counts are those of the first founding year within or after the window's start. A cell's own founding year tells
+    whether it is a town, so it is never a feature.
+    """
+    c, towns = X.cells(spark, d), X.cities(spark, d)
     windows = timeline.windows_with_min(c, timeline.hopping_windows(c, "birth", 600, 600), "birth", 5)
-    out = None
-    for w in windows.orderBy("start").collect():
-        rows = timeline.eligible(c, w["start"], w["end"]).select("id", F.coalesce("is_city", F.lit(0)).alias("label"), F.array("elevation", "x", "y", F.coalesce("birth", F.lit(0)).cast("double")).alias("px"))
+    counts = spatial.neighbour_counts(c, towns)
+    asked = timeline.asof_forward(windows.select("start", "end"), towns, "start", "birth")
+    out = spark.createDataFrame([], MDL6)
+    for w in asked.where("matched is not null").orderBy("start").collect():
+        near = counts.where(F.col("year") == w["matched"]).drop("year")
+        rows = timeline.eligible(c, w["start"], w["end"]).join(near, "id", "left").na.fill(0)
+        rows = rows.withColumn("label", F.coalesce("is_city", F.lit(0)))
+        split = sampling.group_split(rows, label="label")
         for without in (False, True):
-            v = rows.withColumn("px", F.slice("px", 1, 3)) if without else rows
-            s = sampling.row_split(v)
+            s = split.withColumn("px", F.array(*[F.col(f).cast("double") for f in ("elevation", "x", "y", *(() if without else ("n_20", "n_50", "n_100")))]))
             p = models.predict(models.train(s.where("part = 'train'"), "px", rounds=2, depth=2), s.where("part = 'test'"), "px")
-            r = _evaluated(p).select(F.lit(w["start"]).alias("start_year"), F.lit(w["end"]).alias("end_year"), F.lit(not without).alias("has_2nd_nature"), "pr_auc", "f1", "mcc")
-            out = r if out is None else out.unionByName(r)
+            r = _evaluated(p).select(F.lit(w["start"]).cast("int").alias("start_year"), F.lit(w["end"]).cast("int").alias("end_year"), F.lit(not without).alias("has_2nd_nature"), "pr_auc", "f1", "mcc")
+            out = out.unionByName(r)
     return out
 
 
@@ -118,6 +147,15 @@ def mdl7_probes(spark: SparkSession, d: str) -> DataFrame:
     return metrics.r2(models.regress(x, "px", "target", rounds=5), "target", "fitted", ["part"])
 
 
+@query()
+def srt5_best_start(spark: SparkSession, d: str) -> DataFrame:
+    """Each start's cost, and whether it is the one that is kept."""
+    _, costs = clustering.kmeans(labelled(spark, d), "px", 6, 3, 10)
+    x = spark.createDataFrame(costs, "seed int, sse double")
+    best = x.agg(F.min_by("seed", F.struct("sse", "seed")).alias("best"))
+    return x.join(best, x["seed"] == best["best"], "left").select("seed", "sse", F.col("best").isNotNull().alias("kept"))
+
+
 @query()
 def mdl8_best_clustering(spark: SparkSession, d: str) -> DataFrame:
     found, costs = clustering.kmeans(labelled(spark, d), "px", 6, 3, 10)

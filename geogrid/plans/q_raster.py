@@ -39,6 +39,27 @@ def rst3_calories(spark: SparkSession, d: str) -> DataFrame:
     return raster.to_calories(X.crop_yields(spark, d), k).select("key", "crop", "calories")
 
 
+@query(f"""WITH {CROPS}, k(crop, kcal) AS (VALUES ('c1', 3.5::DOUBLE), ('c2', 1.25::DOUBLE), ('c3', 0.5::DOUBLE))
+SELECT crop, count(*) AS n, round(sum("yield" * kcal), 3) AS calories FROM crop_yields JOIN k USING (crop) GROUP BY crop""")
+def scl2_calories(spark: SparkSession, d: str) -> DataFrame:
+    """Yield times calories, summed by crop."""
+    k = spark.createDataFrame([("c1", 3.5), ("c2", 1.25), ("c3", 0.5)], "crop string, kcal double")
+    x = raster.to_calories(X.crop_yields(spark, d), k)
+    return x.groupBy("crop").agg(F.count("*").alias("n"), F.round(F.sum("calories"), 3).alias("calories"))
+
+
+@query(f"""WITH {PIXELS}, t AS (SELECT row, col FROM pixels WHERE gap OR key % 10 = 0), s AS (SELECT row, col, value FROM pixels WHERE NOT gap AND value >= -100
+), n AS (SELECT t.row, t.col, value, (t.row - s.row) ** 2 + (t.col - s.col) ** 2 AS d2,
+  row_number() OVER (PARTITION BY t.row, t.col ORDER BY (t.row - s.row) ** 2 + (t.col - s.col) ** 2, s.row, s.col) AS r
+  FROM t JOIN s ON s.row BETWEEN t.row - 12 AND t.row + 12 AND s.col BETWEEN t.col - 12 AND t.col + 12)
+SELECT row, col, round(CASE WHEN min(d2) = 0 THEN max(value) FILTER (d2 = 0) ELSE sum(value / sqrt(d2)) FILTER (d2 > 0) / sum(1 / sqrt(d2)) FILTER (d2 > 0) END, 5) AS filled FROM n WHERE r <= 5 GROUP BY row, col""")
+def scl3_inverse_distance(spark: SparkSession, d: str) -> DataFrame:
+    """Inverse distance of power 1 for gaps and for pixels that have a value, which is theirs exactly."""
+    px = X.pixels(spark, d)
+    again = px.where("gap or key % 10 = 0").withColumn("gap", F.lit(True)).unionByName(px.where("not gap"))
+    return raster.idw_fill(again, power=1.0).select("row", "col", F.round("filled", 5).alias("filled"))
+
+
 RANKS = [("c1", 1), ("c2", 2), ("c3", 3)]
 
 
@@ -92,12 +113,14 @@ def agg3_missing_models(spark: SparkSession, d: str) -> DataFrame:
     return ensemble.missing_models(X.climate(spark, d), ["s1", "s2"], [f"m{i}" for i in range(5)])
 
 
-@query(f"""WITH {PIXELS} SELECT row // 10 * 5 + col // 10 AS id, count(*) AS n, round(sum(value * ((row % 10) * 10 + col % 10)), 4) AS moment FROM pixels GROUP BY 1""")
+@query(f"""WITH {PIXELS}, c AS (SELECT DISTINCT row // 10 * 5 + col // 10 AS id, row // 10 * 10 + (row // 10 + col // 10) % 7 AS row0, col // 10 * 10 + (col // 10) % 4 AS col0 FROM pixels)
+SELECT id, count(*) AS n, round(sum(value * ((row - row0) * 8 + col - col0)), 4) AS moment FROM c JOIN pixels ON row >= row0 AND row < row0 + 10 AND col >= col0 AND col < col0 + 8 GROUP BY 1""")
 def rst6_clipped_tiles(spark: SparkSession, d: str) -> DataFrame:
-    """The raster cut into tiles of 10 x 10; the moment depends on every pixel's place."""
+    """Windows of 10 x 8 that begin anywhere on the raster; the moment depends on every pixel's place."""
     px = X.pixels(spark, d)
-    cells = px.select((F.floor(F.col("row") / 10) * 5 + F.floor(F.col("col") / 10)).alias("id"), (F.floor(F.col("row") / 10) * 10).alias("row0"), (F.floor(F.col("col") / 10) * 10).alias("col0")).distinct()
-    t = raster.clip(px, cells, 10)
+    ty, tx = F.floor(F.col("row") / 10), F.floor(F.col("col") / 10)
+    cells = px.select((ty * 5 + tx).alias("id"), (ty * 10 + (ty + tx) % 7).alias("row0"), (tx * 10 + tx % 4).alias("col0")).distinct()
+    t = raster.clip(px, cells, 10, 8)
     moment = F.aggregate(F.transform("px", lambda v, i: F.coalesce(v, F.lit(0.0)) * i), F.lit(0.0), lambda a, v: a + v)
     return t.select("id", F.size(F.filter("px", lambda v: v.isNotNull())).cast("long").alias("n"), F.round(moment, 4).alias("moment"))
 

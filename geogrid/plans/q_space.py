@@ -120,6 +120,17 @@ def jn7_nearest_pixels(spark: SparkSession, d: str) -> DataFrame:
     return found.select("row", "col", "srow", "scol", F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"""WITH {PIXELS}, t AS (SELECT row, col FROM pixels WHERE gap), s AS (SELECT row, col FROM pixels WHERE NOT gap AND value >= -100)
+SELECT row, col, count(*) AS n, max(d2)::BIGINT AS farthest FROM (SELECT t.row, t.col, (t.row - s.row) ** 2 + (t.col - s.col) ** 2 AS d2,
+  row_number() OVER (PARTITION BY t.row, t.col ORDER BY (t.row - s.row) ** 2 + (t.col - s.col) ** 2, s.row, s.col) AS rank
+  FROM t JOIN s ON s.row BETWEEN t.row - 12 AND t.row + 12 AND s.col BETWEEN t.col - 12 AND t.col + 12) WHERE rank <= 3 GROUP BY row, col""")
+def srt4_nearest_three(spark: SparkSession, d: str) -> DataFrame:
+    """The k nearest for another k: how many were found, and how far the last one is."""
+    px = X.pixels(spark, d)
+    found = spatial.knn(px.where("gap"), px.where("not gap and value >= -100").select("row", "col", "value"), k=3)
+    return found.groupBy("row", "col").agg(F.count("*").alias("n"), F.max("d2").cast("long").alias("farthest"))
+
+
 @query(f"""WITH {CELLS} SELECT id, round(lon, 6) AS cx, round(lat, 6) AS cy, round(lon - 0.5, 6) AS ux, round(lat + 0.5, 6) AS uy FROM cells""")
 def scl9_centroids(spark: SparkSession, d: str) -> DataFrame:
     box = F.col("box")

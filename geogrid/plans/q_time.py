@@ -11,7 +11,7 @@ from ..functions import columns as C
 from ..operators import reports, timeline
 from ..sources import fixtures as X
 from .registry import query
-from .sql import CELLS, CITIES, SERIES
+from .sql import CELLS, CITIES, SERIES, u
 
 WINDOWS = """w AS (SELECT start::INT AS start, (start + 300)::INT AS "end" FROM
   (SELECT unnest(range(a, b - 300 + 1, 50)) AS start FROM (SELECT min(birth)::BIGINT AS a, max(birth)::BIGINT AS b FROM cells)))"""
@@ -127,9 +127,10 @@ def src7_cube_slice(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", "o_totalprice")
 
 
-@query(f"WITH {CELLS} SELECT id FROM cells WHERE birth IS NOT NULL")
+@query(f"WITH {CELLS} SELECT id, row_number() OVER (ORDER BY birth, {u('srt', 'id')}, id) - 1 AS nth FROM cells WHERE birth IS NOT NULL")
 def srt1_random_within_birth(spark: SparkSession, d: str) -> DataFrame:
     from ..functions.rng import uniform
 
     x = X.cells(spark, d).where("birth is not null").withColumn("r", uniform("srt", "id"))
-    return x.orderBy("birth", "r", "id").select("id")
+    x = timeline.numbered(x.select("id", F.struct("birth", "r", "id").alias("o")), "o", "nth")
+    return x.select("id", F.col("nth").cast("long").alias("nth"))

@@ -143,3 +143,24 @@ def silhouette(df: DataFrame, array: str = "px", label: str = "label", key: str
     )
     s = F.when(F.col("size") <= 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
     return p.agg(F.count("*").alias("n"), F.avg(s).alias("silhouette"))
+
+
+def simplified_silhouette(df: DataFrame, array: str = "px", label: str = "label") -> DataFrame:
+    """(label, n, silhouette): means by label of (b - a) / max(a, b), with a a row's distance to its label's centre and b
+    that to the nearest other centre; 0 if both are 0, null if there is one label only.
+
+    One pass over the rows. Labels are few, their centres go to the driver.
+    """
+    x = df.where(F.col(label).isNotNull()).select(F.col(label).alias("label"), F.col(array).cast("array<double>").alias("v"))
+    means = x.select("label", F.posexplode("v").alias("i", "p")).groupBy("label", "i").agg(F.avg("p").alias("p"))
+    centres = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda s: s["p"]).alias("c")).collect()
+    if not centres:
+        return x.select("label", F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("silhouette")).limit(0)
+    d = lambda c: F.sqrt(F.aggregate(F.zip_with("v", F.lit(c), lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, p: s + p))
+    far = F.array(*[F.struct(F.lit(r["label"]).alias("l"), d(r["c"]).alias("d")) for r in centres])
+    x = x.withColumn("far", far)
+    a = F.array_max(F.transform(F.filter("far", lambda f: f["l"] == F.col("label")), lambda f: f["d"]))
+    b = F.array_min(F.transform(F.filter("far", lambda f: f["l"] != F.col("label")), lambda f: f["d"]))
+    x = x.select("label", a.alias("a"), b.alias("b"))
+    s = F.when(F.col("b").isNotNull(), F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    return x.groupBy("label").agg(F.count("*").alias("n"), F.avg(s).alias("silhouette"))

@@ -39,13 +39,16 @@ def regress(df: DataFrame, array: str, target: str, rounds: int = 10, depth: int
 
 
 def ensemble(df: DataFrame, array: str, models: int, label: str = "label", key: str = "id", ratio: float = 0.5) -> list[tuple[int, object, DataFrame]]:
-    """(model id, model, scaler) of bootstrap models, each from its own resample, under-sampling, scaler and seed."""
+    """(model id, model, scaler) of bootstrap models, each from its own resample, under-sampling, scaler and seed.
+
+    A row's number of copies is Poisson of mean 1, drawn by itself, which is the bootstrap's for many rows.
+    """
     out = []
     for m in range(models):
-        weight = F.floor(-F.log(1 - sampling.uniform(f"boot{m}", key)) * 1.5).cast("int")  # copies of a row, each key by itself
-        boot = df.withColumn("__n", weight).where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-        boot = boot.withColumn(key, F.col(key) * 100 + F.col("__copy")).drop("__n", "__copy")
-        some = sampling.under_sample(boot, label, ratio, f"under{m}", key)
+        drawn = sampling.poisson_copies(f"boot{m}", key)
+        boot = df.withColumn("__copy", F.explode(F.sequence(F.lit(0), drawn))).where("__copy > 0")
+        boot = boot.withColumn("__row", F.concat_ws(":", key, "__copy"))
+        some = sampling.under_sample(boot, label, ratio, f"under{m}", "__row").drop("__row", "__copy")
         scaler = features.fit_scaler(some, array)
         out.append((m, train(features.apply_scaler(some, scaler, array), array, label, rounds=5, seed=m), scaler))
     return out

@@ -7,15 +7,30 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .timeline import numbered
+
 
 def bin_stats(df: DataFrame, coord: str, value: str, width: float = 1.0) -> DataFrame:
-    """(bin, left, mid, right, n, mean, std, median, q25, q75) by bins (left, right] of a coordinate; empty bins have no row."""
+    """(bin, left, mid, right, n, mean, std, median, q25, q75) by bins (left, right] of a coordinate; empty bins have no row.
+
+    Quantiles lie between the two values next to their place, as in linear interpolation. Values are numbered in the
+    order of bin and value, range by range, so no task holds a bin.
+    """
     b = F.ceil(F.col(coord) / width).cast("int") - 1
-    x = df.where(F.col(coord).isNotNull()).groupBy(b.alias("bin")).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.percentile(value, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"),
-    )
+    x = df.where(F.col(coord).isNotNull()).select(b.alias("bin"), F.col(value).cast("double").alias("v"))
+    n = x.groupBy("bin").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
+    ranked = numbered(x.where("v is not null").withColumn("__o", F.struct("bin", "v")), "__o", "__pos").select("bin", "v", "__pos")
+    first = ranked.groupBy("bin").agg(F.min("__pos").alias("__first"), F.count("*").alias("__n"))
+    at = ranked.join(first, "bin").withColumn("__at", F.col("__pos") - F.col("__first"))
+    cols = []
+    for name, q in (("median", 0.5), ("q25", 0.25), ("q75", 0.75)):
+        place = (F.col("__n") - 1) * F.lit(q)
+        low, high = (F.max(F.when(F.col("__at") == f(place), F.col("v"))) for f in (F.floor, F.ceil))
+        part = F.max(place - F.floor(place))
+        cols.append(F.when(part == 0, low).otherwise(low * (1 - part) + high * part).alias(name))
+    quantiles = at.groupBy("bin").agg(*cols)
     left = F.col("bin") * F.lit(float(width))
-    return x.select("bin", left.alias("left"), (left + width / 2).alias("mid"), (left + width).alias("right"), "n", "mean", "std", F.col("q")[1].alias("median"), F.col("q")[0].alias("q25"), F.col("q")[2].alias("q75"))
+    return n.join(quantiles, "bin", "left").select("bin", left.alias("left"), (left + width / 2).alias("mid"), (left + width).alias("right"), "n", "mean", "std", "median", "q25", "q75")
 
 
 def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:

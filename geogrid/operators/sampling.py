@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import uniform
+from .storage import stored
 from .timeline import numbered
 
 
@@ -77,20 +79,45 @@ def bootstrap_weights(df: DataFrame, replicates: int, by: str | None = None, key
     return reduce(DataFrame.unionByName, parts).groupBy("rep", *cls, "ix").agg(F.count("*").alias("weight"))
 
 
-def smote(df: DataFrame, array: str, label: str = "label", minority: int = 1, k: int = 5, per_row: int = 1, key: str = "id") -> DataFrame:
-    """Synthetic minority rows (key, nth, array): a random step from a row towards one of its k nearest of the class.
+def poisson_copies(salt: str, key: str) -> Column:
+    """How often a row is drawn: Poisson of mean 1, from the key's random number."""
+    u, at, total = uniform(salt, key), math.exp(-1), F.lit(0)
+    below = at
+    for k in range(1, 13):  # one row in 10^10 would get more
+        total = total + (u >= below).cast("int")
+        at /= k
+        below += at
+    return total
+
 
-    Neighbours come from random-projection buckets; rows without a neighbour there give none.
+def near_rows(df: DataFrame, array: str, k: int, key: str = "id", orders: int = 4, reach: int = 8) -> DataFrame:
+    """(id, nid, a, b, d): up to ``k`` near rows of each, by Euclidean distance, ties by id.
+
+    Rows are put in ``orders`` random orders, each by the projection on one random direction, and compared with the ``reach``
+    rows after them there. So each of two or more rows has a neighbour, and no bucket can grow. ``key`` is unique.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    x = stored(df.select(F.col(key).alias("id"), F.col(array).cast("array<double>").alias("v")), "vectors")
+    parts = []
+    for o in range(orders):
+        weighed = F.transform("v", lambda p, i: p * (uniform(f"dir{o}_", i) - 0.5))  # noqa: B023
+        along = F.aggregate(weighed, F.lit(0.0), lambda s, p: s + p)
+        a = stored(numbered(x.select("id", F.struct(along.alias("p"), F.col("id")).alias("__o")), "__o", "pos").select("id", "pos"), "order")
+        later = a.select(F.col("id").alias("nid"), F.explode(F.sequence(F.col("pos") - reach, F.col("pos") - 1)).alias("pos"))
+        parts.append(a.join(later, "pos").select("id", "nid"))
+    pairs = reduce(DataFrame.unionByName, parts)
+    both = pairs.unionByName(pairs.select(F.col("nid").alias("id"), F.col("id").alias("nid"))).distinct()
+    y = both.join(x.withColumnRenamed("v", "a"), "id").join(x.select(F.col("id").alias("nid"), F.col("v").alias("b")), "nid")
+    d = F.sqrt(F.aggregate(F.zip_with("a", "b", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, p: s + p))
+    return first_by(y.withColumn("d", d), ["id"], [F.col("d"), F.col("nid")], k)
 
-    m = df.where(F.col(label) == minority).select(F.col(key).alias("id"), array_to_vector(F.col(array).cast("array<double>")).alias("v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=4.0, numHashTables=3, seed=7).fit(m)
-    pairs = lsh.approxSimilarityJoin(m, m, float("inf"), "d").where("datasetA.id <> datasetB.id")
-    near = first_by(pairs.select(F.col("datasetA.id").alias("id"), F.col("datasetA.v").alias("a"), F.col("datasetB.id").alias("nid"), F.col("datasetB.v").alias("b"), "d"), ["id"], [F.col("d"), F.col("nid")], k)
+
+def smote(df: DataFrame, array: str, label: str = "label", minority: int = 1, k: int = 5, per_row: int = 1, key: str = "id") -> DataFrame:
+    """Synthetic minority rows (key, nth, array): a random step from a row towards one of its k near ones of the class.
+
+    ``per_row`` rows for each row of the class; none if the class has only one row.
+    """
+    near = near_rows(df.where(F.col(label) == minority), array, k, key)
     x = near.withColumn("nth", F.explode(F.sequence(F.lit(0), F.lit(per_row - 1))))
-    pick = F.row_number().over(Window.partitionBy("id", "nth").orderBy(uniform("pick", F.concat_ws(":", "id", "nid", "nth"))))
-    x = x.withColumn("__p", pick).where("__p = 1")
+    x = first_by(x, ["id", "nth"], [uniform("pick", F.concat_ws(":", "id", "nid", "nth")), F.col("nid")], 1)
     step = uniform("step", F.concat_ws(":", "id", "nth"))
-    return x.select("id", "nth", F.zip_with(vector_to_array("a"), vector_to_array("b"), lambda p, q: p + step * (q - p)).alias(array))
+    return x.select(F.col("id").alias(key), "nth", F.zip_with("a", "b", lambda p, q: p + step * (q - p)).alias(array))

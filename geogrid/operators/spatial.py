@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import exists_at
-
 
 def _bucket(x: Column, size: float) -> Column:
     return F.floor(x / F.lit(float(size))).cast("int")
@@ -37,20 +33,25 @@ def within_distance(a: DataFrame, b: DataFrame, radius: float, spread: int = 1)
 def neighbour_counts(cells: DataFrame, towns: DataFrame, bands: tuple[int, ...] = (20, 50, 100)) -> DataFrame:
     """(id, year, n_<band> ...): towns that exist in a year within each distance of a cell, for every founding year.
 
-    One join at the largest distance; all years and bands come out of it by conditional counts. Years are the
-    distinct founding years, a bounded list, and are broadcast. Cells without a neighbour in a year have no row.
+    One join at the largest distance gives each pair two events: the town counts from the year after its founding on,
+    and no more from its last year on. Events are summed by cell and year before a running total, so a pair is not
+    repeated for each year that the town lasts. Years are the distinct founding years, a bounded list. Cells without
+    a neighbour in a year have no row, and towns without a founding or last year count nowhere.
     """
-    years = towns.select(F.col("birth").alias("year")).where("year is not null").distinct()
-    b = towns.select(F.col("city_id").alias("bid"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("birth").alias("b_birth"), F.col("end_yr").alias("b_end"))
-    near = within_distance(cells.select("id", "x", "y"), b, max(bands)).select("id", "b_birth", "b_end", "d")
-    alive = near.join(F.broadcast(years), exists_at(F.col("year"), F.col("b_birth"), F.col("b_end")))
-    return alive.groupBy("id", "year").agg(*[F.count_if(F.col("d") <= r).alias(f"n_{r}") for r in bands])
-
+    from pyspark.sql import Window
 
-def filled(counts: DataFrame, cells: DataFrame, years: DataFrame, cols: list[str]) -> DataFrame:
-    """The full matrix of cells and (broadcast) years, zero where there is no count."""
-    grid = cells.select("id").withColumn("year", F.explode(F.lit([r["year"] for r in years.select("year").distinct().collect()])))
-    return grid.join(counts, ["id", "year"], "left").select("id", "year", *[F.coalesce(c, F.lit(0)).alias(c) for c in cols])
+    years = sorted(r["birth"] for r in towns.select("birth").where("birth is not null").distinct().collect())
+    b = towns.where("end_yr > birth + 1").select(F.col("city_id").alias("bid"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("birth").alias("b_birth"), F.col("end_yr").alias("b_end"))
+    near = within_distance(cells.select("id", "x", "y"), b, max(bands)).select("id", "b_birth", "b_end", "d")
+    turn = F.explode(F.array(F.struct((F.col("b_birth") + 1).alias("at"), F.lit(1).alias("by")), F.struct(F.col("b_end").alias("at"), F.lit(-1).alias("by"))))
+    events = near.select("id", "d", turn.alias("e"))
+    names = [f"n_{r}" for r in bands]
+    steps = events.groupBy("id", F.col("e.at").alias("at")).agg(*[F.sum(F.when(F.col("d") <= r, F.col("e.by")).otherwise(0)).alias(n) for r, n in zip(bands, names, strict=True)])
+    order = Window.partitionBy("id").orderBy("at")  # at most two events for each year there is
+    run = order.rowsBetween(Window.unboundedPreceding, 0)
+    state = steps.select("id", "at", F.lead("at").over(order).alias("until"), *[F.sum(n).over(run).alias(n) for n in names])
+    lasting = F.filter(F.lit(years).cast("array<int>"), lambda y: (y >= F.col("at")) & (y < F.col("until")))
+    return state.where(F.col(f"n_{max(bands)}") > 0).select("id", F.explode(lasting).alias("year"), *names)
 
 
 def edges(rings: DataFrame) -> DataFrame:
@@ -66,15 +67,18 @@ def edges(rings: DataFrame) -> DataFrame:
 def points_in_polygons(points: DataFrame, rings: DataFrame, size: float = 10.0) -> DataFrame:
     """(id, poly_id) of points (id, x, y) inside rings, by the parity of edges that a ray to the right crosses.
 
-    An edge is dealt to the bands of y that it spans and meets the points of those bands; one that touches two rows
-    of points' y counts for the half-open range [low, high). Points of one band are spread over all their bands' edges only.
+    Points meet edges in squares of ``size``. An edge is dealt to the bands of y that it spans and, in each, to the
+    squares from its ring's left end to its own right end: a point further left is outside, a point further right is
+    not crossed by it. An edge that touches two rows of points' y counts for the half-open range [low, high).
     """
-    e = edges(rings).where("y1 <> y2")
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    e = e.withColumn("__band", F.explode(F.sequence(F.floor(low / size), F.floor(high / size))))
-    p = points.select("id", "x", "y").withColumn("__band", F.floor(F.col("y") / size))
+    from pyspark.sql import Window
+
+    e = edges(rings).withColumn("__left", F.min(F.least("x1", "x2")).over(Window.partitionBy("poly_id"))).where("y1 <> y2")
+    e = e.withColumn("__gy", F.explode(F.sequence(F.floor(F.least("y1", "y2") / size), F.floor(F.greatest("y1", "y2") / size))))
+    e = e.withColumn("__gx", F.explode(F.sequence(F.floor(F.col("__left") / size), F.floor(F.greatest("x1", "x2") / size))))
+    p = points.select("id", "x", "y").withColumn("__gy", F.floor(F.col("y") / size)).withColumn("__gx", F.floor(F.col("x") / size))
     hit = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    crossed = p.join(e, "__band").where(hit).groupBy("id", "poly_id").agg(F.count("*").alias("n"))
+    crossed = p.join(e, ["__gx", "__gy"]).where(hit).groupBy("id", "poly_id").agg(F.count("*").alias("n"))
     return crossed.where("n % 2 = 1").select("id", "poly_id")
 
 
@@ -93,8 +97,9 @@ def boxes_in_polygons(boxes: DataFrame, rings: DataFrame, half: float = 0.5) ->
     c = boxes.select(F.col("id").alias("box"), corners.alias("c")).select(F.struct("box", "c.k").alias("id"), F.col("c.cx").alias("x"), F.col("c.cy").alias("y"))
     whole = points_in_polygons(c, rings).groupBy(F.col("id.box").alias("id"), "poly_id").agg(F.count("*").alias("n")).where("n = 4")
     size = 10.0
-    e = edges(rings).withColumn("__band", F.explode(F.sequence(F.floor(F.least("y1", "y2") / size), F.floor(F.greatest("y1", "y2") / size))))
-    b = boxes.select("id", "x", "y").withColumn("__band", F.explode(F.sequence(F.floor((F.col("y") - half) / size), F.floor((F.col("y") + half) / size))))
+    squares = lambda low, high: F.explode(F.sequence(F.floor(low / size), F.floor(high / size)))
+    e = edges(rings).withColumn("__gy", squares(F.least("y1", "y2"), F.greatest("y1", "y2"))).withColumn("__gx", squares(F.least("x1", "x2"), F.greatest("x1", "x2")))
+    b = boxes.select("id", "x", "y").withColumn("__gy", squares(F.col("y") - half, F.col("y") + half)).withColumn("__gx", squares(F.col("x") - half, F.col("x") + half))
     left, right, bottom, top = F.col("x") - half, F.col("x") + half, F.col("y") - half, F.col("y") + half
     # The part of the edge's parameter range that is inside the box, slab by slab.
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
@@ -102,7 +107,7 @@ def boxes_in_polygons(boxes: DataFrame, rings: DataFrame, half: float = 0.5) ->
     hi = lambda p, d, a, z: F.when(d == 0, F.when((p > a) & (p < z), 1.0).otherwise(-1.0)).otherwise(F.greatest(F.try_divide(a - p, d), F.try_divide(z - p, d)))
     first = F.greatest(F.lit(0.0), lo(F.col("x1"), dx, left, right), lo(F.col("y1"), dy, bottom, top))
     last = F.least(F.lit(1.0), hi(F.col("x1"), dx, left, right), hi(F.col("y1"), dy, bottom, top))
-    cut = b.join(e, "__band").where(first < last).select("id", "poly_id").distinct()
+    cut = b.join(e, ["__gx", "__gy"]).where(first < last).select("id", "poly_id").distinct()
     return whole.join(cut, ["id", "poly_id"], "left_anti").select("id", "poly_id")
 
 
@@ -158,8 +163,3 @@ def knn(targets: DataFrame, sources: DataFrame, k: int = 5, reach: int = 4) -> D
 def cell_bounds(x: str = "x", y: str = "y", half: float = 0.5) -> Column:
     """A square cell's struct<minx,miny,maxx,maxy>."""
     return F.struct((F.col(x) - half).alias("minx"), (F.col(y) - half).alias("miny"), (F.col(x) + half).alias("maxx"), (F.col(y) + half).alias("maxy"))
-
-
-def degrees_to_km(lat: Column) -> Column:
-    """Kilometres of a degree of longitude at a latitude."""
-    return F.lit(math.pi * 6371.0 / 180) * F.cos(F.radians(lat))

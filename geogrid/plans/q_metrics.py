@@ -134,3 +134,13 @@ def mdl2_bootstrap_curves(spark: SparkSession, d: str) -> DataFrame:
 SELECT count(*) AS n, round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM s""")
 def mdl10_silhouette(spark: SparkSession, d: str) -> DataFrame:
     return rounded(M.silhouette(X.tiles(spark, d)), ["silhouette"])
+
+
+@query(f"""WITH {TILES}, m AS (SELECT label, i, avg(p) AS p FROM (SELECT label, unnest(range(1, 65)) AS i, unnest(px)::DOUBLE AS p FROM tiles WHERE label IS NOT NULL) GROUP BY ALL
+), c AS (SELECT label AS other, list(p ORDER BY i) AS c FROM m GROUP BY label
+), d AS (SELECT id, label, other, sqrt(list_sum(list_transform(list_zip(px, c), lambda z: (z[1]::DOUBLE - z[2]) ** 2))) AS d FROM tiles, c WHERE label IS NOT NULL
+), s AS (SELECT id, label, max(d) FILTER (other = label) AS a, min(d) FILTER (other <> label) AS b FROM d GROUP BY id, label)
+SELECT label, count(*) AS n, round(avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)), 6) AS silhouette FROM s GROUP BY label""")
+def mdl10_simplified_silhouette(spark: SparkSession, d: str) -> DataFrame:
+    """The silhouette by distances to centres, for whole tables."""
+    return rounded(M.simplified_silhouette(X.tiles(spark, d)), ["silhouette"])

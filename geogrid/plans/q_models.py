@@ -72,7 +72,7 @@ def labelled(spark: SparkSession, d: str, positives: int = 3) -> DataFrame:
 
 @query()
 def smp2_smote(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.smote(labelled(spark, d), "px").select("id", "nth", F.size("px").alias("dims"))
+    return sampling.smote(labelled(spark, d), "px").select("id", "nth", F.transform("px", lambda v: F.round(v, 5)).alias("px"))
 
 
 @query()

@@ -164,3 +164,68 @@ def test_bilinear_weights_sum_to_one():
     for s, t in ((8, 5), (5, 8), (3, 3)):
         w = raster.bilinear_weights(s, t)
         assert all(math.isclose(sum(x for d, _, x in w if d == k), 1) for k in range(t))
+
+
+def test_neighbour_counts_are_brute_force(spark):
+    r = random.Random(9)
+    cells = [(i, r.uniform(0, 300), r.uniform(0, 300)) for i in range(40)]
+    towns = [(i, r.uniform(0, 300), r.uniform(0, 300), r.choice([-5, 0, 7, 8, 20]), r.choice([1, 7, 8, 9, 30, None])) for i in range(60)]
+    towns += [(60, 1.0, 1.0, None, 9)]
+    want = {}
+    for i, x, y in cells:
+        for year in {t[3] for t in towns if t[3] is not None}:
+            d = [math.hypot(x - u, y - v) for _, u, v, a, b in towns if a is not None and b is not None and a < year < b]
+            n = tuple(sum(z <= k for z in d) for k in (20, 50, 100))
+            if n[2]:
+                want[i, year] = n
+    got = spatial.neighbour_counts(spark.createDataFrame(cells, "id int, x double, y double"), spark.createDataFrame(towns, "city_id int, x double, y double, birth int, end_yr int"))
+    assert {(x["id"], x["year"]): (x["n_20"], x["n_50"], x["n_100"]) for x in got.collect()} == want
+
+
+def test_points_far_left_and_right_of_a_ring(spark):
+    ring = [(0, 25.0, 1.0), (1, 61.0, 1.0), (2, 44.0, 33.0), (3, 43.0, 12.0)]
+    rings = spark.createDataFrame([(1, *p) for p in ring], "poly_id int, seq int, x double, y double")
+    r = random.Random(4)
+    points = [(i, r.uniform(-30, 90), r.uniform(-10, 50)) for i in range(600)]
+    want = set()
+    for i, x, y in points:
+        ends = zip(ring, ring[1:] + ring[:1], strict=True)
+        if sum((b > y) != (d > y) and x < (c - a) * (y - b) / (d - b) + a for (_, a, b), (_, c, d) in ends) % 2:
+            want.add(i)
+    got = spatial.points_in_polygons(spark.createDataFrame(points, "id int, x double, y double"), rings)
+    assert want and {x["id"] for x in got.collect()} == want
+
+
+def test_bin_quantiles_are_interpolated(spark):
+    r = random.Random(2)
+    rows = [(r.uniform(0, 3), r.choice([None, 1.0, r.random()])) for _ in range(200)] + [(7.5, None)]
+    got = {x["bin"]: x for x in reports.bin_stats(spark.createDataFrame(rows, "x double, v double"), "x", "v").collect()}
+    for b in range(3):
+        v = [v for x, v in rows if v is not None and b < x <= b + 1]
+        assert np.allclose([got[b][c] for c in ("q25", "median", "q75")], np.quantile(v, [0.25, 0.5, 0.75]))
+    assert (got[7]["n"], got[7]["median"]) == (0, None)
+
+
+def test_poisson_copies_are_a_bootstrap(spark):
+    n = [r["n"] for r in spark.range(20000).select(sampling.poisson_copies("s", "id").alias("n")).collect()]
+    assert abs(np.mean(n) - 1) < 0.03 and abs(np.var(n) - 1) < 0.05 and abs(np.mean(np.array(n) == 0) - math.exp(-1)) < 0.02
+
+
+def test_each_minority_row_gets_synthetic_rows_near_it(spark):
+    r = random.Random(8)
+    rows = [(i, int(i % 3 == 0), [r.gauss(0, 1), r.gauss(0, 1), r.gauss(0, 1)]) for i in range(300)] + [(300, 1, [500.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id int, label int, px array<double>")
+    got = sampling.smote(df, "px", per_row=2).collect()
+    assert len(got) == 2 * 101 and {x["id"] for x in got} == {i for i, y, _ in rows if y}
+    v = {i: np.array(p) for i, y, p in rows if y}
+    near = {i: set(sorted((j for j in v if j != i), key=lambda j, i=i: np.linalg.norm(v[i] - v[j]))[:5]) for i in v}
+    found = [(x["id"], x["nid"]) for x in sampling.near_rows(df.where("label = 1"), "px", 5).collect()]
+    assert sum(j in near[i] for i, j in found) > 0.8 * len(found)
+    assert sampling.smote(df.where("id = 3"), "px").count() == 0
+
+
+def test_simplified_silhouette_by_hand(spark):
+    df = spark.createDataFrame([(0, [0.0, 0.0]), (0, [2.0, 0.0]), (1, [10.0, 0.0]), (None, [1.0, 1.0])], "label int, px array<double>")
+    got = {r["label"]: (r["n"], r["silhouette"]) for r in metrics.simplified_silhouette(df).collect()}
+    assert got[1] == (1, 1.0) and got[0][0] == 2 and math.isclose(got[0][1], (9 / 10 + 7 / 8) / 2)
+    assert metrics.simplified_silhouette(df.where("label = 1")).first()["silhouette"] is None

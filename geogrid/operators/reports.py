@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .timeline import numbered
@@ -19,8 +19,9 @@ def bin_stats(df: DataFrame, coord: str, value: str, width: float = 1.0) -> Data
     b = F.ceil(F.col(coord) / width).cast("int") - 1
     x = df.where(F.col(coord).isNotNull()).select(b.alias("bin"), F.col(value).cast("double").alias("v"))
     n = x.groupBy("bin").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
+    before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bin
+    first = n.select("bin", F.col("n").alias("__n"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))
     ranked = numbered(x.where("v is not null").withColumn("__o", F.struct("bin", "v")), "__o", "__pos").select("bin", "v", "__pos")
-    first = ranked.groupBy("bin").agg(F.min("__pos").alias("__first"), F.count("*").alias("__n"))
     at = ranked.join(first, "bin").withColumn("__at", F.col("__pos") - F.col("__first"))
     cols = []
     for name, q in (("median", 0.5), ("q25", 0.25), ("q75", 0.75)):

@@ -33,25 +33,27 @@ def within_distance(a: DataFrame, b: DataFrame, radius: float, spread: int = 1)
 def neighbour_counts(cells: DataFrame, towns: DataFrame, bands: tuple[int, ...] = (20, 50, 100)) -> DataFrame:
     """(id, year, n_<band> ...): towns that exist in a year within each distance of a cell, for every founding year.
 
-    One join at the largest distance gives each pair two events: the town counts from the year after its founding on,
-    and no more from its last year on. Events are summed by cell and year before a running total, so a pair is not
+    One join at the largest distance gives each pair two events: the town counts from the first founding year after its
+    own on, and no more from the first that is not before its end. Events are summed by cell and year before a running total, so a pair is not
     repeated for each year that the town lasts. Years are the distinct founding years, a bounded list. Cells without
     a neighbour in a year have no row, and towns without a founding or last year count nowhere.
     """
     from pyspark.sql import Window
 
     years = sorted(r["birth"] for r in towns.select("birth").where("birth is not null").distinct().collect())
-    b = towns.where("end_yr > birth + 1").select(F.col("city_id").alias("bid"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("birth").alias("b_birth"), F.col("end_yr").alias("b_end"))
-    near = within_distance(cells.select("id", "x", "y"), b, max(bands)).select("id", "b_birth", "b_end", "d")
-    turn = F.explode(F.array(F.struct((F.col("b_birth") + 1).alias("at"), F.lit(1).alias("by")), F.struct(F.col("b_end").alias("at"), F.lit(-1).alias("by"))))
+    nth = lambda year: F.size(F.filter(F.lit(years).cast("array<int>"), lambda y: y < year))
+    b = towns.where("birth is not null and end_yr is not null").withColumn("since", nth(F.col("birth") + 1)).withColumn("until", nth(F.col("end_yr")))
+    b = b.where("since < until").select(F.col("city_id").alias("bid"), F.col("x").alias("bx"), F.col("y").alias("by"), "since", "until")
+    near = within_distance(cells.select("id", "x", "y"), b, max(bands)).select("id", "since", "until", "d")
+    turn = F.explode(F.array(F.struct(F.col("since").alias("at"), F.lit(1).alias("by")), F.struct(F.col("until").alias("at"), F.lit(-1).alias("by"))))
     events = near.select("id", "d", turn.alias("e"))
     names = [f"n_{r}" for r in bands]
     steps = events.groupBy("id", F.col("e.at").alias("at")).agg(*[F.sum(F.when(F.col("d") <= r, F.col("e.by")).otherwise(0)).alias(n) for r, n in zip(bands, names, strict=True)])
-    order = Window.partitionBy("id").orderBy("at")  # at most two events for each year there is
+    order = Window.partitionBy("id").orderBy("at")  # at most one event for each year there is
     run = order.rowsBetween(Window.unboundedPreceding, 0)
-    state = steps.select("id", "at", F.lead("at").over(order).alias("until"), *[F.sum(n).over(run).alias(n) for n in names])
-    lasting = F.filter(F.lit(years).cast("array<int>"), lambda y: (y >= F.col("at")) & (y < F.col("until")))
-    return state.where(F.col(f"n_{max(bands)}") > 0).select("id", F.explode(lasting).alias("year"), *names)
+    state = steps.select("id", "at", F.lead("at").over(order).alias("next"), *[F.sum(n).over(run).alias(n) for n in names])
+    lasting = state.where(F.col(f"n_{max(bands)}") > 0).select("id", F.explode(F.sequence("at", F.col("next") - 1)).alias("at"), *names)
+    return lasting.select("id", F.element_at(F.lit(years).cast("array<int>"), F.col("at") + 1).alias("year"), *names)
 
 
 def edges(rings: DataFrame) -> DataFrame:

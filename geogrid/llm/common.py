@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 
 # A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def scratch(spark: SparkSession, name: str) -> str:

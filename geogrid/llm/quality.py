@@ -7,10 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, WORD, stored
+from .common import WORD, stored
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 14  # a power of two
 PRIOR = 4.0
+SYMBOL = "[#*$%&|<>]"
 
 
 def with_words(docs: DataFrame) -> DataFrame:
@@ -21,45 +22,56 @@ def with_words(docs: DataFrame) -> DataFrame:
 
 def n_dup_lines(text: Column) -> Column:
     """Lines with a word that equal an earlier line of the text."""
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, WHITE, "") != "")
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
     return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
 
 
+def alike(rows: str, field: str) -> Column:
+    """Of sorted structs those whose ``field`` equals that of a neighbour."""
+    at = lambda i: F.get(F.col(rows), i)[field]
+    return F.filter(rows, lambda p, i: F.coalesce(p[field] == at(i - 1), F.lit(False)) | F.coalesce(p[field] == at(i + 1), F.lit(False)))
+
+
 def base_counts(worded: DataFrame) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words.
 
-    A word is repeated if it is in a window of three words that the text has twice or more. Windows are compared as
-    strings. Only texts that have such a window sort theirs; equal neighbours in that order are the repeats.
+    A word is repeated if it is in a window of three words that the text has twice or more. Equal windows have equal
+    hashes: only texts with a hash that comes twice sort their hashes, and only windows under such hashes are then
+    compared as strings, which decides. Words have no spaces, so joined windows are equal if all their words are.
     """
     x = worded.withColumn("n_words", F.size("__words").cast("long"))
-    bare = F.translate(F.col("__text"), WHITE, "")
-    x = x.withColumn("word_chars", F.length(bare).cast("long"))
-    x = x.withColumn("n_symbols", (F.length("__text") - F.length(F.translate(F.col("__text"), "#*$%&|<>", ""))).cast("long"))
+    x = x.withColumn("word_chars", F.length(F.array_join("__words", "")).cast("long"))
+    x = x.withColumn("n_symbols", F.regexp_count("__text", F.lit(SYMBOL)).cast("long"))
     x = x.withColumn("n_dup_lines", n_dup_lines(F.col("__text")))
+    word = lambda i: F.get(F.col("__words"), i)
     heads = F.slice("__words", F.lit(1), F.greatest(F.size("__words") - 2, F.lit(0)))
-    window = lambda w, i: F.concat_ws(" ", w, F.get("__words", i + 1), F.get("__words", i + 2))
-    x = x.withColumn("__windows", F.transform(heads, window))
-    x = x.withColumn("__repeats", F.size(F.array_distinct("__windows")) < F.size("__windows"))
-    placed = F.array_sort(F.transform("__windows", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-    x = x.withColumn("__placed", F.when(F.col("__repeats"), placed))
-    at = lambda i: F.get(F.col("__placed"), i)["w"]
-    twice = F.filter("__placed", lambda p, i: F.coalesce(p["w"] == at(i - 1), F.lit(False)) | F.coalesce(p["w"] == at(i + 1), F.lit(False)))
-    words = F.flatten(F.transform(twice, lambda p: F.array(p["i"], p["i"] + 1, p["i"] + 2)))
-    n = F.when(F.col("__repeats"), F.size(F.array_distinct(words))).otherwise(0)
-    return x.withColumn("n_repeat_words", n.cast("long")).drop("__windows", "__repeats", "__placed")
+    x = x.withColumn("__hashes", F.transform(heads, lambda w, i: F.xxhash64(w, word(i + 1), word(i + 2))))
+    placed = F.sort_array(F.transform("__hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    x = x.withColumn("__placed", F.when(F.size(F.array_distinct("__hashes")) < F.size("__hashes"), placed))
+    window = lambda i: F.concat_ws(" ", word(i), word(i + 1), word(i + 2))
+    x = x.withColumn("__again", alike("__placed", "h"))
+    x = x.withColumn("__windows", F.sort_array(F.transform("__again", lambda p: F.struct(window(p["i"]).alias("w"), p["i"].alias("i")))))
+    words = F.flatten(F.transform(alike("__windows", "w"), lambda p: F.array(p["i"], p["i"] + 1, p["i"] + 2)))
+    n = F.coalesce(F.size(F.array_distinct(words)), F.lit(0))
+    n = F.when(F.col("__placed").isNull(), 0).otherwise(n)
+    return x.withColumn("n_repeat_words", n.cast("long")).drop("__hashes", "__placed", "__again", "__windows")
 
 
 def bucket(*words: Column) -> Column:
     """Bucket of an n-gram."""
-    return F.pmod(F.xxhash64(*words), F.lit(BUCKETS)).cast("int")
+    return F.xxhash64(*words).bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
+
+
+def low_words(text: Column) -> Column:
+    """The words of a text in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
 def grams(words: str) -> Column:
-    """Buckets of a text's single words and pairs, in lower case."""
-    ones = F.transform(words, lambda w: bucket(F.lower(w)))
+    """Buckets of the single words and pairs of an array of words."""
+    ones = F.transform(words, lambda w: bucket(w))
     heads = F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))
-    pairs = F.transform(heads, lambda w, i: bucket(F.lower(w), F.lower(F.get(words, i + 1))))
-    return F.concat(ones, pairs)
+    return F.concat(ones, F.transform(heads, lambda w, i: bucket(w, F.get(words, i + 1))))
 
 
 def trusted_ids(labels: DataFrame, most: int = 20_000) -> DataFrame:
@@ -73,12 +85,16 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
     """For each bucket log P(bucket | trusted) - log P(bucket | raw).
 
     One is added to each raw count, and PRIOR n-grams a bucket, dealt as the raw multinomial has them, to the trusted
-    counts: where little is known, the ratio is near 0. The raw multinomial counts the n-grams of every document; the trusted one those of documents in ``trusted``,
-    whose size is bounded by ``trusted_ids``. Counts are combined within tasks first; the driver gets BUCKETS rows.
+    counts: where little is known, the ratio is near 0. The raw multinomial counts the n-grams of every document; the trusted
+    one those of documents in ``trusted``, whose size is bounded by ``trusted_ids``. Words are exploded with their next
+    ones and counted within tasks first; the driver gets BUCKETS rows.
     """
-    worded = with_words(docs.select("doc_id", "text"))
-    x = worded.join(F.broadcast(trusted), F.col("doc_id") == F.col("__trusted"), "left")
-    x = x.select(F.col("__trusted").isNotNull().cast("long").alias("t"), F.explode(grams("__words")).alias("b"))
+    x = docs.select("doc_id", "text").join(F.broadcast(trusted), F.col("doc_id") == F.col("__trusted"), "left")
+    x = x.select(F.col("__trusted").isNotNull().cast("long").alias("t"), low_words(F.coalesce("text", F.lit(""))).alias("w"))
+    later = F.slice("w", 2, F.greatest(F.size("w"), F.lit(1)))
+    x = x.select("t", F.explode(F.arrays_zip(F.col("w").alias("a"), later.alias("b"))).alias("p"))
+    pair = F.when(F.col("p.b").isNotNull(), bucket(F.col("p.a"), F.col("p.b")))
+    x = x.select("t", F.explode(F.array(bucket(F.col("p.a")), pair)).alias("b")).where("b is not null")
     rows = x.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("good")).collect()
     raw, good = [1] * BUCKETS, [0] * BUCKETS
     for r in rows:
@@ -100,8 +116,8 @@ def judged(docs: DataFrame, labels: DataFrame, threshold: float = -0.1, trusted_
     """
     ratios = log_ratios(docs, trusted_ids(labels, trusted_most))
     table = F.split(F.lit(",".join(f"{x:.5f}" for x in ratios)), ",").cast("array<double>")  # folded to one constant
-    x = base_counts(with_words(docs.select("doc_id", "text")))
-    summed = F.aggregate(grams("__words"), F.lit(0.0), lambda a, b: a + F.get(table, b))
+    x = base_counts(with_words(docs.select("doc_id", "text"))).withColumn("__low", low_words(F.col("__text")))
+    summed = F.aggregate(grams("__low"), F.lit(0.0), lambda a, b: a + F.get(table, b))
     x = x.withColumn("score", F.coalesce(F.try_divide(summed, 2.0 * F.col("n_words") - 1), F.lit(0.0)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     x = x.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))

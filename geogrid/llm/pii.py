@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -128,13 +130,15 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[dict]:
     """Spans that may be personal data beyond the patterns, with each labeler's vote and the span's shape.
 
     ``votes`` has a letter for each labeler: y, n, or - where it abstains. The labelers are a pattern of what the span
-    looks like, a gazetteer of the words around it, and its context (what joins it to those words).
+    looks like, a gazetteer of the words around it, and its context (what joins it to those words). ``base`` is sorted
+    by start; candidates that overlap one of its spans are left out.
     """
     out = []
-    taken = [(s, e) for s, e, _ in base]
+    starts, ends = [s for s, _, _ in base], list(accumulate((e for _, e, _ in base), max))
 
     def add(kind: str, start: int, end: int, votes: str, shape: list[str]) -> None:
-        if not any(s < end and start < e for s, e in taken):
+        before = bisect_left(starts, end)
+        if not before or ends[before - 1] <= start:
             out.append({"kind": kind, "start": start, "end": end, "votes": votes, "shape": [f"{kind}:{x}" for x in shape]})
 
     if "=" in text or ":" in text:

@@ -614,3 +614,13 @@ def test_runs_of_different_columns(spark):
     with pytest.raises(TypeError):
         store.append(spark.createDataFrame([("3",)], "id string"))
     assert store.read().count() == 2
+
+
+def test_candidates_leave_out_all_that_overlap_base_spans():
+    r = random.Random(1)
+    parts = ["password=abc123XYZ9 ", "mr. Anna Maria ", "a@b.com ", "token: q9@w8.org,x=1 ", "10.0.0.1 ", "secret=4111111111111111z9 ", "pwd='a1b2c3@d4.net' "]
+    for _ in range(2000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 8)))
+        base = pii.base_spans(text)
+        free = [c for c in pii.candidates(text, []) if not any(s < c["end"] and c["start"] < e for s, e, _ in base)]
+        assert pii.candidates(text, base) == free

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, near_dedup, packing, pii, quality, shards, token_count, warc
+from . import exact_dedup, langid, mixing, near_dedup, packing, periodic, pii, quality, shards, simhash, token_count, turn_trie, warc
 from .common import documents, scratch
 
 
@@ -68,6 +68,35 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose SimHash fingerprints differ in at most 3 bits."""
+    return simhash.near_components(documents(spark, sf_dir))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of each document's words, a tenth of all documents made to repeat, and the run of the greatest exponent."""
+    found = periodic.periodic_runs(documents(spark, sf_dir), rewrite=True)
+    none = F.lit(None).cast("struct<start:long,length:long,period:long>")
+    # Runs are in order of start and period, so of equal exponents the first stays.
+    more = lambda top, r: top.isNull() | (r["length"] * top["period"] > top["length"] * r["period"])
+    top = F.reduce("runs", none, lambda top, r: F.when(more(top, r), r).otherwise(top))
+    line = lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))
+    found = found.withColumn("top", top)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"top.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        "collapsed_sha256",
+    )
+
+
+def op13_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, rebuilt so that those of a hundred ids begin alike."""
+    return turn_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), rebuild=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_minhash_near_dedup,
@@ -80,6 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_systematic_mix,
         op9_exact_dedup,
         op10_personal_data,
+        op11_simhash_near_dedup,
+        op12_periodic_runs,
+        op13_turn_trie,
     )
 }
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import array
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,3 +111,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
             to = max(at + 1, int(np.searchsorted(ends, done + limit, "right")))
             yield b.slice(at, to - at)
             at = to
+
+
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_lists(text: bytes, limit: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text of UTF-8, cut at ASCII white space, in lists of about ``limit`` bytes of text."""
+    at = 0
+    while at < len(text):
+        found = _BLANK.search(text, at + limit) if at + limit < len(text) else None
+        to = found.start() if found else len(text)
+        yield text[at:to].split()
+        at = to

@@ -16,7 +16,7 @@ def test_same_as_sql(spark, duck, name):
     assert rows_of(QUERIES[name](spark, DATA).toPandas()) == rows_of(duck.sql(SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"op13_turn_trie"}))
 def test_gives_a_row_for_each_document(spark, name):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     found = QUERIES[name](spark, DATA)
@@ -24,7 +24,7 @@ def test_gives_a_row_for_each_document(spark, name):
 
 
 def test_every_dealt_operator_has_a_query():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)}
 
 
 def test_pipeline_stages(spark):

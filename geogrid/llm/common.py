@@ -44,6 +44,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def named(column: str) -> Column:
+    """The column of this very name, whatever marks are in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """``name``, lengthened until no column of ``taken`` is called so."""
     while name.lower() in {c.lower() for c in taken}:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import salts
+from .common import named, salts
 
 MOST_SALTS = 240
 
@@ -75,21 +75,23 @@ def deduplicated(
     """One row of each group of equal (normalised) texts, that with the largest id; columns as in ``docs``.
 
     The same steps as ``exact_groups``, with the row that stays carried along instead of looked up. Of rows that
-    repeat an id and a text one stays. Null text counts as empty; a row that stays keeps its own text.
+    repeat an id and a text one stays. Null text counts as empty; a row that stays keeps its own text. Very long
+    texts are compared whole, an empty table gives no rows, and other columns are carried along, whatever they are
+    called.
     """
     words = -(-min(MOST_SALTS, salts(docs.sparkSession)) // 60)
-    rest = [F.col(c) for c in docs.columns if c != text_col]
-    same = F.when(F.col(text_col).isNotNull(), normalise(F.col(text_col)) == F.col(text_col))
+    text, doc_id = named(text_col), named(id_col)
+    rest = [named(c) for c in docs.columns if c != text_col]
+    same = F.coalesce(F.when(text.isNotNull(), normalise(text) == text), F.lit(False))
     # The text itself is carried only where the content doesn't tell it.
-    other = F.when(~F.coalesce(same, F.lit(False)), F.col(text_col)).alias("__text")
     rows = docs.select(
-        normalise(F.coalesce(F.col(text_col), F.lit(""))).alias("__content"),
-        F.struct(*rest, other, F.coalesce(same, F.lit(False)).alias("__same")).alias("__row"),
-        F.struct(F.col(id_col).isNotNull().alias("a"), F.col(id_col).alias("b")).alias("__id"),
-        F.pmod(F.spark_partition_id(), F.lit(60 * words)).alias("__salt"),
-    ).withColumn("__digest", F.sha2("__content", 256))
-    best = [F.max_by("__row", "__id").alias("__row"), F.max("__id").alias("__id")]
-    by_salt = rows.groupBy("__digest", "__salt", "__content").agg(*best)
-    by_text = by_salt.groupBy("__digest", "__content").agg(*best)
-    text = F.when(F.col("__row.__same"), F.col("__content")).otherwise(F.col("__row.__text"))
-    return by_text.select(*[text.alias(c) if c == text_col else F.col("__row").getField(c).alias(c) for c in docs.columns])
+        normalise(F.coalesce(text, F.lit(""))).alias("content"),
+        F.struct(F.struct(*rest).alias("rest"), F.when(~same, text).alias("text"), same.alias("same")).alias("row"),
+        F.struct(doc_id.isNotNull().alias("a"), doc_id.alias("b")).alias("id"),
+        F.pmod(F.spark_partition_id(), F.lit(60 * words)).alias("salt"),
+    ).withColumn("digest", F.sha2("content", 256))
+    best = [F.max_by("row", "id").alias("row"), F.max("id").alias("id")]
+    by_salt = rows.groupBy("digest", "salt", "content").agg(*best)
+    by_text = by_salt.groupBy("digest", "content").agg(*best)
+    own = F.when(F.col("row.same"), F.col("content")).otherwise(F.col("row.text"))
+    return by_text.select(*[own.alias(c) if c == text_col else F.col("row.rest").getField(c).alias(c) for c in docs.columns])

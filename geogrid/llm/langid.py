@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh
+from .common import named
 from .tokens import slices
 
 UND = "und"
 LEVEL = 9  # of compression
 SLACK = 3
-LEAD = 3000  # bytes of a dictionary that go before a text where languages tie
+LEAD, LEADS = 3000, 3  # bytes of a dictionary that go before a text where languages tie, and how many such parts do in turn
 RESULT = "lang_pred string, score double, margin double, rejected boolean"
 
 
@@ -26,20 +26,21 @@ def learn(
     """Raw-content dictionaries by language, from labelled rows (doc_id, text, lang).
 
     The sample is bounded: of each language at most ``texts_per_lang`` whole texts of at most ``longest_text``
-    characters, those with the smallest hash of text and id, up to ``dictionary_bytes`` bytes. Rows with null text or
-    language are not used; an empty table gives no dictionary. Rows that repeat count as often as they do, ties of
-    the hash go by id. The driver gets the sample and a count for each language; languages come in order of how
-    many rows they have, the most frequent first. Other columns are not looked at, whatever they are called.
+    characters, those with the smallest hash of text and id, up to ``dictionary_bytes`` bytes. A text counts once in
+    each language, however many rows have it, so copies fill neither the sample nor a dictionary. Rows with null text or language
+    are not used; an empty table gives no dictionary. The driver gets the sample and a count for each language;
+    languages come in order of how many rows they have, the most frequent first. Other columns are not looked at,
+    whatever they are called.
     """
     rows = docs.where(F.col("lang").isNotNull() & (F.col("lang") != UND) & (F.length("text") <= longest_text))
-    slim = rows.select("lang", F.xxhash64("doc_id", "text").alias("h"), "doc_id")
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = slim.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= texts_per_lang)
-    keys = chosen.select("nth", F.col("h").alias("kh"), F.col("lang").alias("kl"))  # texts_per_lang rows a language
-    texts = rows.join(F.broadcast(keys), (F.xxhash64("doc_id", "text") == F.col("kh")) & (F.col("lang") == F.col("kl")))
+    slim = rows.groupBy("lang", F.xxhash64("text").alias("of")).agg(F.min(F.xxhash64("doc_id", "text")).alias("h"))
+    chosen = slim.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "of"))).where(F.col("nth") <= texts_per_lang)
+    keys = chosen.select("nth", F.col("of").alias("kh"), F.col("lang").alias("kl"))  # texts_per_lang rows a language
+    texts = rows.join(F.broadcast(keys), (F.xxhash64("text") == F.col("kh")) & (F.col("lang") == F.col("kl")))
+    texts = texts.groupBy("lang", "nth").agg(F.min("text").alias("text"))  # one of all copies
     found: dict[str, list[bytes]] = {}
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
-    for r in sorted(texts.select("lang", "nth", "text").collect(), key=lambda r: (r["lang"], r["nth"])):
+    for r in sorted(texts.collect(), key=lambda r: (r["lang"], r["nth"])):
         found.setdefault(r["lang"], []).append(r["text"].lower().encode())
     out = {}
     for lang in [r["lang"] for r in counts]:
@@ -65,9 +66,9 @@ def predict(
     """Per row: the columns of ``keep``, and a struct ``result`` of lang_pred, score, margin, rejected.
 
     The whole text, in lower case, is compressed with each language's dictionary; the language with the fewest bytes
-    is predicted. Of languages with equally few, the start of each dictionary goes before the text, so that its
-    letters have a language's frequencies, and what the text adds is compared; of equal ones the first in
-    ``dictionaries`` is taken. Texts of any length go the same way. Sizes are read as costs: ``score`` is the share
+    is predicted. Of languages with equally few, LEADS parts from the start of each dictionary go before the text in
+    turn, so that its letters have a language's frequencies, and what the text adds to all is compared; of equal ones
+    the first in ``dictionaries`` is taken. Texts of any length go the same way. Sizes are read as costs: ``score`` is the share
     of exp(-per_byte * bytes) that the predicted language has, from 1 / number of languages to 1, and ``margin`` is
     how many bytes the second language needs beyond the first, as a share of the first's. A prediction is
     ``rejected`` where that is below ``least_margin``: no dictionary explains the text clearly better than another.
@@ -91,16 +92,16 @@ def predict(
             d.precompute_compress(level=LEVEL)
             return z.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False)
 
-        lead = [dictionaries[x][:LEAD] for x in langs]
-        after = [of(dictionaries[x][LEAD:]) for x in langs]
-        begun = [(c, x, len(c.compress(x))) for c, x in zip(after, lead, strict=True)]
+        after = [of(dictionaries[x][LEADS * LEAD :]) for x in langs]
+        lead = [[dictionaries[x][k * LEAD : (k + 1) * LEAD] for k in range(LEADS)] for x in langs]
+        begun = [[(c, x, len(c.compress(x))) for x in parts] for c, parts in zip(after, lead, strict=True)]
         return [of(dictionaries[x]) for x in langs], begun, z.ZstdCompressor(level=LEVEL, write_content_size=False)
 
     def sizes(data: bytes, whole: list, begun: list, bare) -> tuple[list[int], bool]:  # noqa: ANN001
         found = [len(c.compress(data)) for c in whole]
         told = min(found) <= (1 - least_saved) * len(bare.compress(data)) + SLACK
         if found.count(min(found)) > 1:
-            found = [len(c.compress(lead + data)) - n for c, lead, n in begun]
+            found = [sum(len(c.compress(lead + data)) - n for c, lead, n in parts) for parts in begun]
         return found, told
 
     def of(text: str | None, made: tuple) -> tuple[str, float, float, bool]:
@@ -114,17 +115,17 @@ def predict(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = compressors()
-        for b in slices(batches, text_name):
-            found = [dict(zip(names, of(t, made), strict=True)) for t in b.column(text_name).to_pylist()]
-            cols = [b.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(found, kind)], names=[*keep, result])
+        for b in slices(batches, "text"):
+            found = [dict(zip(names, of(t, made), strict=True)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(found, kind)], names=["row", "found"])
 
     names = ("lang_pred", "score", "margin", "rejected")
     kind = pa.struct(list(zip(names, (pa.string(), pa.float64(), pa.float64(), pa.bool_()), strict=True)))
-    text_name = fresh("text", list(keep))
-    kept = [F.col(f"`{c}`") for c in keep]
-    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField(result, T.StructType.fromDDL(RESULT))])
-    return docs.select(*kept, F.col("text").alias(text_name)).mapInArrow(run, schema)
+    # The columns go as one, so that none of their names matters.
+    rows = docs.select(F.struct(*map(named, keep)).alias("row"), F.col("text").alias("text"))
+    schema = T.StructType([rows.schema["row"], T.StructField("found", T.StructType.fromDDL(RESULT))])
+    made = rows.mapInArrow(run, schema)
+    return made.select(*[F.col("row").getField(c).alias(c) for c in keep], F.col("found").alias(result))
 
 
 def held_out() -> Column:

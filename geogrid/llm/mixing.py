@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, stored
+from .common import n_words, named, stored
 
 # Expected copies are whole numbers of this unit, so that prefix sums are exact and the same in every run.
 UNIT = 1_000_000_000
@@ -114,7 +114,7 @@ def emit(docs: DataFrame, mix: DataFrame) -> DataFrame:
     copies = mix.groupBy(F.col("doc_id").alias("__mix_id"), F.col("text_hash").alias("__mix_hash")).agg(
         F.sum("copies").alias("__mix_copies"), F.count("*").alias("__mix_rows")
     )
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__mix_row"), F.col("doc_id").alias("__mix_doc"), F.xxhash64("text").alias("__mix_of"))
+    rows = docs.select(F.struct(*map(named, docs.columns)).alias("__mix_row"), F.col("doc_id").alias("__mix_doc"), F.xxhash64("text").alias("__mix_of"))
     same = F.col("__mix_doc").eqNullSafe(F.col("__mix_id")) & (F.col("__mix_of") == F.col("__mix_hash"))
     x = rows.join(copies.where("__mix_copies > 0"), same)
     single, several = x.where("__mix_rows = 1").withColumn("__mix_nth", F.lit(1)), x.where("__mix_rows > 1")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import id_schema, salts, stored
+from .common import id_schema, named, salts, stored
 from .tokens import slices
 
 BLOCK = 1 << 15
@@ -431,7 +431,7 @@ def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     marked = own.join(own.groupBy("class").agg(keeper), "class").withColumn("gone", F.col("content") != F.col("k.content"))
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     marked = marked.where("gone or copies > 1").select("content", "gone", name("first").alias("keep"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), content(F.col("text")).alias("content"), name("doc_id").alias("name"))
+    rows = docs.select(F.struct(*map(named, docs.columns)).alias("row"), content(F.col("text")).alias("content"), name("doc_id").alias("name"))
     rows = rows.join(marked, "content", "left").where("keep is null or not gone and keep = name")
     single, several = rows.where("keep is null"), rows.where("keep is not null").dropDuplicates(["content", "name"])
     return single.select("row.*").unionByName(several.select("row.*"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import id_schema, stored
 from .tokens import slices
 
 # The kinds, in the order in which spans of one start are listed.
@@ -21,9 +21,7 @@ KINDS = ("email", "ip", "card", "phone", "secret", "name")
 SPAN = "kind: string, start: long, `end`: long"
 _span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 _vote = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("votes", pa.string()), ("shape", pa.list_(pa.string()))])
-FOUND = (
-    f"doc_id long, base array<struct<{SPAN}>>, candidates array<struct<{SPAN}, votes: string, shape: array<string>>>"
-)
+FOUND = f"base array<struct<{SPAN}>>, candidates array<struct<{SPAN}, votes: string, shape: array<string>>>"
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -91,7 +89,9 @@ _SEPARATOR = re.compile(r"[=:]")
 _VALUE = re.compile(r"[^\s\"'=,;]{6,}")
 # What follows the name of a credential is whole, up to the next name of a list.
 _CREDENTIAL = re.compile(r"(?:[^\s\"',;]|[,;](?![A-Za-z_][A-Za-z0-9_.-]*[=:][^=\s]))+")
-_NAME = re.compile(rf"\b((?i:{'|'.join(NAME_WORDS + ABOUT_WORDS)}))(\.?[ ]{{1,2}})([^\W\d_a-z][^\W\d_]+(?: [^\W\d_a-z][^\W\d_]+)*)")
+_PROPER = r"[^\W\d_a-z][^\W\d_]+"
+_TITLE, _ABOUT = (rf"(?:{'|'.join(w)})\b" for w in (NAME_WORDS, ABOUT_WORDS))
+_NAME = re.compile(rf"\b(?:((?i:{_ABOUT}))(?:[ ]is|[ ]?:)?[ ]{{1,2}})?(?:((?i:{_TITLE}))(\.?)[ ]{{1,2}})?(?<=[ ])({_PROPER}(?:[ -]{_PROPER})*)")
 
 
 def secrets(text: str) -> list[tuple[str, str, int, str]]:
@@ -151,13 +151,12 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[dict]:
     low = text.lower()
     if any(w in low for w in NAME_WORDS + ABOUT_WORDS):
         for m in _NAME.finditer(text):
-            word, join, value = m[1].lower(), m[2], m[3]
-            title, about = word in NAME_WORDS, word in ABOUT_WORDS
+            about, title, dot, value = m[1], m[2], m[3], m[4]
             if title or about:
-                parts = value.split(" ")
+                parts = re.split("[ -]", value)
                 votes = ("y" if len(parts) > 1 and all(p[1:].islower() for p in parts) else "n") + ("y" if title else "-")
-                votes += "y" if "." in join and title else "n" if "." in join else "-"
-                add("name", m.start(3), m.end(3), votes, [f"words{len(parts)}", f"case{value.istitle()}", f"title{title}", f"length{_bin(len(value), 6, 12, 20)}"])
+                votes += "y" if title and (dot or about) else "-"
+                add("name", m.start(4), m.end(4), votes, [f"words{_bin(len(parts), 2, 3, 4)}", f"case{value.istitle()}", f"title{bool(title)}", f"length{_bin(len(value), 6, 12, 20)}"])
     return out
 
 
@@ -171,10 +170,10 @@ def labelled(docs: DataFrame) -> DataFrame:
                 found = base_spans(t or "")
                 base.append([{"kind": k, "start": s, "end": e} for s, e, k in found])
                 cands.append(candidates(t or "", found))
-            cols = [b.column("doc_id").cast(pa.int64()), pa.array(base, pa.list_(_span)), pa.array(cands, pa.list_(_vote))]
+            cols = [b.column("doc_id"), pa.array(base, pa.list_(_span)), pa.array(cands, pa.list_(_vote))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "base", "candidates"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, FOUND)
+    return docs.select("doc_id", "text").mapInArrow(run, id_schema(docs, FOUND))
 
 
 def reliabilities(counts: dict[tuple[str, str], int], rounds: int = 60) -> dict[tuple[str, str], float]:
@@ -218,7 +217,8 @@ def detected(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     by vote pattern and by shape feature, some hundred numbers at any input size.
 
     Null and empty text have no span. Base spans always stay; added ones never overlap them. Rows that repeat are
-    separate. Offsets are code points, the end is exclusive. An empty table gives no rows.
+    separate. Offsets are code points, the end is exclusive. Very long texts are read whole, an empty table gives no
+    rows, ids keep their type, and columns other than doc_id and text are not looked at, whatever they are called.
     """
     found = stored(labelled(docs), "spans")
     votes = found.select(F.explode("candidates").alias("c")).select("c.kind", "c.votes", "c.shape")

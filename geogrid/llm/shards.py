@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh
+from .common import fresh, named
 
 MANIFEST = "run string, tier int, bytes long, rows long, files int, since int, columns string"
 
@@ -191,7 +191,7 @@ def ingest(store: ShardStore, table: DataFrame, arrivals: int = 6, key: str = "d
     gives empty runs and no rows.
     """
     by = fresh("arrival", table.columns)
-    bucket = F.pmod(F.crc32(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))), F.lit(arrivals))
+    bucket = F.pmod(F.crc32(F.coalesce(named(key).cast("string"), F.lit(""))), F.lit(arrivals))
     name = uuid.uuid4().hex
     table.withColumn(by, bucket).write.partitionBy(by).parquet(f"{store.root}/runs/{name}")
     for k in range(arrivals):

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from geogrid.llm import periodic, simhash, turn_trie
+from geogrid.llm import langid, periodic, pii, simhash, turn_trie
 from geogrid.llm.queries import QUERIES
 from tests.conftest import DATA
 
@@ -292,3 +292,25 @@ def test_trie_query_is_that_of_brute_force(spark):
     turns = [tuple(r) for r in spark.read.parquet(f"{DATA}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     got = [tuple(r[c] for c in turn_trie.NODE) for r in QUERIES["op13_turn_trie"](spark, DATA).collect()]
     assert sorted(map(str, got)) == sorted(map(str, brute_trie(turns, True)))
+
+
+def test_copies_fill_neither_the_sample_nor_a_dictionary(spark):
+    from pyspark.sql import functions as F
+
+    copies = spark.range(10_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("the same text again").alias("text"), F.lit("en").alias("lang"))
+    other = spark.createDataFrame([(i, f"number {i} of some others", "en") for i in range(200)], "doc_id long, text string, lang string")
+    lines = langid.learn(copies.unionByName(other))["en"].decode().split("\n")
+    assert len(lines) == len(set(lines)) == 120
+
+
+def test_personal_data_of_ids_of_any_type_and_names_behind_cues(spark):
+    names = {
+        "contact Dr. Anna Schmidt today": "Anna Schmidt", "signed Mr Juan Lopez": "Juan Lopez", "name: Anna Schmidt": "Anna Schmidt",
+        "My name is Anna Schmidt, hello": "Anna Schmidt", "dear Mrs. Jean-Luc Picard went": "Jean-Luc Picard", "Mr. Bean": "Bean", "the Bean": None,
+    }
+    for text, name in names.items():
+        assert [text[c["start"] : c["end"]] for c in pii.candidates(text, []) if c["kind"] == "name"] == ([name] if name else [])
+    rows = [(f"id{i}", t, "x") for i, t in enumerate([*names, None, "mail a@b.cc"])]
+    got = pii.detected(spark.createDataFrame(rows, "doc_id string, text string, base string")).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(r[0] for r in rows)
+    assert [s["kind"] for r in got if r["doc_id"] == "id8" for s in r["base"]] == ["email"]

@@ -147,24 +147,41 @@ def mdl7_probes(spark: SparkSession, d: str) -> DataFrame:
     return metrics.r2(models.regress(x, "px", "target", rounds=5), "target", "fitted", ["part"])
 
 
+def standardised(spark: SparkSession, d: str) -> DataFrame:
+    x = X.tiles(spark, d).select("id", F.col("px").cast("array<double>").alias("px"))
+    return features.apply_scaler(x, features.fit_scaler(x, "px"), "px")
+
+
 @query()
 def srt5_best_start(spark: SparkSession, d: str) -> DataFrame:
-    """Each start's cost, and whether it is the one that is kept."""
-    _, costs = clustering.kmeans(labelled(spark, d), "px", 6, 3, 10)
-    x = spark.createDataFrame(costs, "seed int, sse double")
-    best = x.agg(F.min_by("seed", F.struct("sse", "seed")).alias("best"))
-    return x.join(best, x["seed"] == best["best"], "left").select("seed", "sse", F.col("best").isNotNull().alias("kept"))
+    """Each of 20 starts' cost for 18 clusters, and whether it is the one that is kept."""
+    return clustering.kmeans(standardised(spark, d), "px")[1].select("seed", "sse", "kept")
 
 
 @query()
 def mdl8_best_clustering(spark: SparkSession, d: str) -> DataFrame:
-    found, costs = clustering.kmeans(labelled(spark, d), "px", 6, 3, 10)
-    return found.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("cost", F.lit(min(c for _, c in costs)))
+    """Rows in each of 18 clusters of the best of 20 starts, and its cost."""
+    found, costs = clustering.kmeans(standardised(spark, d), "px")
+    return found.groupBy("cluster").agg(F.count("*").alias("n")).crossJoin(costs.where("kept").select(F.col("sse").alias("cost")))
 
 
 @query()
 def mdl9_cluster_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return clustering.sweep_summary(clustering.sweep(spark, labelled(spark, d), "px", range(2, 5), 2))
+    """Mean and deviation of cost and silhouette of 200 starts for each of 2 to 30 clusters."""
+    return clustering.sweep_summary(clustering.sweep(standardised(spark, d), "px"))
+
+
+@query(f"""WITH p AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS p, generate_subscripts(embedding, 1) AS i FROM embeddings
+), s AS (SELECT i, avg(p) AS m, stddev_pop(p) AS s FROM p GROUP BY i
+), z AS (SELECT id, list((p - m) / CASE WHEN s = 0 THEN 1 ELSE s END ORDER BY i) AS v FROM p JOIN s USING (i) GROUP BY id
+), c AS (SELECT * FROM (SELECT seed::INT AS seed, v, row_number() OVER (PARTITION BY seed ORDER BY {u("='init' || seed || '_'", "id")}, id) - 1 AS cluster FROM z, range(20) r(seed)) WHERE cluster < 18
+), a AS (SELECT seed, id, min(list_distance(z.v, c.v)) AS d, arg_min(cluster, (list_distance(z.v, c.v), cluster)) AS cluster FROM z, c GROUP BY seed, id)
+SELECT seed, cluster::INT AS cluster, count(*) AS n, round(sum(d * d), 4) AS sse, round(avg(v[1]), 5) AS first, round(avg(list_sum(v)), 5) AS total FROM a JOIN z USING (id) GROUP BY seed, cluster""")
+def mdl9_first_step(spark: SparkSession, d: str) -> DataFrame:
+    """One step of 20 fits of 18 clusters from their starting rows: members, cost and new centre of each cluster."""
+    x = clustering.Fits(standardised(spark, d), "px", [(18, s) for s in range(20)]).clusters().where("n > 0")
+    total = F.aggregate("mean", F.lit(0.0), lambda s, v: s + v)
+    return x.select("seed", "cluster", "n", F.round("sse", 4).alias("sse"), F.round(F.col("mean")[0], 5).alias("first"), F.round(total, 5).alias("total"))
 
 
 @query()

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geogrid.functions import columns as C
-from geogrid.operators import features, metrics, raster, reports, sampling, spatial, tiles, timeline
+from geogrid.operators import clustering, features, metrics, raster, reports, sampling, spatial, tiles, timeline
 from geogrid.sources import tables
 
 
@@ -229,3 +229,40 @@ def test_simplified_silhouette_by_hand(spark):
     got = {r["label"]: (r["n"], r["silhouette"]) for r in metrics.simplified_silhouette(df).collect()}
     assert got[1] == (1, 1.0) and got[0][0] == 2 and math.isclose(got[0][1], (9 / 10 + 7 / 8) / 2)
     assert metrics.simplified_silhouette(df.where("label = 1")).first()["silhouette"] is None
+
+
+def plain_lloyd(v, centres, tol=1e-4, most=100):
+    for _ in range(most):
+        own = ((v[:, None, :] - centres[None]) ** 2).sum(2).argmin(1)
+        new = np.stack([v[own == i].mean(0) if (own == i).any() else c for i, c in enumerate(centres)])
+        moved, centres = ((new - centres) ** 2).sum(), new
+        if moved <= tol:
+            break
+    d = np.sqrt(((v[:, None, :] - centres[None]) ** 2).sum(2))
+    low = np.sort(d, axis=1)
+    sil = np.where(low[:, 1] > 0, (low[:, 1] - low[:, 0]) / np.maximum(low[:, 1], 1e-300), 0).mean() if len(centres) > 1 else None
+    return (low[:, 0] ** 2).sum(), sil
+
+
+def test_fits_at_once_are_those_of_each_alone(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    v = np.round(np.concatenate([r.normal(c, 0.4, (60, 5)) for c in (0, 1, 3)]), 4)
+    df = spark.createDataFrame([(i, x.tolist(), "e") for i, x in enumerate(v)] + [(999, None, "e")], "id long, px array<double>, v string").repartition(5)
+    fits = [(k, s) for k in (1, 2, 3, 7) for s in range(6)] + [(4, 11)]
+    want = {}
+    starts = clustering.seeds_rows(df.where("px is not null").select("id", "px"), "px", "id", [*range(6), 11], 7)
+    for k, s in fits:
+        want[k, s] = plain_lloyd(v, starts[s][:k].copy())
+    for bound in (1 << 20, 700):
+        monkeypatch.setattr(clustering, "CELLS", 100)
+        got = clustering.Fits(df, "px", fits, bound=bound).run().result().collect()
+        assert {(x["k"], x["seed"]) for x in got} == set(fits)
+        for x in got:
+            sse, sil = want[x["k"], x["seed"]]
+            assert abs(x["sse"] - sse) < 1e-6 * sse and (sil is None or abs(x["silhouette"] - sil) < 1e-6), x
+    labels, costs = clustering.kmeans(df, "px", 3, 6)
+    kept = [c["seed"] for c in costs.collect() if c["kept"]]  # several starts may end alike
+    assert len(kept) == 1 and abs(want[3, kept[0]][0] - min(want[3, s][0] for s in range(6))) < 1e-6
+    assert labels.groupBy("cluster").count().count() == 3 and labels.count() == len(v)
+    with pytest.raises(ValueError):
+        clustering.Fits(df.limit(2), "px", [(4, 0)])

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import uniform
+from .neighbours import nearest_vectors
 from .storage import stored
 from .timeline import numbered
 
@@ -90,34 +91,24 @@ def poisson_copies(salt: str, key: str) -> Column:
     return total
 
 
-def near_rows(df: DataFrame, array: str, k: int, key: str = "id", orders: int = 4, reach: int = 8) -> DataFrame:
-    """(id, nid, a, b, d): up to ``k`` near rows of each, by Euclidean distance, ties by id.
+def smote(df: DataFrame, array: str, label: str = "label", minority: int = 1, k: int = 5, key: str = "id") -> DataFrame:
+    """Synthetic minority rows (key, nth, array) that make the class as large as the other: random steps from a row
+    towards one of its ``k`` nearest of the class.
 
-    Rows are put in ``orders`` random orders, each by the projection on one random direction, and compared with the ``reach``
-    rows after them there. So each of two or more rows has a neighbour, and no bucket can grow. ``key`` is unique.
+    Each row of the class gets equally many, and those with the smallest random numbers one more. The neighbours are
+    exact. There are none if the class has one row only, or is not the smaller one.
     """
-    x = stored(df.select(F.col(key).alias("id"), F.col(array).cast("array<double>").alias("v")), "vectors")
-    parts = []
-    for o in range(orders):
-        weighed = F.transform("v", lambda p, i: p * (uniform(f"dir{o}_", i) - 0.5))  # noqa: B023
-        along = F.aggregate(weighed, F.lit(0.0), lambda s, p: s + p)
-        a = stored(numbered(x.select("id", F.struct(along.alias("p"), F.col("id")).alias("__o")), "__o", "pos").select("id", "pos"), "order")
-        later = a.select(F.col("id").alias("nid"), F.explode(F.sequence(F.col("pos") - reach, F.col("pos") - 1)).alias("pos"))
-        parts.append(a.join(later, "pos").select("id", "nid"))
-    pairs = reduce(DataFrame.unionByName, parts)
-    both = pairs.unionByName(pairs.select(F.col("nid").alias("id"), F.col("id").alias("nid"))).distinct()
-    y = both.join(x.withColumnRenamed("v", "a"), "id").join(x.select(F.col("id").alias("nid"), F.col("v").alias("b")), "nid")
-    d = F.sqrt(F.aggregate(F.zip_with("a", "b", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, p: s + p))
-    return first_by(y.withColumn("d", d), ["id"], [F.col("d"), F.col("nid")], k)
-
-
-def smote(df: DataFrame, array: str, label: str = "label", minority: int = 1, k: int = 5, per_row: int = 1, key: str = "id") -> DataFrame:
-    """Synthetic minority rows (key, nth, array): a random step from a row towards one of its k near ones of the class.
-
-    ``per_row`` rows for each row of the class; none if the class has only one row.
-    """
-    near = near_rows(df.where(F.col(label) == minority), array, k, key)
-    x = near.withColumn("nth", F.explode(F.sequence(F.lit(0), F.lit(per_row - 1))))
-    x = first_by(x, ["id", "nth"], [uniform("pick", F.concat_ws(":", "id", "nid", "nth")), F.col("nid")], 1)
-    step = uniform("step", F.concat_ws(":", "id", "nth"))
-    return x.select(F.col("id").alias(key), "nth", F.zip_with("a", "b", lambda p, q: p + step * (q - p)).alias(array))
+    n = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    own = n.get(minority, 0)
+    wanted = max(0, sum(n.values()) - 2 * own)
+    few = df.where(F.col(label) == minority).select(F.col(key).alias("id"), F.col(array).cast("array<double>").alias("a"))
+    near = stored(nearest_vectors(few, "a", k).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "nid"))).alias("near")), "near")
+    each = few.join(near, "id").withColumn("times", F.lit(wanted // max(own, 1)))
+    more = lowest(few.select("id"), "more", "id", wanted % max(own, 1)).withColumn("extra", F.lit(1))
+    each = each.join(more, "id", "left").withColumn("times", F.col("times") + F.coalesce("extra", F.lit(0))).where("times > 0")
+    x = each.withColumn("nth", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+    name = F.concat_ws(":", "id", "nth")
+    pick = F.floor(F.size("near") * uniform("pick", name)).cast("int")
+    x = x.select("id", "nth", "a", F.get("near", pick)["nid"].alias("nid"), uniform("step", name).alias("step"))
+    x = x.join(few.select(F.col("id").alias("nid"), F.col("a").alias("b")), "nid")
+    return x.select(F.col("id").alias(key), "nth", F.zip_with("a", "b", lambda p, q: p + F.col("step") * (q - p)).alias(array))

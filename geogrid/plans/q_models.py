@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clustering, features, metrics, models, sampling, spatial, timeline
+from ..operators import clustering, features, metrics, models, neighbours, sampling, spatial, timeline
 from ..sources import fixtures as X
 from .registry import query
 from .sql import CELLS, u
@@ -70,9 +70,32 @@ def labelled(spark: SparkSession, d: str, positives: int = 3) -> DataFrame:
     return t.withColumn("label", (F.col("px")[0] + F.col("px")[1] > 0).cast("int")).withColumn("city_id", F.col("id") % 23)
 
 
-@query()
+def minority(spark: SparkSession, d: str) -> DataFrame:
+    """Whole vectors of a class and the rest; the class is the smaller part."""
+    return X.tiles(spark, d).select("id", F.col("px").cast("array<double>").alias("px"), (F.col("label") % 3 == 0).cast("int").alias("label"))
+
+
+NEAR_SQL = """m AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE label % 3 = 0
+), near AS (SELECT a.id, b.id AS nid, list_distance(a.v, b.v) AS d, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS rank
+  FROM m a JOIN m b ON a.id <> b.id QUALIFY rank <= 5)"""
+
+
+@query(f"WITH {NEAR_SQL} SELECT id, nid, rank::INT AS rank, round(d, 5) AS d FROM near")
+def smp2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest of its class for each vector of the smaller class, exact."""
+    x = neighbours.nearest_vectors(minority(spark, d).where("label = 1"), "px")
+    return x.select("id", "nid", "rank", F.round("d", 5).alias("d"))
+
+
+@query(f"""WITH {NEAR_SQL}, n AS (SELECT (SELECT count(*) FROM m) AS own, (SELECT count(*) FROM embeddings) - 2 * (SELECT count(*) FROM m) AS wanted
+), e AS (SELECT id, v, wanted // own + (row_number() OVER (ORDER BY {u("more", "id")}, id) <= wanted % own)::INT AS times FROM m, n
+), s AS (SELECT id, v, unnest(range(times)) AS nth FROM e
+), p AS (SELECT s.*, {u("step", "concat_ws(':', id, nth)")} AS step, floor((SELECT max(rank) FROM near) * {u("pick", "concat_ws(':', id, nth)")}) + 1 AS pick FROM s)
+SELECT p.id, nth::INT AS nth, list_transform(range(1, len(p.v) + 1), lambda i: round(p.v[i] + step * (b.v[i] - p.v[i]), 5)) AS px
+FROM p JOIN near ON near.id = p.id AND near.rank = p.pick JOIN m b ON b.id = near.nid""")
 def smp2_smote(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.smote(labelled(spark, d), "px").select("id", "nth", F.transform("px", lambda v: F.round(v, 5)).alias("px"))
+    """As many synthetic rows of the smaller class as balance it."""
+    return sampling.smote(minority(spark, d), "px").select("id", "nth", F.transform("px", lambda v: F.round(v, 5)).alias("px"))
 
 
 @query()

@@ -211,19 +211,6 @@ def test_poisson_copies_are_a_bootstrap(spark):
     assert abs(np.mean(n) - 1) < 0.03 and abs(np.var(n) - 1) < 0.05 and abs(np.mean(np.array(n) == 0) - math.exp(-1)) < 0.02
 
 
-def test_each_minority_row_gets_synthetic_rows_near_it(spark):
-    r = random.Random(8)
-    rows = [(i, int(i % 3 == 0), [r.gauss(0, 1), r.gauss(0, 1), r.gauss(0, 1)]) for i in range(300)] + [(300, 1, [500.0, 0.0, 0.0])]
-    df = spark.createDataFrame(rows, "id int, label int, px array<double>")
-    got = sampling.smote(df, "px", per_row=2).collect()
-    assert len(got) == 2 * 101 and {x["id"] for x in got} == {i for i, y, _ in rows if y}
-    v = {i: np.array(p) for i, y, p in rows if y}
-    near = {i: set(sorted((j for j in v if j != i), key=lambda j, i=i: np.linalg.norm(v[i] - v[j]))[:5]) for i in v}
-    found = [(x["id"], x["nid"]) for x in sampling.near_rows(df.where("label = 1"), "px", 5).collect()]
-    assert sum(j in near[i] for i, j in found) > 0.8 * len(found)
-    assert sampling.smote(df.where("id = 3"), "px").count() == 0
-
-
 def test_simplified_silhouette_by_hand(spark):
     df = spark.createDataFrame([(0, [0.0, 0.0]), (0, [2.0, 0.0]), (1, [10.0, 0.0]), (None, [1.0, 1.0])], "label int, px array<double>")
     got = {r["label"]: (r["n"], r["silhouette"]) for r in metrics.simplified_silhouette(df).collect()}
@@ -266,3 +253,30 @@ def test_fits_at_once_are_those_of_each_alone(spark, monkeypatch):
     assert labels.groupBy("cluster").count().count() == 3 and labels.count() == len(v)
     with pytest.raises(ValueError):
         clustering.Fits(df.limit(2), "px", [(4, 0)])
+
+
+@pytest.mark.parametrize("spread", [0.01, 5.0])
+def test_nearest_vectors_are_exact(spark, spread):
+    from geogrid.operators import neighbours
+
+    r = np.random.default_rng(4)
+    v = np.concatenate([r.normal(0, spread, (300, 4)) + c for c in r.uniform(-9, 9, (5, 4))] + [np.ones((200, 4))] * 2).round(4)  # a third are equal
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(-1, None)], "id long, px array<double>").repartition(6)
+    got = neighbours.nearest_vectors(df, "px", 5, block=64).collect()
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    want = {(i, int(j), n + 1) for i in range(len(v)) for n, j in enumerate(np.lexsort((np.arange(len(v)), d[i]))[:5])}
+    assert {(x["id"], x["nid"], x["rank"]) for x in got} == want and len(got) == len(want)
+    few = neighbours.nearest_vectors(df.where("id < 3"), "px", 5).collect()
+    assert len(few) == 6
+    assert neighbours.nearest_vectors(df.where("id = 1"), "px").count() == 0
+
+
+def test_smote_balances_and_stays_between_neighbours(spark):
+    rows = [(i, [float(i % 7), float(i // 7)], int(i < 20)) for i in range(83)]
+    df = spark.createDataFrame(rows, "id long, px array<double>, label int")
+    got = sampling.smote(df, "px").collect()
+    assert len(got) == 83 - 2 * 20 and len({(r["id"], r["nth"]) for r in got}) == len(got)
+    assert max(r["nth"] for r in got) == 2
+    assert sampling.smote(df.where("id < 1 or id > 60"), "px").count() == 0
+    assert sampling.smote(df.where("id < 30"), "px").count() == 0

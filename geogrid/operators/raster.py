@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spatial
+from .storage import stored
 
 
 def drop_nodata(px: DataFrame, floor: float = -100.0, value: str = "value") -> DataFrame:
@@ -22,15 +23,36 @@ def to_calories(px: DataFrame, calories: DataFrame, value: str = "yield") -> Dat
     return px.join(calories, "crop", "left").withColumn("calories", F.col(value) * F.col("kcal"))
 
 
-def idw_fill(px: DataFrame, k: int = 5, power: float = 2.0, exact: float = 1e-10) -> DataFrame:
-    """(row, col, n, filled) of the pixels marked ``gap``, from the k nearest valid ones weighed by 1 / distance^power; a source at the spot gives its value."""
-    valid = px.where(~F.col("gap") & (F.col("value") >= -100)).select("row", "col", "value")
-    near = spatial.knn(px.where("gap").select("row", "col"), valid, k)
+def idw_fill(px: DataFrame, k: int = 5, power: float = 2.0, exact: float = 1e-10, raster: str | None = None) -> DataFrame:
+    """([raster,] row, col, n, filled) of the pixels marked ``gap``, from the k nearest valid ones of their raster weighed
+    by 1 / distance^power; a source at the spot gives its value.
+
+    With ``raster``, a column that names the raster, there can be any number of them, each with its own gaps and its
+    own pixels without data. Their grid is one, so neighbours are looked for once for each place that is a gap
+    anywhere: twice k of the places that have data anywhere. Where k of these have data in a raster, they are its
+    nearest; only gaps that lack some are searched again among their raster's own pixels.
+    """
+    valid = px.where(~F.col("gap") & (F.col("value") >= -100))
+    if raster is None:
+        near, place = spatial.knn(px.where("gap"), valid.select("row", "col", "value"), k), ["row", "col"]
+    else:
+        place = [raster, "row", "col"]
+        gaps = stored(px.where("gap").select(*place), "gaps")
+        valid = stored(valid.select(*place, "value"), "valid")
+        shared = spatial.knn(gaps, valid.select("row", "col").distinct().withColumn("value", F.lit(None).cast("double")), 2 * k)
+        own = valid.select(raster, F.col("row").alias("srow"), F.col("col").alias("scol"), "value")
+        x = gaps.join(shared.drop("value", "rank"), ["row", "col"]).join(own, [raster, "srow", "scol"])
+        nth = F.row_number().over(Window.partitionBy(*place).orderBy("d2", "srow", "scol"))
+        x = stored(x.withColumn("rank", nth).where(F.col("rank") <= k).select(*place, "value", "d2"), "near")
+        whole = stored(x.groupBy(*place).agg(F.count("*").alias("n")).where(F.col("n") == k).select(*place), "whole")
+        lacking = gaps.join(whole, place, "left_anti")
+        more = spatial.knn(lacking, valid, k, by=(raster,)).select(*place, "value", "d2")
+        near = x.join(whole, place, "left_semi").unionByName(more)
     d = F.sqrt("d2")
     w = 1 / F.pow(F.greatest(d, F.lit(exact)), F.lit(power))
     hit = F.max(F.when(d < exact, F.col("value")))
-    x = near.groupBy("row", "col").agg(F.count("*").alias("n"), hit.alias("hit"), (F.sum(F.col("value") * w) / F.sum(w)).alias("mean"))
-    return x.select("row", "col", "n", F.coalesce("hit", "mean").alias("filled"))
+    x = near.groupBy(*place).agg(F.count("*").alias("n"), hit.alias("hit"), (F.sum(F.col("value") * w) / F.sum(w)).alias("mean"))
+    return x.select(*place, "n", F.coalesce("hit", "mean").alias("filled"))
 
 
 def zonal_mean(px: DataFrame, cells: DataFrame, empty: float | None = None, floor: float = -100.0) -> DataFrame:

@@ -128,8 +128,9 @@ def pixels_in_cells(pixels: DataFrame, cells: DataFrame, size: float = 1.0) -> D
     return c.join(p, ["__tx", "__ty"]).where(touch).drop("__tx", "__ty")
 
 
-def knn(targets: DataFrame, sources: DataFrame, k: int = 5, reach: int = 4) -> DataFrame:
-    """(row, col, srow, scol, value, d2, rank): the k nearest sources of each target in pixel index space; ties by row and column.
+def knn(targets: DataFrame, sources: DataFrame, k: int = 5, reach: int = 4, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, row, col, srow, scol, value, d2, rank): the k nearest sources of each target in pixel index space; ties by
+    row and column. Targets and sources meet within the same values of ``by`` only, such as a raster's name.
 
     Targets search the buckets of ``reach`` pixels around them. A target is done when it has k sources within the
     distance that its search covers for sure; the others go on with twice the reach. Rounds are bounded by the
@@ -139,23 +140,24 @@ def knn(targets: DataFrame, sources: DataFrame, k: int = 5, reach: int = 4) -> D
 
     from .storage import stored
 
+    place = [*by, "row", "col"]
     span = sources.agg(F.max(F.greatest(F.abs("row"), F.abs("col"))).alias("m")).first()["m"] or 0
     most = targets.agg(F.max(F.greatest(F.abs("row"), F.abs("col"))).alias("m")).first()["m"] or 0
-    s = sources.select(F.col("row").alias("srow"), F.col("col").alias("scol"), "value")
-    todo, found = targets.select("row", "col").distinct(), None
+    s = sources.select(*by, F.col("row").alias("srow"), F.col("col").alias("scol"), "value")
+    todo, found = targets.select(*place).distinct(), None
     while True:
         t = todo.withColumn("__dx", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn("__dy", F.explode(F.sequence(F.lit(-1), F.lit(1))))
-        t = t.select("row", "col", (F.floor(F.col("row") / reach) + F.col("__dy")).alias("__gy"), (F.floor(F.col("col") / reach) + F.col("__dx")).alias("__gx"))
+        t = t.select(*place, (F.floor(F.col("row") / reach) + F.col("__dy")).alias("__gy"), (F.floor(F.col("col") / reach) + F.col("__dx")).alias("__gx"))
         b = s.withColumn("__gy", F.floor(F.col("srow") / reach)).withColumn("__gx", F.floor(F.col("scol") / reach))
         dr, dc = F.col("row") - F.col("srow"), F.col("col") - F.col("scol")
-        x = t.join(b, ["__gy", "__gx"]).select("row", "col", "srow", "scol", "value", (dr * dr + dc * dc).cast("double").alias("d2"))
-        x = x.withColumn("rank", F.row_number().over(Window.partitionBy("row", "col").orderBy("d2", "srow", "scol"))).where(F.col("rank") <= k)
+        x = t.join(b, [*by, "__gy", "__gx"]).select(*place, "srow", "scol", "value", (dr * dr + dc * dc).cast("double").alias("d2"))
+        x = x.withColumn("rank", F.row_number().over(Window.partitionBy(*place).orderBy("d2", "srow", "scol"))).where(F.col("rank") <= k)
         x = stored(x, "knn")
         last = reach > span + most
         if not last:
-            done = x.groupBy("row", "col").agg(F.count("*").alias("n"), F.max("d2").alias("m")).where((F.col("n") == k) & (F.col("m") <= float(reach * reach)))
-            done = stored(done.select("row", "col"), "done")
-            x, todo = x.join(done, ["row", "col"], "left_semi"), stored(todo.join(done, ["row", "col"], "left_anti"), "todo")
+            done = x.groupBy(*place).agg(F.count("*").alias("n"), F.max("d2").alias("m")).where((F.col("n") == k) & (F.col("m") <= float(reach * reach)))
+            done = stored(done.select(*place), "done")
+            x, todo = x.join(done, place, "left_semi"), stored(todo.join(done, place, "left_anti"), "todo")
         found = x if found is None else found.unionByName(x)
         if last or todo.isEmpty():
             return found

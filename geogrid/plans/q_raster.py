@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.rng import uniform
 from ..operators import ensemble, raster, tiles
 from ..sources import fixtures as X
 from .q_space import OVER_SQL, TOUCH, over
 from .registry import query
-from .sql import CLIMATE, CROPS, PIXELS, TILES
+from .sql import CLIMATE, CROPS, PIXELS, TILES, u
 
 
 @query(f"WITH {PIXELS} SELECT key, value FROM pixels WHERE value >= -100")
@@ -33,6 +34,19 @@ def rst2_gap_fill(spark: SparkSession, d: str) -> DataFrame:
     return raster.idw_fill(X.pixels(spark, d)).select("row", "col", "n", F.round("filled", 5).alias("filled"))
 
 
+@query(f"""WITH {CROPS}, p AS (SELECT crop, row, col, "yield" AS value, {u("='gap' || crop", "key")} < 0.1 AS gap FROM crop_yields WHERE crop <> 'c3' OR row % 3 = 0
+), t AS (SELECT crop, row, col FROM p WHERE gap), s AS (SELECT crop, row, col, value FROM p WHERE NOT gap AND value >= -100
+), n AS (SELECT crop, t.row, t.col, value, (t.row - s.row) ** 2 + (t.col - s.col) ** 2 AS d2,
+  row_number() OVER (PARTITION BY crop, t.row, t.col ORDER BY (t.row - s.row) ** 2 + (t.col - s.col) ** 2, s.row, s.col) AS r
+  FROM t JOIN s USING (crop) WHERE s.row BETWEEN t.row - 16 AND t.row + 16 AND s.col BETWEEN t.col - 16 AND t.col + 16)
+SELECT crop, row, col, count(*) AS n, round(sum(value / d2) / sum(1 / d2), 5) AS filled FROM n WHERE r <= 5 GROUP BY crop, row, col""")
+def rst2_folder_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Rasters of three crops at once, each with its own gaps; of the third only every third row exists."""
+    x = X.crop_yields(spark, d).where("crop <> 'c3' or row % 3 = 0")
+    x = x.select("crop", "row", "col", F.col("yield").alias("value"), (uniform(F.concat(F.lit("gap"), "crop"), "key") < 0.1).alias("gap"))
+    return raster.idw_fill(x, raster="crop").select("crop", "row", "col", "n", F.round("filled", 5).alias("filled"))
+
+
 @query(f"""WITH {CROPS}, k(crop, kcal) AS (VALUES ('c1', 3.5::DOUBLE), ('c2', 1.25::DOUBLE)) SELECT key, crop, "yield" * kcal AS calories FROM crop_yields LEFT JOIN k USING (crop)""")
 def rst3_calories(spark: SparkSession, d: str) -> DataFrame:
     k = spark.createDataFrame([("c1", 3.5), ("c2", 1.25)], "crop string, kcal double")

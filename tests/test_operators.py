@@ -280,3 +280,18 @@ def test_smote_balances_and_stays_between_neighbours(spark):
     assert max(r["nth"] for r in got) == 2
     assert sampling.smote(df.where("id < 1 or id > 60"), "px").count() == 0
     assert sampling.smote(df.where("id < 30"), "px").count() == 0
+
+
+def test_rasters_are_filled_each_from_its_own_pixels(spark):
+    r = random.Random(2)
+    rows = [("a", i // 12, i % 12, float(i % 5), r.random() < 0.2) for i in range(144)] + [("b", i // 12, i % 12, 100.0 + i % 5 if i > 100 else -999.0, r.random() < 0.2) for i in range(144)]
+    rows += [("c", 0, 0, 7.0, False), ("c", 11, 11, 1.0, True), ("d", 3, 3, 1.0, True)]  # one source far away, none at all
+    px = spark.createDataFrame(rows, "name string, row int, col int, value double, gap boolean")
+    got = {(x["name"], x["row"], x["col"]): (x["n"], x["filled"]) for x in raster.idw_fill(px, k=3, raster="name").collect()}
+    want = {}
+    for name, row, col, _, gap in rows:
+        near = sorted(((row - y) ** 2 + (col - x) ** 2, y, x, v) for n, y, x, v, g in rows if n == name and not g and v >= -100)[:3]
+        if gap and near:
+            want[name, row, col] = (len(near), sum(v / d for d, _, _, v in near) / sum(1 / d for d, _, _, _ in near))
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)

@@ -80,7 +80,7 @@ def bootstrap_weights(df: DataFrame, replicates: int, by: str | None = None, key
     return reduce(DataFrame.unionByName, parts).groupBy("rep", *cls, "ix").agg(F.count("*").alias("weight"))
 
 
-def poisson_copies(salt: str, key: str) -> Column:
+def poisson_copies(salt: str | Column, key: str) -> Column:
     """How often a row is drawn: Poisson of mean 1, from the key's random number."""
     u, at, total = uniform(salt, key), math.exp(-1), F.lit(0)
     below = at

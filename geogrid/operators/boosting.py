@@ -278,7 +278,12 @@ def _level(slim: DataFrame, fits: Fits, forests: dict[int, Forest], cuts: list[n
 
 
 def score(rows: DataFrame, forests: dict[int, Forest], keep: tuple[str, ...] = ("id",)) -> DataFrame:
-    """(g, *keep, fit, score) for each row (g, v, ...) and each fit of its group, by one scan for all fits.
+    """(g, *keep, fit, score) for each row (g, v, ...) and each fit of its group."""
+    return score_arrays(rows, forests, keep).select("g", *keep, F.posexplode("scores").alias("fit", "score"))
+
+
+def score_arrays(rows: DataFrame, forests: dict[int, Forest], keep: tuple[str, ...] = ("id",)) -> DataFrame:
+    """(g, *keep, scores) for each row, a score for each fit of its group, by one scan for all fits.
 
     The forests go to all tasks; ``ModelStore`` bounds how many do at once.
     """
@@ -300,5 +305,4 @@ def score(rows: DataFrame, forests: dict[int, Forest], keep: tuple[str, ...] = (
                     yield pa.RecordBatch.from_arrays([b.column("g").slice(at, len(found)), *[b.column(c).slice(at, len(found)) for c in keep], pa.ListArray.from_arrays(ends, pa.array(found.reshape(-1)))], names=["g", *keep, "scores"])
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    out = rows.select("g", *keep, "v").mapInArrow(run, f"g int, {kinds}, scores array<double>")
-    return out.select("g", *keep, F.posexplode("scores").alias("fit", "score"))
+    return rows.select("g", *keep, "v").mapInArrow(run, f"g int, {kinds}, scores array<double>")

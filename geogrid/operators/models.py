@@ -1,4 +1,4 @@
-"""Boosted trees, ensembles of them, and batch inference."""
+"""Batch inference by a user's function."""
 
 from __future__ import annotations
 
@@ -6,58 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from . import features, sampling
-
-
-def _vector(df: DataFrame, array: str) -> DataFrame:
-    return df.withColumn("__v", array_to_vector(F.col(array).cast("array<double>")))
-
-
-def train(df: DataFrame, array: str, label: str = "label", rounds: int = 20, depth: int = 3, seed: int = 42, positive_weight: float = 1.0):  # noqa: ANN201
-    """A boosted-tree classifier; positives weigh ``positive_weight``."""
-    x = _vector(df, array).withColumn("__w", F.when(F.col(label) == 1, positive_weight).otherwise(1.0))
-    return GBTClassifier(featuresCol="__v", labelCol=label, weightCol="__w", maxIter=rounds, maxDepth=depth, seed=seed).fit(x)
-
-
-def predict(model, df: DataFrame, array: str) -> DataFrame:  # noqa: ANN001
-    """Adds ``prob`` of the positive class and ``pred`` at 0.5."""
-    x = model.transform(_vector(df, array)).withColumn("prob", vector_to_array("probability")[1])
-    return x.drop("__v", "rawPrediction", "probability", "prediction").withColumn("pred", (F.col("prob") > 0.5).cast("int"))
-
-
-def regress(df: DataFrame, array: str, target: str, rounds: int = 10, depth: int = 3, seed: int = 42) -> DataFrame:
-    """``df`` with ``fitted``: a boosted-tree regression, fitted on rows whose ``part`` is train."""
-    x = _vector(df, array)
-    model = GBTRegressor(featuresCol="__v", labelCol=target, predictionCol="fitted", maxIter=rounds, maxDepth=depth, seed=seed).fit(x.where("part = 'train'"))
-    return model.transform(x).drop("__v")
-
-
-def ensemble(df: DataFrame, array: str, models: int, label: str = "label", key: str = "id", ratio: float = 0.5) -> list[tuple[int, object, DataFrame]]:
-    """(model id, model, scaler) of bootstrap models, each from its own resample, under-sampling, scaler and seed.
-
-    A row's number of copies is Poisson of mean 1, drawn by itself, which is the bootstrap's for many rows.
-    """
-    out = []
-    for m in range(models):
-        drawn = sampling.poisson_copies(f"boot{m}", key)
-        boot = df.withColumn("__copy", F.explode(F.sequence(F.lit(0), drawn))).where("__copy > 0")
-        boot = boot.withColumn("__row", F.concat_ws(":", key, "__copy"))
-        some = sampling.under_sample(boot, label, ratio, f"under{m}", "__row").drop("__row", "__copy")
-        scaler = features.fit_scaler(some, array)
-        out.append((m, train(features.apply_scaler(some, scaler, array), array, label, rounds=5, seed=m), scaler))
-    return out
-
-
-def ensemble_predict(models: list[tuple[int, object, DataFrame]], df: DataFrame, array: str, key: str = "id") -> DataFrame:
-    """(model_id, key, prob) of all models, in long form."""
-    parts = [predict(m, features.apply_scaler(df, scaler, array), array).select(F.lit(i).alias("model_id"), key, "prob") for i, m, scaler in models]
-    return features.reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def embed(df: DataFrame, array: str, fn: Callable[[np.ndarray], np.ndarray], batch: int = 1200, key: str = "id") -> DataFrame:

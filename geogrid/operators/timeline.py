@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def eligible(df: DataFrame, start: int, end: int, birth: str = "birth", label: str = "is_city") -> DataFrame:
+def eligible(df: DataFrame, start: int | Column, end: int | Column, birth: str = "birth", label: str = "is_city") -> DataFrame:
     """Towns founded before the window go, towns founded after its end become non-towns; missing years stay as they are."""
     for c in (birth, label):
         if c not in df.columns:

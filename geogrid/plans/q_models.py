@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clustering, features, metrics, models, neighbours, sampling, spatial, timeline
+from ..operators import boosting, clustering, experiments, features, metrics, model_store, models, neighbours, sampling, spatial, timeline
+from ..operators.storage import scratch, stored
 from ..sources import fixtures as X
 from .registry import query
 from .sql import CELLS, u
@@ -64,9 +65,9 @@ def smp9_row_split(spark: SparkSession, d: str) -> DataFrame:
     return sampling.row_split(X.cells(spark, d)).select("id", "part")
 
 
-def labelled(spark: SparkSession, d: str, positives: int = 3) -> DataFrame:
-    """Vectors with a label that their first numbers decide."""
-    t = X.tiles(spark, d).select("id", F.slice("px", 1, 8).cast("array<double>").alias("px"))
+def labelled(spark: SparkSession, d: str) -> DataFrame:
+    """Whole vectors with a label that their first numbers decide."""
+    t = X.tiles(spark, d).select("id", F.col("px").cast("array<double>").alias("px"))
     return t.withColumn("label", (F.col("px")[0] + F.col("px")[1] > 0).cast("int")).withColumn("city_id", F.col("id") % 23)
 
 
@@ -109,65 +110,121 @@ def smp8_prepared(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("part", "label").agg(F.count("*").alias("n"), F.avg(F.col("px")[0]).alias("mean"))
 
 
-def _evaluated(p: DataFrame) -> DataFrame:
-    a = metrics.areas(metrics.curve(p, "label", "prob", by=["part"]), ["part"])
-    return metrics.rates(metrics.confusion(p, "label", "pred", by=["part"])).join(a, "part")
+# Trees are small here: five rounds of three levels. The numbers of fits are those of the real jobs.
+SMALL = boosting.Settings(rounds=5, bins=16)
+# Parts of a vector that stand for groups of features, by first and last place.
+GROUPS = {"C": (0, 32), "D": (32, 60), "A": (60, 64), "C+D": (0, 60), "all": (0, 64)}
 
 
 @query()
 def mdl1_boosted_trees(spark: SparkSession, d: str) -> DataFrame:
-    x = sampling.row_split(labelled(spark, d))
-    return _evaluated(models.predict(models.train(x.where("part = 'train'"), "px", rounds=5), x, "px"))
+    """Classifiers of five groups of features, fitted together, positives weighed up; metrics of each by part."""
+    x = stored(sampling.row_split(labelled(spark, d)), "labelled")
+    train = x.where("part = 'train'")
+    n = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    allowed = np.zeros((len(GROUPS), 64), bool)
+    for i, (a, b) in enumerate(GROUPS.values()):
+        allowed[i, a:b] = True
+    fits = boosting.Fits(len(GROUPS), allowed, np.zeros(len(GROUPS), int), positive=np.full(len(GROUPS), n[0] / n[1]), settings=SMALL)
+    rows = lambda df: df.select(F.lit(0).alias("g"), "id", F.col("px").alias("v"), F.array(F.col("label").cast("double")).alias("y"), F.array(F.lit(1).cast("tinyint")).alias("w"), "label", "part")
+    p = boosting.score(rows(x), boosting.fit(rows(train), fits), keep=("label", "part"))
+    p = stored(p.withColumn("features", F.get(F.array(*map(F.lit, GROUPS)), F.col("fit"))).withColumn("pred", (F.col("score") > 0.5).cast("int")), "scores")
+    by = ["features", "part"]
+    return metrics.rates(metrics.confusion(p, "label", "pred", by=by)).join(metrics.areas(metrics.curve(p, "label", "score", by=by), by), by)
+
+
+_stores: dict[tuple[str, str], str] = {}
+
+
+def model_store_of(spark: SparkSession, d: str) -> tuple[model_store.ModelStore, DataFrame]:
+    """300 bootstrap models in a store, fitted by the first query that asks for them, and the rows they were fitted on."""
+    x = features.expand(labelled(spark, d), "px", "D", 64)
+    path = _stores.setdefault((spark.sparkContext.applicationId, d), scratch(spark, "models"))
+    store = model_store.ModelStore(spark, path)
+    store.train(x, [f"D{i}" for i in range(64)], 300, ratio=0.5, settings=SMALL)
+    return store, x
 
 
 @query()
 def mdl4_ensemble(spark: SparkSession, d: str) -> DataFrame:
-    """Bootstrap models, their predictions in long form, and their mean and deviation."""
-    x = labelled(spark, d)
-    p = models.ensemble_predict(models.ensemble(x, "px", 3), x, "px")
-    return p.groupBy("id").agg(F.count("*").alias("models"), F.avg("prob").alias("mean"), F.stddev_pop("prob").alias("std"))
+    """300 bootstrap models' mean probability of each row, and its deviation."""
+    store, x = model_store_of(spark, d)
+    return store.predict(x)[0].groupBy("id").agg(F.count("*").alias("models"), F.avg("prob").alias("mean"), F.stddev_pop("prob").alias("std"))
 
 
 @query()
 def mdl5_ensemble_inference(spark: SparkSession, d: str) -> DataFrame:
-    """Each model's own scaler and probability for every row, in long form, and how many models gave one."""
-    x = labelled(spark, d)
-    p = models.ensemble_predict(models.ensemble(x, "px", 3), x, "px")
-    return p.groupBy("model_id").agg(F.count("*").alias("n"), F.min("prob").alias("low"), F.max("prob").alias("high"))
+    """What each stored model says of all rows: by its own scaler, in one scan for all models."""
+    store, x = model_store_of(spark, d)
+    return store.predict(x)[0].groupBy("model_id").agg(F.count("*").alias("n"), F.min("prob").alias("low"), F.max("prob").alias("high"))
 
 
-MDL6 = "start_year int, end_year int, has_2nd_nature boolean, pr_auc double, f1 double, mcc double"
+@query()
+def snk5_stored_model(spark: SparkSession, d: str) -> DataFrame:
+    """Stored models: state, order of features and scaler of each, and how often they are right on columns in another order."""
+    store, x = model_store_of(spark, d)
+    p = store.predict(x.select(*reversed(x.columns)))[0].join(x.select("id", "label"), "id")
+    right = p.groupBy("model_id").agg(F.avg(((F.col("prob") > 0.5).cast("int") == F.col("label")).cast("int")).alias("accuracy"))
+    rows = store.rows().select("model_id", "seed", "state", F.size("features").alias("features"), F.get("features", F.lit(1)).alias("second"), F.get("means", F.lit(1)).alias("mean"), F.get("stds", F.lit(1)).alias("std"))
+    return rows.join(right, "model_id")
+
+
+def experiment_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Eligible cells of each window of 300 years at steps of 50, with 80 repeats' membership."""
+    c = X.cells(spark, d)
+    windows = timeline.windows_with_min(c, timeline.hopping_windows(c, "birth"), "birth", 5)
+    return experiments.membership(experiments.in_windows(c, windows), 80, ratio=0.5)
+
+
+@query(f"""WITH {CELLS}, b AS (SELECT min(birth) AS a, max(birth) AS b FROM cells
+), w AS (SELECT start, start + 300 AS "end" FROM (SELECT unnest(generate_series(a, b - 300, 50)) AS start FROM b) WHERE (SELECT count(*) FROM cells WHERE birth >= start AND birth < start + 300) >= 5
+), e AS (SELECT start, id, city_id, CASE WHEN is_city = 1 AND birth > "end" THEN 0 ELSE is_city END AS y FROM cells, w WHERE NOT coalesce(birth < start AND is_city = 1, false)
+), r AS (SELECT range AS r FROM range(80)
+), g AS (SELECT DISTINCT start, city_id FROM e WHERE y = 1 AND city_id > -1
+), t AS (SELECT start, r, city_id FROM (SELECT *, row_number() OVER (PARTITION BY start, r ORDER BY {u("='group' || start || '_' || r || '_'", "city_id")}, city_id) AS nth, count(*) OVER (PARTITION BY start, r) AS n FROM g, r) WHERE nth <= floor(n * 0.2::DOUBLE)
+), p AS (SELECT e.start, r.r, e.id, e.y, CASE WHEN e.city_id > -1 THEN t.city_id IS NOT NULL ELSE {u("='row' || e.start || '_' || r.r || '_'", "e.id")} < 0.2 END AS test FROM e CROSS JOIN r LEFT JOIN t ON t.start = e.start AND t.r = r.r AND t.city_id = e.city_id
+), n AS (SELECT start, r, test, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y <> 1) AS neg FROM p GROUP BY ALL
+), s AS (SELECT p.*, y = 1 OR {u("='draw' || p.start || '_' || p.r || '_'", "p.id")} < least(1.0::DOUBLE, coalesce(floor(pos / 0.5::DOUBLE) / nullif(neg, 0)::DOUBLE, 0)) AS stay FROM p JOIN n USING (start, r, test))
+SELECT start, r::INT AS repeat, test, count(*) FILTER (stay) AS drawn, count(*) FILTER (stay AND y = 1) AS positives, sum(id) FILTER (stay)::BIGINT AS ids FROM s GROUP BY start, r, test HAVING count(*) FILTER (stay) > 0""")
+def mdl6_membership(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows, and which, are fitted on and tested in each window and repeat."""
+    x = experiment_rows(spark, d).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(79))))
+    hit = F.when(experiments.bit("tested", F.col("repeat")), True).when(experiments.bit("train", F.col("repeat")), False)
+    x = x.withColumn("test", hit).where("test is not null")
+    return x.groupBy("start", "repeat", "test").agg(F.count("*").alias("drawn"), F.count_if(F.col("label") == 1).alias("positives"), F.sum("id").alias("ids"))
 
 
 @query()
 def mdl6_window_experiment(spark: SparkSession, d: str) -> DataFrame:
-    """For some windows: eligible rows, a split by towns, a model with and without the counts of neighbouring towns, and its scores.
+    """Scores of 80 repeats in each window, with and without the counts of neighbouring towns.
 
     Counts are those of the first founding year within or after the window's start. A cell's own founding year tells
     whether it is a town, so it is never a feature.
     """
-    c, towns = X.cells(spark, d), X.cities(spark, d)
-    windows = timeline.windows_with_min(c, timeline.hopping_windows(c, "birth", 600, 600), "birth", 5)
-    counts = spatial.neighbour_counts(c, towns)
-    asked = timeline.asof_forward(windows.select("start", "end"), towns, "start", "birth")
-    out = spark.createDataFrame([], MDL6)
-    for w in asked.where("matched is not null").orderBy("start").collect():
-        near = counts.where(F.col("year") == w["matched"]).drop("year")
-        rows = timeline.eligible(c, w["start"], w["end"]).join(near, "id", "left").na.fill(0)
-        rows = rows.withColumn("label", F.coalesce("is_city", F.lit(0)))
-        split = sampling.group_split(rows, label="label")
-        for without in (False, True):
-            s = split.withColumn("px", F.array(*[F.col(f).cast("double") for f in ("elevation", "x", "y", *(() if without else ("n_20", "n_50", "n_100")))]))
-            p = models.predict(models.train(s.where("part = 'train'"), "px", rounds=2, depth=2), s.where("part = 'test'"), "px")
-            r = _evaluated(p).select(F.lit(w["start"]).cast("int").alias("start_year"), F.lit(w["end"]).cast("int").alias("end_year"), F.lit(not without).alias("has_2nd_nature"), "pr_auc", "f1", "mcc")
-            out = out.unionByName(r)
-    return out
+    towns = X.cities(spark, d)
+    x = stored(experiment_rows(spark, d), "members")
+    asked = timeline.asof_forward(x.select("start").distinct(), towns, "start", "birth")
+    counts = spatial.neighbour_counts(X.cells(spark, d), towns).withColumnRenamed("year", "matched")
+    near = counts.join(asked.select("start", "matched"), "matched").drop("matched")
+    bands = ["n_20", "n_50", "n_100"]
+    rows = x.join(near, ["start", "id"], "left").na.fill(0, bands)
+    found = experiments.window_experiment(rows, ["elevation", "x", "y"], bands, 80, boosting.Settings(rounds=5, depth=2))
+    return found.withColumn("end", F.col("start") + 300)
 
 
 @query()
 def mdl7_probes(spark: SparkSession, d: str) -> DataFrame:
-    x = sampling.row_split(labelled(spark, d)).withColumn("target", 3 * F.col("px")[2] - F.col("px")[3])
-    return metrics.r2(models.regress(x, "px", "target", rounds=5), "target", "fitted", ["part"])
+    """Probes of 3 binary and 14 continuous targets, fitted together: ROC-AUC or R2 of each by part."""
+    px = lambda i: F.col("px")[i]
+    yes = [(px(k) + px(k + 1) > 0).cast("double") for k in (0, 2, 4)]
+    x = sampling.row_split(labelled(spark, d)).withColumn("y", F.array(*yes, *[3 * px(k) - px(k + 1) + px(k) * px(k + 2) for k in range(14)]))
+    x = stored(x.select(F.lit(0).alias("g"), "id", F.col("px").alias("v"), "y", F.array(F.lit(1).cast("tinyint")).alias("w"), "part"), "targets")
+    fits = boosting.Fits(17, np.ones((17, 64), bool), np.zeros(17, int), squared=np.arange(17) > 2, settings=SMALL)
+    p = boosting.score(x, boosting.fit(x.where("part = 'train'"), fits), keep=("y", "part"))
+    p = stored(p.select(F.col("fit").alias("target"), "part", F.get("y", F.col("fit")).alias("y"), "score"), "probes")
+    by = ["target", "part"]
+    roc = metrics.areas(metrics.curve(p.where("target < 3"), "y", "score", by=by), by).select(*by, "roc_auc")
+    return metrics.r2(p.where("target >= 3"), "y", "score", by).join(roc, by, "full")
 
 
 def standardised(spark: SparkSession, d: str) -> DataFrame:
@@ -217,18 +274,6 @@ def mdl11_batch_embedding(spark: SparkSession, d: str) -> DataFrame:
     return models.embed(X.tiles(spark, d), "px", project)
 
 
-@query()
-def snk5_stored_model(spark: SparkSession, d: str) -> DataFrame:
-    """A model saved, loaded again, and used."""
-    from pyspark.ml.classification import GBTClassificationModel
-
-    from ..operators.storage import scratch
-
-    x, path = labelled(spark, d), scratch(spark, "model")
-    models.train(x, "px", rounds=2).write().save(path)
-    return models.predict(GBTClassificationModel.load(path), x, "px").groupBy("label", "pred").agg(F.count("*").alias("n"))
-
-
 @query()
 def snk4_metrics_report(spark: SparkSession, d: str) -> DataFrame:
     """Metrics written as CSV and JSON, and the JSON read back."""

@@ -7,27 +7,39 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .timeline import numbered
+from .storage import stored
 
 
-def bin_stats(df: DataFrame, coord: str, value: str, width: float = 1.0) -> DataFrame:
+ACCURACY = 1000  # of the sketches that bracket a quantile: a rank is off by n / ACCURACY at most
+
+
+def bin_stats(df: DataFrame, coord: str, value: str, width: float = 1.0, small: int = 10 * ACCURACY) -> DataFrame:
     """(bin, left, mid, right, n, mean, std, median, q25, q75) by bins (left, right] of a coordinate; empty bins have no row.
 
-    Quantiles lie between the two values next to their place, as in linear interpolation. Values are numbered in the
-    order of bin and value, range by range, so no task holds a bin.
+    Quantiles are exact and lie between the two values next to their place, as in linear interpolation. With the
+    means a mergeable sketch of each bin says between which values a quantile is; a second pass counts what is below
+    and ranks the distinct values in between alone, some thousandths of a bin. Bins of ``small`` rows or fewer are
+    ranked as they are. So no task holds a large bin, and nothing is sorted as a whole.
     """
     b = F.ceil(F.col(coord) / width).cast("int") - 1
     x = df.where(F.col(coord).isNotNull()).select(b.alias("bin"), F.col(value).cast("double").alias("v"))
-    n = x.groupBy("bin").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
-    before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bin
-    first = n.select("bin", F.col("n").alias("__n"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))
-    ranked = numbered(x.where("v is not null").withColumn("__o", F.struct("bin", "v")), "__o", "__pos").select("bin", "v", "__pos")
-    at = ranked.join(first, "bin").withColumn("__at", F.col("__pos") - F.col("__first"))
+    places = {"median": 0.5, "q25": 0.25, "q75": 0.75}
+    around = [p for q in places.values() for p in (q - 3 / ACCURACY, q + 3 / ACCURACY)]
+    n = stored(x.groupBy("bin").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.percentile_approx("v", F.lit(around), ACCURACY).alias("p")), "bins")
+    ask = [F.struct(F.lit(name).alias("name"), ((F.col("n") - 1) * F.lit(q)).alias("place"), F.get("p", F.lit(2 * i)).alias("low"), F.get("p", F.lit(2 * i + 1)).alias("high")) for i, (name, q) in enumerate(places.items())]
+    large = n.where(F.col("n") > small).select("bin", F.explode(F.array(*ask)).alias("a")).select("bin", "a.*")
+    met = x.where("v is not null").join(large.select("bin", "name", "low", "high"), "bin").where("v <= high")
+    met = met.groupBy("bin", "name", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v")).agg(F.count("*").alias("c"))
+    whole = x.where("v is not null").join(n.where(F.col("n") <= small).select("bin"), "bin").groupBy("bin", F.lit("").alias("name"), "v").agg(F.count("*").alias("c"))
+    upto = Window.partitionBy("bin", "name").orderBy(F.col("v").asc_nulls_first())  # what is below comes first
+    ranked = met.unionByName(whole).withColumn("upto", F.sum("c").over(upto)).withColumn("before", F.col("upto") - F.col("c")).where("v is not null")
+    at = ranked.join(n.select("bin", F.col("n").alias("__n")), "bin")
     cols = []
-    for name, q in (("median", 0.5), ("q25", 0.25), ("q75", 0.75)):
+    for name, q in places.items():
         place = (F.col("__n") - 1) * F.lit(q)
-        low, high = (F.max(F.when(F.col("__at") == f(place), F.col("v"))) for f in (F.floor, F.ceil))
-        part = F.max(place - F.floor(place))
+        here = F.col("name").isin(name, "")
+        of = lambda k: F.max(F.when(here & (F.col("before") <= k) & (k < F.col("upto")), F.col("v")))  # noqa: B023, E731
+        low, high, part = of(F.floor(place)), of(F.ceil(place)), F.max(place - F.floor(place))
         cols.append(F.when(part == 0, low).otherwise(low * (1 - part) + high * part).alias(name))
     quantiles = at.groupBy("bin").agg(*cols)
     left = F.col("bin") * F.lit(float(width))

@@ -42,7 +42,7 @@ def group_split(df: DataFrame, ratio: float = 0.2, salt: str = "split", key: str
     int(n * ratio) are drawn, and all their rows are test, all rows of other groups train. No group is in both."""
     positive = df.where((F.col(label) == 1) & (F.col(group) > -1)).select(group).distinct()
     k = int(positive.count() * ratio)
-    drawn = positive.orderBy(uniform(salt + "g", group), group).limit(k).withColumn("__drawn", F.lit(True))
+    drawn = lowest(positive, salt + "g", group, k).withColumn("__drawn", F.lit(True))
     x = df.join(drawn, group, "left")
     test = F.when(F.col(group) > -1, F.coalesce("__drawn", F.lit(False))).otherwise(uniform(salt, key) < ratio)
     return x.withColumn("part", F.when(test, "test").otherwise("train")).drop("__drawn")

@@ -5,26 +5,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import stored
 
-def _bucket(x: Column, size: float) -> Column:
-    return F.floor(x / F.lit(float(size))).cast("int")
+SHIFT = 0.3819660112501051  # where the corners of squares lie, as a part of a square
+MOST, DEEPEST = 4096, 10  # rows of a square, and how often one can be divided in four
 
 
-def within_distance(a: DataFrame, b: DataFrame, radius: float, spread: int = 1) -> DataFrame:
+def _square(level: Column, size: float) -> tuple[Column, Column]:
+    return F.floor(F.col("x") * F.pow(F.lit(2.0), level) / size), F.floor(F.col("y") * F.pow(F.lit(2.0), level) / size)
+
+
+def in_squares(a: DataFrame, size: float, most: int = MOST) -> DataFrame:
+    """``a`` (id, x, y, ...) with __level, __sx, __sy, __part, __parts: the square of a quadtree that a row is in.
+
+    Squares of ``size`` are divided in four while they hold more than ``most`` rows. What is as dense after DEEPEST
+    steps, such as rows of one place, is dealt over parts. Only rows of dense squares are looked at again.
+    """
+    sx, sy = _square(F.lit(0), size)
+    x, on = a.withColumns({"__level": F.lit(0), "__sx": sx, "__sy": sy}), ["__level", "__sx", "__sy"]
+    dense = stored(x.groupBy(*on).agg(F.count("*").alias("__n")).where(F.col("__n") > most), "dense")
+    for level in range(DEEPEST):
+        if dense.isEmpty():
+            break
+        x = x.join(dense.withColumnRenamed("__n", "__dense"), on, "left")
+        down = F.col("__dense").isNotNull()
+        dx, dy = _square(F.lit(level + 1), size)
+        x = x.withColumns({"__level": F.when(down, level + 1).otherwise(F.col("__level")), "__sx": F.when(down, dx).otherwise(F.col("__sx")), "__sy": F.when(down, dy).otherwise(F.col("__sy"))}).drop("__dense")
+        x = stored(x, "squares")
+        dense = stored(x.where(F.col("__level") == level + 1).groupBy(*on).agg(F.count("*").alias("__n")).where(F.col("__n") > most), "dense")
+    if dense.isEmpty():
+        return x.withColumns({"__part": F.lit(0).cast("long"), "__parts": F.lit(1).cast("long")})
+    parts = dense.select(*on, F.ceil(F.col("__n") / most).alias("__parts"))
+    x = x.join(parts, on, "left").withColumn("__parts", F.coalesce("__parts", F.lit(1).cast("long")))
+    return x.withColumn("__part", F.pmod(F.xxhash64("id"), F.col("__parts")))
+
+
+def within_distance(a: DataFrame, b: DataFrame, radius: float, most: int = MOST) -> DataFrame:
     """Pairs of ``a`` (id, x, y) and ``b`` (bid, bx, by) at most ``radius`` apart, with all columns and ``d``.
 
-    Both sides get square buckets of the radius; ``b`` goes to the nine around its own, so a pair meets in exactly
-    one. ``spread`` > 1 cuts dense buckets: rows of ``a`` are dealt over as many salts, rows of ``b`` go to each.
+    ``a`` is in the squares of a quadtree, see ``in_squares``, so no square has more than ``most`` rows of it. Each
+    row of ``b`` goes to those squares that are within the radius, so a pair meets in exactly one; where many rows of
+    ``b`` go to one square, they are dealt over parts of ``most``, and its rows of ``a`` go to each.
     """
-    left = a.withColumn("__gx", _bucket(F.col("x"), radius)).withColumn("__gy", _bucket(F.col("y"), radius))
+    left = stored(in_squares(a, radius, most), "squares")
+    on = ["__level", "__sx", "__sy", "__part"]
+    squares = left.select("__level", "__sx", "__sy", "__parts").distinct()
+    side = F.lit(float(radius)) / F.pow(F.lit(2.0), F.col("__level"))
+    squares = squares.withColumns({"__x": F.col("__sx") * side, "__y": F.col("__sy") * side, "__side": side})
+    squares = squares.withColumns({"__gx": F.floor(F.col("__x") / radius), "__gy": F.floor(F.col("__y") / radius)})
     step = F.array(F.lit(-1), F.lit(0), F.lit(1))
     right = b.withColumn("__dx", F.explode(step)).withColumn("__dy", F.explode(step))
-    right = right.withColumn("__gx", _bucket(F.col("bx"), radius) + F.col("__dx")).withColumn("__gy", _bucket(F.col("by"), radius) + F.col("__dy")).drop("__dx", "__dy")
-    on = ["__gx", "__gy"]
-    if spread > 1:
-        left = left.withColumn("__salt", F.pmod(F.xxhash64("id"), F.lit(spread)))
-        right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
-        on.append("__salt")
+    right = right.withColumn("__gx", F.floor(F.col("bx") / radius) + F.col("__dx")).withColumn("__gy", F.floor(F.col("by") / radius) + F.col("__dy")).drop("__dx", "__dy")
+    gap = lambda v, low: F.greatest(F.lit(0.0), F.col(low) - F.col(v), F.col(v) - F.col(low) - F.col("__side"))
+    reach = gap("bx", "__x") * gap("bx", "__x") + gap("by", "__y") * gap("by", "__y") <= radius * radius * (1 + 1e-12)
+    right = right.join(squares, ["__gx", "__gy"]).where(reach).drop("__x", "__y", "__side", "__gx", "__gy")
+    right = right.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1))).drop("__parts")
+    crowds = stored(right.groupBy(*on).agg(F.count("*").alias("__n")).where(F.col("__n") > most).select(*on, F.ceil(F.col("__n") / most).alias("__crowd")), "crowds")
+    left = left.drop("__parts")
+    if not crowds.isEmpty():
+        one = F.coalesce("__crowd", F.lit(1).cast("long"))
+        right = right.join(crowds, on, "left").withColumn("__to", F.pmod(F.xxhash64("bid"), one)).drop("__crowd")
+        left = left.join(crowds, on, "left").withColumn("__to", F.explode(F.sequence(F.lit(0).cast("long"), one - 1))).drop("__crowd")
+        on = [*on, "__to"]
     dx, dy = F.col("x") - F.col("bx"), F.col("y") - F.col("by")
     pairs = left.join(right, on).drop(*on).withColumn("__d2", dx * dx + dy * dy)
     return pairs.where(F.col("__d2") <= radius * radius).withColumn("d", F.sqrt("__d2")).drop("__d2")
@@ -40,10 +82,15 @@ def neighbour_counts(cells: DataFrame, towns: DataFrame, bands: tuple[int, ...]
     """
     from pyspark.sql import Window
 
-    years = sorted(r["birth"] for r in towns.select("birth").where("birth is not null").distinct().collect())
-    nth = lambda year: F.size(F.filter(F.lit(years).cast("array<int>"), lambda y: y < year))
-    b = towns.where("birth is not null and end_yr is not null").withColumn("since", nth(F.col("birth") + 1)).withColumn("until", nth(F.col("end_yr")))
-    b = b.where("since < until").select(F.col("city_id").alias("bid"), F.col("x").alias("bx"), F.col("y").alias("by"), "since", "until")
+    b = towns.where("birth is not null and end_yr is not null")
+    marks = towns.select(F.col("birth").alias("year"), F.lit(1).alias("founded")).unionByName(b.select(F.col("end_yr").alias("year"), F.lit(0).alias("founded")))
+    marks = marks.where("year is not null").groupBy("year").agg(F.max("founded").alias("founded"))
+    before = Window.orderBy("year").rowsBetween(Window.unboundedPreceding, -1)  # a row for each year there is
+    marks = marks.withColumn("before", F.coalesce(F.sum("founded").over(before), F.lit(0)).cast("int"))
+    years = [r["year"] for r in marks.where("founded = 1").orderBy("year").collect()]
+    since = marks.select(F.col("year").alias("birth"), (F.col("before") + 1).alias("since"))
+    until = marks.select(F.col("year").alias("end_yr"), F.col("before").alias("until"))
+    b = b.join(since, "birth").join(until, "end_yr").where("since < until").select(F.col("city_id").alias("bid"), F.col("x").alias("bx"), F.col("y").alias("by"), "since", "until")
     near = within_distance(cells.select("id", "x", "y"), b, max(bands)).select("id", "since", "until", "d")
     turn = F.explode(F.array(F.struct(F.col("since").alias("at"), F.lit(1).alias("by")), F.struct(F.col("until").alias("at"), F.lit(-1).alias("by"))))
     events = near.select("id", "d", turn.alias("e"))
@@ -66,22 +113,49 @@ def edges(rings: DataFrame) -> DataFrame:
     return rings.select("poly_id", F.col("x").alias("x1"), F.col("y").alias("y1"), nxt("x").alias("x2"), nxt("y").alias("y2"))
 
 
-def points_in_polygons(points: DataFrame, rings: DataFrame, size: float = 10.0) -> DataFrame:
-    """(id, poly_id) of points (id, x, y) inside rings, by the parity of edges that a ray to the right crosses.
+def ring_squares(rings: DataFrame, size: float = 10.0) -> DataFrame:
+    """(poly_id, gx, gy, x1, y1, x2, y2): squares of rings. A row with an edge is a square that the edge touches; one
+    without is a square whose lower left corner is inside the ring.
 
-    Points meet edges in squares of ``size``. An edge is dealt to the bands of y that it spans and, in each, to the
-    squares from its ring's left end to its own right end: a point further left is outside, a point further right is
-    not crossed by it. An edge that touches two rows of points' y counts for the half-open range [low, high).
+    Corners lie at ``SHIFT`` of a square, so that rings of round coordinates have none on an edge. On each line of
+    corners the edges that cross it are gone through from the right: after an odd number of them corners are inside.
     """
     from pyspark.sql import Window
 
-    e = edges(rings).withColumn("__left", F.min(F.least("x1", "x2")).over(Window.partitionBy("poly_id"))).where("y1 <> y2")
-    e = e.withColumn("__gy", F.explode(F.sequence(F.floor(F.least("y1", "y2") / size), F.floor(F.greatest("y1", "y2") / size))))
-    e = e.withColumn("__gx", F.explode(F.sequence(F.floor(F.col("__left") / size), F.floor(F.greatest("x1", "x2") / size))))
-    p = points.select("id", "x", "y").withColumn("__gy", F.floor(F.col("y") / size)).withColumn("__gx", F.floor(F.col("x") / size))
-    hit = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    crossed = p.join(e, ["__gx", "__gy"]).where(hit).groupBy("id", "poly_id").agg(F.count("*").alias("n"))
-    return crossed.where("n % 2 = 1").select("id", "poly_id")
+    at = lambda v: F.floor(v / size - SHIFT)
+    e = edges(rings)
+    slack = 1e-9
+    across = lambda y: F.col("x1") + (F.col("x2") - F.col("x1")) * F.try_divide(y - F.col("y1"), F.col("y2") - F.col("y1"))
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    t = e.withColumn("gy", F.explode(F.sequence(at(low - slack * size), at(high + slack * size))))
+    line = (F.col("gy") + SHIFT) * size
+    inside = lambda y: F.least(F.greatest(y, low), high)
+    a, z = (F.coalesce(across(inside(y)), F.col(c)) for y, c in ((line, "x1"), (line + size, "x2")))
+    touched = t.withColumn("gx", F.explode(F.sequence(at(F.least(a, z) - slack * size), at(F.greatest(a, z) + slack * size))))
+    crossing = t.where((F.col("y1") > line) != (F.col("y2") > line)).select("poly_id", "gy", (F.ceil(across(line) / size - SHIFT) - 1).alias("last"))
+    order = Window.partitionBy("poly_id", "gy").orderBy(F.desc("last"))
+    runs = crossing.withColumn("nth", F.row_number().over(order)).withColumn("next", F.lead("last").over(order)).where("nth % 2 = 1 and next < last")
+    full = runs.select("poly_id", F.explode(F.sequence(F.col("next") + 1, F.col("last"))).alias("gx"), "gy")
+    return touched.select("poly_id", "gx", "gy", "x1", "y1", "x2", "y2").unionByName(full, allowMissingColumns=True)
+
+
+def points_in_polygons(points: DataFrame, rings: DataFrame, size: float = 10.0) -> DataFrame:
+    """(id, poly_id) of points (id, x, y) inside rings, as the parity of edges that a ray to the right crosses tells.
+
+    A point meets its own square's rows of ``ring_squares`` alone: where no edge touches it, the corner tells. Else
+    the parity changes with each edge between point and corner, along the point's row to the square's left side and
+    down that side to the corner. An edge that touches two rows of points' y counts for the half-open range [low, high).
+    """
+    p = points.select("id", "x", "y", F.floor(F.col("x") / size - SHIFT).alias("gx"), F.floor(F.col("y") / size - SHIFT).alias("gy"))
+    left, bottom = (F.col("gx") + SHIFT) * size, (F.col("gy") + SHIFT) * size
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    x_there = dx * (F.col("y") - F.col("y1")) / dy + F.col("x1")
+    y_there = dy * (left - F.col("x1")) / dx + F.col("y1")
+    row = F.when((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y")), ((x_there > left) & (x_there <= F.col("x"))).cast("int")).otherwise(0)
+    down = F.when((F.col("x1") > left) != (F.col("x2") > left), ((y_there > bottom) & (y_there <= F.col("y"))).cast("int")).otherwise(0)
+    n = F.when(F.col("x1").isNull(), 1).otherwise(row + down)
+    met = p.join(ring_squares(rings, size), ["gx", "gy"]).groupBy("id", "poly_id").agg(F.sum(n).alias("n"))
+    return met.where("n % 2 = 1").select("id", "poly_id")
 
 
 def last_polygon(points: DataFrame, rings: DataFrame, outside: int = -1) -> DataFrame:
@@ -138,8 +212,6 @@ def knn(targets: DataFrame, sources: DataFrame, k: int = 5, reach: int = 4, by:
     """
     from pyspark.sql import Window
 
-    from .storage import stored
-
     place = [*by, "row", "col"]
     span = sources.agg(F.max(F.greatest(F.abs("row"), F.abs("col"))).alias("m")).first()["m"] or 0
     most = targets.agg(F.max(F.greatest(F.abs("row"), F.abs("col"))).alias("m")).first()["m"] or 0

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .storage import stored
+
 
 def eligible(df: DataFrame, start: int | Column, end: int | Column, birth: str = "birth", label: str = "is_city") -> DataFrame:
     """Towns founded before the window go, towns founded after its end become non-towns; missing years stay as they are."""
@@ -33,9 +35,21 @@ def hopping_windows(df: DataFrame, col: str, size: int = 300, step: int = 50) ->
 def assign_windows(df: DataFrame, windows: DataFrame, col: str) -> DataFrame:
     """Each row once for every window [start, end) that its year is in.
 
-    Windows are bounded by the years there are (a row for each step), so they are broadcast.
+    Windows are of one size and begin at steps of one size, as those of ``hopping_windows``: which of them a year is
+    in follows from the year, so rows are unfolded and looked up by start. Windows may be left out of ``windows``.
     """
-    return df.join(F.broadcast(windows), (F.col(col) >= F.col("start")) & (F.col(col) < F.col("end")))
+    s = windows.agg(F.min("start").alias("a"), F.max(F.col("end") - F.col("start")).alias("size"), F.min(F.col("end") - F.col("start")).alias("least")).first()
+    if s["a"] is None:
+        return df.join(windows, F.lit(False))
+    if s["size"] != s["least"]:
+        raise ValueError("windows are of different sizes")
+    nxt = windows.select("start").distinct().withColumn("gap", F.col("start") - F.lit(s["a"]))
+    steps = [r["gap"] for r in nxt.where("gap > 0").select("gap").collect()]  # a number for each window
+    step = math.gcd(*steps) if steps else s["size"]
+    first = F.floor((F.col(col) - F.lit(s["a"] + s["size"])) / F.lit(step)) + 1
+    last = F.floor((F.col(col) - F.lit(s["a"])) / F.lit(step))
+    own = F.explode(F.when(last >= first, F.transform(F.sequence(first, last), lambda k: (F.lit(s["a"]) + k * F.lit(step)).cast("int"))))
+    return df.withColumn("__start", own).join(windows, F.col("__start") == F.col("start")).drop("__start")
 
 
 def windows_with_min(df: DataFrame, windows: DataFrame, col: str, least: int = 300) -> DataFrame:
@@ -89,8 +103,6 @@ def numbered(df: DataFrame, order: str, into: str = "pos", parts: int | None = N
     spark: SparkSession = df.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # An eager cut: both uses must see the same ranges.
-    from .storage import stored
-
     cut = stored(df.repartitionByRange(n, order).withColumn("__part", F.spark_partition_id()), "numbered")
     sizes = cut.groupBy("__part").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
@@ -106,24 +118,31 @@ def kernel(sigma: float) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def smooth(df: DataFrame, order: str, value: str, sigma: float = 5.0) -> DataFrame:
+def smooth(df: DataFrame, order: str, value: str, sigma: float = 5.0, rows: int = 1 << 16) -> DataFrame:
     """(pos, order, value, smoothed): Gaussian smoothing over positions, the series mirrored at its ends (edge repeated).
 
-    Each value is dealt to the positions within the kernel's radius, and values near an end once more for their
-    mirror images; one aggregate then sums them up. The series is never in one task.
+    The series is cut into ranges of ``rows`` positions. Each gets copies of its neighbours' values within the
+    kernel's radius, the ends their mirror images, and is smoothed by a window of its own. So what is shuffled is the
+    series and two radii a range, and it is never in one task.
     """
     w = kernel(sigma)
     r = len(w) // 2
-    x = numbered(df.select(order, value), order)
+    rows = max(rows, r)  # so that a value is within the radius of neighbouring ranges only
+    x = stored(numbered(df.select(order, value), order), "positions")
     n = x.count()
     if n == 0:
         return x.select("pos", order, value, F.lit(None).cast("double").alias("smoothed"))
-    period = 2 * n
-    source = lambda p: F.least(F.pmod(p, F.lit(period)), F.lit(period - 1) - F.pmod(p, F.lit(period)))
-    taps = F.explode(F.arrays_zip(F.array(*[F.lit(k) for k in range(-r, r + 1)]).alias("k"), F.array(*[F.lit(v) for v in w]).alias("w")))
-    asked = x.select("pos", taps.alias("z")).select("pos", source(F.col("pos") + F.col("z.k")).alias("src"), F.col("z.w").alias("w"))
-    sums = asked.join(x.select(F.col("pos").alias("src"), F.col(value).alias("v")), "src").groupBy("pos").agg(F.sum(F.col("w") * F.col("v")).alias("smoothed"))
-    return x.join(sums, "pos")
+    outside = x.sparkSession.range(2 * r).select(F.when(F.col("id") < r, F.col("id") - r).otherwise(F.lit(n - r) + F.col("id")).alias("to"))
+    turn = F.pmod(F.col("to"), F.lit(2 * n))
+    mirrored = outside.withColumn("pos", F.least(turn, F.lit(2 * n - 1) - turn)).join(x, "pos").select(F.col("to").alias("pos"), order, value)
+    every = x.select("pos", order, value).unionByName(mirrored)
+    part = lambda p: F.floor(p / F.lit(rows))
+    near = F.array_distinct(F.transform(F.array(F.lit(-r), F.lit(0), F.lit(r)), lambda k: part(F.col("pos") + k)))
+    dealt = every.select("*", F.explode(near).alias("__part"))
+    along = Window.partitionBy("__part").orderBy("pos")
+    taps = [F.lead(value, k).over(along) if k > 0 else F.lag(value, -k).over(along) if k else F.col(value) for k in range(-r, r + 1)]
+    found = dealt.withColumn("smoothed", reduce(lambda a, b: a + b, [F.coalesce(t * F.lit(c), F.lit(0.0)) for t, c in zip(taps, w, strict=True)]))
+    return found.where((part(F.col("pos")) == F.col("__part")) & F.col("pos").between(0, n - 1)).select("pos", order, value, "smoothed")
 
 
 def either(*conditions: Column) -> Column:

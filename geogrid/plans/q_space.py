@@ -29,7 +29,7 @@ def agg2_neighbours_filled(spark: SparkSession, d: str) -> DataFrame:
     """Towns founded a century before the year 1000 within 50 km, zero where there is none."""
     cells = X.cells(spark, d)
     towns = X.cities(spark, d).where(C.exists_at(F.lit(1000), F.col("birth"), lag=100))
-    near = spatial.within_distance(cells.select("id", "x", "y"), towns.select(F.col("city_id").alias("bid"), F.col("x").alias("bx"), F.col("y").alias("by")), 50, spread=2)
+    near = spatial.within_distance(cells.select("id", "x", "y"), towns.select(F.col("city_id").alias("bid"), F.col("x").alias("bx"), F.col("y").alias("by")), 50)
     n = near.groupBy("id").agg(F.count("*").alias("n"))
     return cells.select("id").join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -37,9 +37,11 @@ def agg2_neighbours_filled(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {CITIES} SELECT DISTINCT a.city_id, y.year FROM cities a, (SELECT DISTINCT birth AS year FROM cities) y
 WHERE a.birth < y.year AND a.end_yr > y.year""")
 def flt6_exists_at(spark: SparkSession, d: str) -> DataFrame:
+    """Each town in every founding year that it lasts for; its years come from its own two, one by one."""
     towns = X.cities(spark, d)
     years = towns.select(F.col("birth").alias("year")).distinct()
-    return towns.join(F.broadcast(years), C.exists_at(F.col("year"), F.col("birth"), F.col("end_yr"))).select("city_id", "year").distinct()
+    own = towns.where("end_yr > birth + 1").select("city_id", F.explode(F.sequence(F.col("birth") + 1, F.col("end_yr") - 1)).alias("year"))
+    return own.join(years, "year").select("city_id", "year").distinct()
 
 
 # Rings in units of a 10-pixel part of the raster, one for each region: the tables' own rows make the polygons.

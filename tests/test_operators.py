@@ -55,8 +55,8 @@ def test_within_distance_is_brute_force(spark):
     a = [(i, r.uniform(0, 30), r.uniform(0, 30)) for i in range(120)] + [(120, 0.0, 0.0)]
     b = [(i, r.uniform(0, 30), r.uniform(0, 30)) for i in range(80)] + [(80, 3.0, 4.0)]
     want = {(i, j) for i, x, y in a for j, u, v in b if (x - u) ** 2 + (y - v) ** 2 <= 25}
-    for spread in (1, 3):
-        got = spatial.within_distance(spark.createDataFrame(a, "id int, x double, y double"), spark.createDataFrame(b, "bid int, bx double, by double"), 5, spread).select("id", "bid").collect()
+    for most in (4096, 3):
+        got = spatial.within_distance(spark.createDataFrame(a, "id int, x double, y double"), spark.createDataFrame(b, "bid int, bx double, by double"), 5, most).select("id", "bid").collect()
         assert len(got) == len(want)
         assert {tuple(x) for x in got} == want
 
@@ -295,3 +295,78 @@ def test_rasters_are_filled_each_from_its_own_pixels(spark):
             want[name, row, col] = (len(near), sum(v / d for d, _, _, v in near) / sum(1 / d for d, _, _, _ in near))
     assert got.keys() == want.keys()
     assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
+def test_dense_squares_are_divided(spark):
+    r = random.Random(9)
+    a = [(i, r.uniform(0, 400), r.uniform(0, 400)) for i in range(400)] + [(400 + i, 101 + r.random(), 99 + r.random()) for i in range(150)] + [(600 + i, 7.0, 7.0) for i in range(60)]
+    b = [(i, r.uniform(0, 400), r.uniform(0, 400)) for i in range(200)] + [(200 + i, 102.0, 100.0) for i in range(80)]
+    left, right = spark.createDataFrame(a, "id int, x double, y double"), spark.createDataFrame(b, "bid int, bx double, by double")
+    got = {(x["id"], x["bid"]) for x in spatial.within_distance(left, right, 20, most=16).collect()}
+    assert got == {(i, j) for i, x, y in a for j, u, v in b if (x - u) ** 2 + (y - v) ** 2 <= 400}
+    sizes = spatial.in_squares(left, 20, 16).groupBy("__level", "__sx", "__sy", "__part").count()
+    assert sizes.where("__level < 10").agg(F.max("count")).first()[0] <= 16 < 60
+    assert sizes.agg(F.max("count")).first()[0] <= 40  # rows of one place go by a hash
+
+
+def test_points_meet_edges_of_their_own_square_only(spark):
+    r = random.Random(12)
+    rings = []
+    for p in range(5):
+        cx, cy, n = r.uniform(20, 80), r.uniform(20, 80), r.randint(3, 40)
+        for k in range(n):
+            d = r.uniform(3, 45)
+            rings.append((p, k, cx + d * math.cos(2 * math.pi * k / n), cy + d * math.sin(2 * math.pi * k / n)))
+    rings += [(9, 0, 10.0, 10.0), (9, 1, 60.0, 10.0), (9, 2, 60.0, 50.0), (9, 3, 10.0, 50.0)]
+    points = [(i, r.uniform(-30, 130), r.uniform(-30, 130)) for i in range(1500)] + [(2000 + 13 * i + j, 10.0 * i, 10.0 * j) for i in range(13) for j in range(13)]
+    want = set()
+    for p in {x[0] for x in rings}:
+        ring = [(x, y) for q, _, x, y in rings if q == p]
+        for i, x, y in points:
+            n = sum((y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True))
+            if n % 2:
+                want.add((i, p))
+    r_df, p_df = spark.createDataFrame(rings, "poly_id int, seq int, x double, y double"), spark.createDataFrame(points, "id int, x double, y double")
+    for size in (3.0, 10.0, 1000.0):
+        assert {(x["id"], x["poly_id"]) for x in spatial.points_in_polygons(p_df, r_df, size).collect()} == want
+    # A thin slanted edge touches few squares, however far its ring reaches to the left.
+    long = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 1000.0, 1.0), (1, 2, 1000.0, 101.0), (1, 3, 0.0, 101.0)], "poly_id int, seq int, x double, y double")
+    right_side = spatial.ring_squares(long, 10.0).where("x1 = 1000 and x2 = 1000").count()
+    assert right_side <= 13
+
+
+def test_smoothing_by_ranges_is_that_of_the_whole(spark):
+    v = np.random.default_rng(1).normal(size=130)
+    w = np.array(timeline.kernel(5.0))
+    for n in (130, 45, 7, 1):
+        df = spark.createDataFrame([(i, float(v[i])) for i in range(n)], "t int, v double")
+        mirrored = np.concatenate([v[:n], v[:n][::-1]])
+        want = [sum(c * mirrored[(i + k - 20) % (2 * n)] for k, c in enumerate(w)) for i in range(n)]
+        for rows in (1 << 16, 25, 8):
+            got = [r["smoothed"] for r in timeline.smooth(df, "t", "v", rows=rows).orderBy("pos").collect()]
+            assert np.allclose(got, want), (n, rows)
+
+
+def test_quantiles_of_large_bins_are_exact(spark):
+    r = np.random.default_rng(3)
+    v = np.concatenate([r.normal(size=9000), np.full(6000, 0.25), np.round(r.normal(size=6000), 1)])
+    lon = np.concatenate([np.full(15000, 3.5), r.uniform(0, 3, 6000)])
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(lon, v, strict=True)] + [(3.5, None), (8.5, None)], "lon double, x double")
+    for small in (10_000, 50_000):
+        got = {x["bin"]: x for x in reports.bin_stats(df, "lon", "x", small=small).collect()}
+        for b in range(4):
+            own = v[np.ceil(lon) - 1 == b]
+            assert got[b]["n"] == len(own)
+            assert np.allclose([got[b]["median"], got[b]["q25"], got[b]["q75"]], np.quantile(own, [0.5, 0.25, 0.75]), atol=1e-12)
+        assert got[8]["n"] == 0 and got[8]["median"] is None
+
+
+def test_windows_of_a_year_follow_from_the_year(spark):
+    r = random.Random(6)
+    df = spark.createDataFrame([(i, r.randint(-500, 900)) for i in range(300)] + [(999, None)], "id int, y int")
+    w = spark.createDataFrame([(s, s + 300) for s in range(-450, 500, 50) if s % 200], "start int, end int")
+    got = {(x["id"], x["start"]) for x in timeline.assign_windows(df, w, "y").collect()}
+    assert got == {(x["id"], v["start"]) for x in df.collect() for v in w.collect() if x["y"] is not None and v["start"] <= x["y"] < v["end"]}
+    assert timeline.assign_windows(df, w.limit(0), "y").count() == 0
+    with pytest.raises(ValueError):
+        timeline.assign_windows(df, w.unionByName(w.selectExpr("start", "end + 1 as end")), "y")

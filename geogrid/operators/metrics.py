@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import stored
+
 
 def _w(weight: str | None) -> Column:
     return F.col(weight) if weight else F.lit(1)
@@ -46,23 +48,25 @@ def class_report(confused: DataFrame) -> DataFrame:
     )
 
 
-def curve(df: DataFrame, label: str, score: str, weight: str | None = None, by: Iterable[str] = (), cut: int = 4096) -> DataFrame:
+def curve(df: DataFrame, label: str, score: str, weight: str | None = None, by: Iterable[str] = ()) -> DataFrame:
     """(by..., score, pos, neg, tp, fp, all_pos, all_neg): totals at and above each distinct score.
 
-    Rows are summed by score first. Running sums are taken within slices of 1 / ``cut`` of the score and start from
-    the sums of the slices above, so no window has more than a slice's scores.
+    Rows are summed by score first. Distinct scores are dealt to ranges of equally many, however close to each other
+    they are; running sums are taken within a range and start from the sums of the group's ranges above.
     """
     by, w = list(by), _w(weight)
     x = df.groupBy(*by, F.col(score).alias("score")).agg(F.sum(F.when(F.col(label) == 1, w).otherwise(0)).cast("double").alias("pos"), F.sum(F.when(F.col(label) == 1, 0).otherwise(w)).cast("double").alias("neg"))
-    x = x.withColumn("__slice", F.floor(F.col("score") * cut))
-    slices = x.groupBy(*by, "__slice").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    above = Window.partitionBy(*by).orderBy(F.desc("__slice")).rowsBetween(Window.unboundedPreceding, -1)
+    # Stored, so that both uses see the same ranges. Scores fall from range to range.
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = stored(x.repartitionByRange(ranges, *by, F.desc("score")).withColumn("__range", F.spark_partition_id()), "curve")
+    sums = x.groupBy(*by, "__range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    above = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     zero = F.lit(0.0)
-    slices = slices.select(*by, "__slice", F.coalesce(F.sum("p").over(above), zero).alias("__p"), F.coalesce(F.sum("n").over(above), zero).alias("__n"), F.sum("p").over(every).alias("all_pos"), F.sum("n").over(every).alias("all_neg"))
-    upto = Window.partitionBy(*by, "__slice").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.select(*by, "__range", F.coalesce(F.sum("p").over(above), zero).alias("__p"), F.coalesce(F.sum("n").over(above), zero).alias("__n"), F.sum("p").over(every).alias("all_pos"), F.sum("n").over(every).alias("all_neg"))
+    upto = Window.partitionBy(*by, "__range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumn("tp", F.sum("pos").over(upto)).withColumn("fp", F.sum("neg").over(upto))
-    x = x.join(slices, [*by, "__slice"])
+    x = x.join(sums, [*by, "__range"])
     return x.select(*by, "score", "pos", "neg", (F.col("tp") + F.col("__p")).alias("tp"), (F.col("fp") + F.col("__n")).alias("fp"), "all_pos", "all_neg")
 
 

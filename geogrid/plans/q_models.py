@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from ..operators import boosting, clustering, experiments, features, metrics, model_store, models, neighbours, sampling, spatial, timeline
 from ..operators.storage import scratch, stored
 from ..sources import fixtures as X
+from ..sources import tables
 from .registry import query
-from .sql import CELLS, u
+from .sql import CELLS, LINES, u
 
 
 @query(f"""WITH p AS (SELECT c_custkey AS id, ({u("ic", "c_custkey")} < 0.2)::INT AS label FROM customer), k AS (SELECT min(n) AS small, max(n) AS large FROM (SELECT count(*) AS n FROM p GROUP BY label))
@@ -99,7 +100,16 @@ def smp2_smote(spark: SparkSession, d: str) -> DataFrame:
     return sampling.smote(minority(spark, d), "px").select("id", "nth", F.transform("px", lambda v: F.round(v, 5)).alias("px"))
 
 
-@query()
+@query(f"""WITH x AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS a, (embedding[1]::DOUBLE + embedding[2]::DOUBLE > 0)::INT AS label, vec_id % 23 AS city_id FROM embeddings
+), g AS (SELECT DISTINCT city_id FROM x WHERE label = 1
+), t AS (SELECT city_id FROM (SELECT city_id, row_number() OVER (ORDER BY {u("splitg", "city_id")}, city_id) AS r FROM g), (SELECT floor(count(*) * 0.2::DOUBLE) AS k FROM g) WHERE r <= k
+), s AS (SELECT *, city_id IN (SELECT city_id FROM t) AS test FROM x
+), n AS (SELECT label, count(*) AS n FROM s WHERE NOT test GROUP BY label
+), k AS (SELECT (SELECT label FROM n ORDER BY n, -label LIMIT 1) AS small, (SELECT min(n) FROM n) AS few, (SELECT max(n) FROM n) AS many
+), r AS (SELECT s.*, row_number() OVER (PARTITION BY label ORDER BY {u("s", "id")}, id) AS nth FROM s WHERE NOT test
+), p AS (SELECT 'train' AS part, label, a FROM r, k WHERE label = small OR nth <= least(many, floor(few / 0.8::DOUBLE)) UNION ALL SELECT 'test', label, a FROM s WHERE test
+), z AS (SELECT avg(a) AS m, stddev_pop(a) AS d FROM p WHERE part = 'train')
+SELECT part, label, count(*) AS n, round(avg((a - m) / d), 6) AS mean FROM p, z GROUP BY part, label""")
 def smp8_prepared(spark: SparkSession, d: str) -> DataFrame:
     """Split by groups, resample, scale: the whole preparation, summed up."""
     x = sampling.group_split(labelled(spark, d), label="label")
@@ -107,7 +117,7 @@ def smp8_prepared(spark: SparkSession, d: str) -> DataFrame:
     scaler = features.fit_scaler(train, "px")
     both = features.apply_scaler(train.unionByName(x.where("part = 'test'")), scaler, "px")
     features.check_same_columns(train, both)
-    return both.groupBy("part", "label").agg(F.count("*").alias("n"), F.avg(F.col("px")[0]).alias("mean"))
+    return both.groupBy("part", "label").agg(F.count("*").alias("n"), F.round(F.avg(F.col("px")[0]), 6).alias("mean"))
 
 
 # Trees are small here: five rounds of three levels. The numbers of fits are those of the real jobs.
@@ -264,23 +274,29 @@ def mdl9_first_step(spark: SparkSession, d: str) -> DataFrame:
     return x.select("seed", "cluster", "n", F.round("sse", 4).alias("sse"), F.round(F.col("mean")[0], 5).alias("first"), F.round(total, 5).alias("total"))
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id AS id, list_transform(range(64), lambda i: embedding[i + 1]::DOUBLE * (4.0::DOUBLE * i / 127 - 1)) AS a, list_transform(range(64), lambda i: embedding[i + 1]::DOUBLE * ((4.0::DOUBLE * i + 2) / 127 - 1)) AS b FROM embeddings)
+SELECT id, [round(list_sum(a), 5), round(list_sum(b), 5)] AS embedding FROM e""")
 def mdl11_batch_embedding(spark: SparkSession, d: str) -> DataFrame:
     """A user's function over all tiles, in batches: here a projection."""
 
     def project(batch: np.ndarray) -> np.ndarray:
-        return batch @ np.linspace(-1, 1, batch.shape[1] * 2).reshape(batch.shape[1], 2)
+        return batch.astype("float64") @ np.linspace(-1, 1, batch.shape[1] * 2).reshape(batch.shape[1], 2)
 
-    return models.embed(X.tiles(spark, d), "px", project)
+    return models.embed(X.tiles(spark, d), "px", project, kind="double").withColumn("embedding", F.transform("embedding", lambda v: F.round(v, 5)))
 
 
-@query()
+@query(f"""WITH {LINES}, c AS (SELECT flag, count(*) FILTER (label = 0 AND score <= 0.05) AS tn, count(*) FILTER (label = 0 AND score > 0.05) AS fp,
+  count(*) FILTER (label = 1 AND score <= 0.05) AS fn, count(*) FILTER (label = 1 AND score > 0.05) AS tp FROM lines GROUP BY flag
+), r AS (SELECT *, (tp + tn)::DOUBLE / (tp + tn + fp + fn) AS accuracy, tp::DOUBLE / nullif(tp + fp, 0) AS "precision", tp::DOUBLE / nullif(tp + fn, 0) AS recall, 2.0 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE AS f1,
+  coalesce((tp * tn - fp * fn)::DOUBLE / nullif(sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0) AS mcc FROM c)
+SELECT flag, tn, fp, fn, tp, round(f1, 6) AS f1, round(mcc, 6) AS mcc, 'flag ' || flag || ': rows ' || (tn + fp + fn + tp) || ', accuracy ' || coalesce(printf('%.4f', accuracy), 'none') || ', precision ' || coalesce(printf('%.4f', "precision"), 'none')
+  || ', recall ' || coalesce(printf('%.4f', recall), 'none') || ', f1 ' || coalesce(printf('%.4f', f1), 'none') || ', mcc ' || coalesce(printf('%.4f', mcc), 'none') AS report FROM r""")
 def snk4_metrics_report(spark: SparkSession, d: str) -> DataFrame:
-    """Metrics written as CSV and JSON, and the JSON read back."""
-    from ..operators.storage import scratch
-    from ..sources import tables
-
+    """Metrics written as CSV, as JSON and in words; the last two read back."""
     path = scratch(spark, "report")
     x = X.labelled_lines(spark, d).withColumn("pred", (F.col("score") > 0.05).cast("int"))
-    tables.write_report(metrics.rates(metrics.confusion(x, "label", "pred", by=["flag"])), path)
-    return spark.read.schema("flag string, tp long, f1 double, mcc double").json(f"{path}/detail")
+    tables.write_report(metrics.rates(metrics.confusion(x, "label", "pred", by=["flag"])), path, ["flag"])
+    detail = spark.read.schema("flag string, confusion_matrix array<array<long>>, f1 double, mcc double").json(f"{path}/detail")
+    cells = [F.col("confusion_matrix")[i][j].alias(c) for c, i, j in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))]
+    report = spark.read.text(f"{path}/report").select(F.regexp_extract("value", "^flag (.*?): ", 1).alias("flag"), F.col("value").alias("report"))
+    return detail.select("flag", *cells, F.round("f1", 6).alias("f1"), F.round("mcc", 6).alias("mcc")).join(report, "flag")

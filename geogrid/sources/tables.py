@@ -59,10 +59,17 @@ def unfinished(spark: SparkSession, path: str, models: list[int]) -> list[int]:
     return [r["model_id"] for r in want.join(done, "model_id", "left_anti").orderBy("model_id").collect()]
 
 
-def write_report(metrics: DataFrame, path: str) -> None:
-    """A summary of metrics as CSV and as JSON lines."""
+def write_report(metrics: DataFrame, path: str, keys: list[str]) -> None:
+    """Metrics (keys, tn, fp, fn, tp, accuracy, precision, recall, f1, mcc) as a summary in CSV, as JSON lines with the
+    confusion matrix of each group, and as a report in words."""
     metrics.write.csv(f"{path}/summary", header=True)
-    metrics.write.json(f"{path}/detail")
+    matrix = F.array(F.array("tn", "fp"), F.array("fn", "tp"))
+    metrics.select(*keys, matrix.alias("confusion_matrix"), "f1", "mcc").write.json(f"{path}/detail")
+    said = lambda c: F.concat(F.lit(f", {c} "), F.when(F.col(c).isNull(), "none").otherwise(F.format_string("%.4f", F.col(c))))
+    head = F.concat_ws(", ", *[F.concat(F.lit(f"{k} "), F.col(k).cast("string")) for k in keys])
+    rows = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
+    line = F.concat(head, F.lit(": rows "), rows.cast("string"), *map(said, ("accuracy", "precision", "recall", "f1", "mcc")))
+    metrics.select(line.alias("value")).write.text(f"{path}/report")
 
 
 def write_embeddings(df: DataFrame, path: str, per_file: int = 100_000) -> None:

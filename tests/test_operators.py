@@ -110,11 +110,28 @@ def test_curves_with_one_score_and_without_positives(spark):
     assert r["roc_auc"] is None and r["average_precision"] is None
 
 
-def test_curve_slices_do_not_change_the_result(spark):
+def test_curve_ranges_do_not_change_the_result(spark):
     r = random.Random(1)
-    df = spark.createDataFrame([(int(r.random() < 0.3), round(r.random(), 2)) for _ in range(500)], "label int, score double")
-    a, b = (metrics.areas(metrics.curve(df, "label", "score", cut=k)).first() for k in (1, 4096))
-    assert all(math.isclose(a[c], b[c]) for c in a.asDict())
+    rows = [(int(r.random() < 0.3), round(r.random(), 2)) for _ in range(500)]
+    df = spark.createDataFrame(rows, "label int, score double")
+    small = df.withColumn("score", F.col("score") / 100_000)  # all of them below 1 / 4096
+    old, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("1", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found += [metrics.areas(metrics.curve(x, "label", "score")).first() for x in (df, small)]
+            widest = metrics.curve(small, "label", "score").groupBy(F.spark_partition_id()).count()
+            assert n == "1" or widest.count() > 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert all(math.isclose(a[c], found[0][c]) for a in found for c in a.asDict())
+    scores = sorted({s for _, s in rows}, reverse=True)
+    pos, tp, area = sum(y for y, _ in rows), 0, 0.0
+    for s in scores:
+        here, own = sum(x >= s for _, x in rows), sum(y for y, x in rows if x == s)
+        tp += own
+        area += own / pos * tp / here
+    assert math.isclose(found[0]["average_precision"], area)
 
 
 def test_confusion_of_nothing_predicted(spark):

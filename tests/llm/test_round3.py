@@ -314,3 +314,110 @@ def test_personal_data_of_ids_of_any_type_and_names_behind_cues(spark):
     got = pii.detected(spark.createDataFrame(rows, "doc_id string, text string, base string")).collect()
     assert sorted(r["doc_id"] for r in got) == sorted(r[0] for r in rows)
     assert [s["kind"] for r in got if r["doc_id"] == "id8" for s in r["base"]] == ["email"]
+
+
+def test_quality_verdicts_recomputed(spark, docs):
+    from geogrid.llm import quality
+
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    trusted = {r["doc_id"] for r in labels.collect() if r["quality"] == 1 and not r["toxic"]}
+    mask = quality.BUCKETS - 1
+
+    def grams(text):
+        w = [x.encode() for x in WORD.findall((text or "").lower())]
+        one = [xxhash.xxh64_intdigest(x, 42) for x in w]
+        return [h & mask for h in one] + [xxhash.xxh64_intdigest(b, h) & mask for h, b in zip(one, w[1:], strict=False)]
+
+    rows = docs.collect()
+    raw, good = np.ones(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    for r in rows:
+        np.add.at(raw, grams(r["text"]), 1)
+        if r["doc_id"] in trusted:
+            np.add.at(good, grams(r["text"]), 1)
+    prior = quality.PRIOR * quality.BUCKETS
+    ratio = np.log((good + prior * raw / raw.sum()) / (good.sum() + prior)) - np.log(raw / raw.sum())
+    got = {r["doc_id"]: r for r in QUERIES["op6_quality_rules"](spark, DATA).collect()}
+    for r in rows:
+        g, n = grams(r["text"]), len(WORD.findall(r["text"] or ""))
+        x = got[r["doc_id"]]
+        score = ratio[g].sum() / (2 * n - 1) if n else 0.0
+        failed = n < 50 or 100 * x["n_repeat_words"] > 50 * n
+        assert x["n_words"] == n and abs(x["score"] - score) < 1e-4
+        assert x["base_failed"] == failed and (abs(score + 0.1) < 1e-4 or x["kept"] == (not failed and score >= -0.1))
+
+
+def planted(n=300):
+    """Documents with one name or secret each, the span that it is, and documents without any."""
+    r = random.Random(21)
+    firsts, lasts = "Anna Juan Marie Peter Olga Ravi Lucía Jean Omar Ingrid".split(), "Schmidt Lopez Dubois Novak Patel Haddad Larsen Moreau García Weber".split()
+    titles = ("Dr. ", "Mr ", "Mrs. ", "Prof. ", "Herr ", "Frau ", "")
+    abouts = ("Please contact ", "Signed ", "The name is ", "Name: ", "best regards ", "the patient ", "our customer ")
+    keys = ("password=", "api_key: ", 'secret = "', "token: ", "AWS_ACCESS_KEY=", "db_passwd=")
+    out = []
+    for i in range(n):
+        head, tail = words(r.randint(5, 30), i), words(r.randint(5, 30), 9000 + i)
+        if i % 3 == 0:
+            name = f"{r.choice(firsts)} {r.choice(lasts)}"
+            cue = r.choice(abouts) + r.choice(titles)
+            out.append((i, f"{head} {cue}{name}, {tail}", "name", len(head) + 1 + len(cue), len(name)))
+        elif i % 3 == 1:
+            value = "".join(r.choice("abcdefghjkmnpqrstuvwxyzABCDEFGH23456789") for _ in range(r.randint(12, 40))) + "7x9"
+            key = r.choice(keys)
+            out.append((i, f"{head} {key}{value}{chr(34) if chr(34) in key else ''} {tail}", "secret", len(head) + 1 + len(key), len(value)))
+        else:
+            out.append((i, f"{head} note: {words(1, i)} of the customer service, time: {words(1, i + 1)} {tail}", None, 0, 0))
+    return out
+
+
+def test_planted_names_and_secrets_are_found(spark):
+    rows = planted()
+    df = spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string")
+    got = {r["doc_id"]: {(s["kind"], s["start"], s["end"]) for s in r["added"]} for r in pii.detected(df).collect()}
+    for kind in ("name", "secret"):
+        want = [(i, (kind, start, start + n)) for i, _, k, start, n in rows if k == kind]
+        hits = sum(span in got[i] for i, span in want)
+        found = sum(k == kind for spans in got.values() for k, _, _ in spans)
+        print(kind, "recall", hits / len(want), "precision", hits / max(found, 1))
+        assert hits / len(want) >= 0.9 and hits / found >= 0.9, kind
+    assert sum(bool(got[i]) for i, _, k, _, _ in rows if k is None) <= 0.02 * len(rows)
+
+
+def test_added_spans_are_those_of_the_model_recomputed(spark, docs):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(10_000 + i, t) for i, t, *_ in planted(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cands = [(r["doc_id"], c) for r in pii.labelled(df).collect() for c in r["candidates"]]
+    counts = collections.Counter((c["kind"], c["votes"]) for _, c in cands)
+    truth = {}
+    for kind in {k for k, _ in counts}:
+        votes = {v: n for (k, v), n in counts.items() if k == kind}
+        n, m = np.array(list(votes.values()), float), [list(v) for v in votes]
+        hit = np.array([[[x == c for c in "yn-"] for x in v] for v in m], float)  # pattern, labeler, vote
+        start = {1: np.array([3.5, 0.5, 1.0]), 0: np.array([0.5, 3.5, 1.0])}
+        table = {1: np.tile([0.7, 0.1, 0.2], (hit.shape[1], 1)), 0: np.tile([0.1, 0.7, 0.2], (hit.shape[1], 1))}
+        prior = 0.5
+        for _ in range(60):
+            like = {t: np.prod((hit * table[t]).sum(2), axis=1) for t in (0, 1)}
+            p = prior * like[1] / (prior * like[1] + (1 - prior) * like[0])
+            prior = min(0.99, max(0.01, ((p * n).sum() + 1) / (n.sum() + 2)))
+            for t, q in ((1, p), (0, 1 - p)):
+                table[t] = (np.einsum("p,pij->ij", q * n, hit) + start[t]) / ((q * n).sum() + 5)
+        truth |= {(kind, v): x for v, x in zip(votes, p, strict=True)}
+    yes, no, total = collections.Counter(), collections.Counter(), collections.defaultdict(lambda: [0.0, 0.0])
+    for _, c in cands:
+        p = truth[c["kind"], c["votes"]]
+        total[c["kind"]][0] += p
+        total[c["kind"]][1] += 1 - p
+        for f in c["shape"]:
+            yes[f] += p
+            no[f] += 1 - p
+    want = collections.defaultdict(set)
+    for i, c in cands:
+        a, b = total[c["kind"]]
+        shape = np.mean([np.log((yes[f] + 1) / (a + 2)) - np.log((no[f] + 1) / (b + 2)) for f in c["shape"]])
+        p = truth[c["kind"], c["votes"]]
+        odds = shape + np.log(max(p, 1e-9) / max(1 - p, 1e-9))
+        assert abs(odds) > 1e-6
+        if odds > 0:
+            want[i].add((c["kind"], c["start"], c["end"]))
+    for r in pii.detected(df).collect():
+        assert {(s["kind"], s["start"], s["end"]) for s in r["added"]} == want[r["doc_id"]]

@@ -12,10 +12,12 @@ from .common import documents, scratch
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near-duplicates of all documents."""
     return near_dedup.near_classes(documents(spark, sf_dir))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from those that are not held out."""
     docs = documents(spark, sf_dir)
     dictionaries = langid.learn(docs.where(~langid.held_out()))
     found = langid.predict(docs, dictionaries)
@@ -23,40 +25,48 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many word pieces greedy longest match makes of every document."""
     return token_count.token_counts(documents(spark, sf_dir))
 
 
 def op4_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, taken in as arrivals and read back from the compacted store."""
     store = shards.ShardStore(spark, scratch(spark, "shards"))
     found = shards.ingest(store, documents(spark, sf_dir))
     return found.select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces, packed into sequences of at most 4096 tokens."""
     pieces = packing.tokenised(documents(spark, sf_dir)).withColumn("ids_crc32", F.crc32("tokens")).drop("tokens")
     return packing.packed(pieces)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document, and whether base rules and the log-likelihood ratio keep it."""
     return quality.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages' records, read back from archives that hold each payload once."""
     path, mean = warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     found = warc.read(spark, warc.resolved(spark, path, mean_bytes=mean), payloads=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix of sources takes."""
     x = mixing.mixed(documents(spark, sf_dir))
     return x.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group of equal texts, and the row of it that stays."""
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and spans of the patterns, and all spans."""
     found = pii.detected(documents(spark, sf_dir))
     kinds = F.transform("base", lambda s: s["kind"])
     n = [F.size(kinds).cast("long") - F.size(F.array_remove(kinds, k)) for k in pii.KINDS[:4]]
@@ -162,4 +172,32 @@ FROM r""",
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op13_turn_trie": """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id AS c, conv_id - conv_id % 100 AS base,
+    xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(length(conv_id::VARCHAR)), lambda i: ascii(substr(conv_id::VARCHAR, i::INT + 1, 1))::BIGINT)),
+      lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda x, k: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)
+), b AS (SELECT c, base, h, (SELECT least(count(*), h) FROM t WHERE t.conv_id = base) AS heads FROM c
+), r AS (
+  SELECT c, pos AS d, role, text FROM b JOIN t ON t.conv_id = base AND pos <= h
+  UNION ALL SELECT c, heads + pos - h, role, text FROM b JOIN t ON t.conv_id = c AND pos > h
+), m AS (
+  SELECT c, d, length(text) AS n, string_agg(md5(length(role) || ':' || role || text), '') OVER (PARTITION BY c ORDER BY d) AS key FROM r
+  UNION ALL SELECT c, 0, 0, '' FROM c
+), l AS (SELECT *, d = max(d) OVER (PARTITION BY c) AS ends FROM m
+), n AS (
+  SELECT d, key, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(n) AS saved, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends) AS ends
+  FROM l GROUP BY d, key
+), k AS (SELECT substr(key, 1, 32 * (d - 1)) AS key, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL
+), v AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON k.d = n.d AND k.key = n.key
+), s AS (
+  SELECT substr(key, 1, 32 * e) AS key, e AS d, sum((n_children = 0)::INT) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT *, unnest(range(d + 1)) AS e FROM v) GROUP BY ALL
+)
+SELECT v.conv_id, v.d AS depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM v JOIN s ON s.d = v.d AND s.key = v.key LEFT JOIN v p ON p.d = v.d - 1 AND p.key = substr(v.key, 1, 32 * (v.d - 1)::INT)""",
 }

@@ -16,7 +16,7 @@ def test_same_as_sql(spark, duck, name):
     assert rows_of(QUERIES[name](spark, DATA).toPandas()) == rows_of(duck.sql(SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"op13_turn_trie"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_gives_a_row_for_each_document(spark, name):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     found = QUERIES[name](spark, DATA)
@@ -69,3 +69,13 @@ def test_pipeline_of_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, DATA), "stage")
     assert docs.count() == 0
+
+
+def test_both_copies_of_the_stores_are_alike():
+    import inspect
+
+    from geogrid.llm import common
+    from geogrid.operators import storage
+
+    code = lambda f: [x for x in inspect.getsource(f).split('"""')[2].split() if x]
+    assert code(common.scratch) == code(storage.scratch) and code(common.stored) == code(storage.stored)

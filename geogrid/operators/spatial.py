@@ -52,11 +52,13 @@ def within_distance(a: DataFrame, b: DataFrame, radius: float, most: int = MOST)
     squares = left.select("__level", "__sx", "__sy", "__parts").distinct()
     side = F.lit(float(radius)) / F.pow(F.lit(2.0), F.col("__level"))
     squares = squares.withColumns({"__x": F.col("__sx") * side, "__y": F.col("__sy") * side, "__side": side})
-    squares = squares.withColumns({"__gx": F.floor(F.col("__x") / radius), "__gy": F.floor(F.col("__y") / radius)})
+    whole = F.pow(F.lit(2.0), F.col("__level"))
+    squares = squares.withColumns({"__gx": F.floor(F.col("__sx") / whole), "__gy": F.floor(F.col("__sy") / whole)})
     step = F.array(F.lit(-1), F.lit(0), F.lit(1))
     right = b.withColumn("__dx", F.explode(step)).withColumn("__dy", F.explode(step))
     right = right.withColumn("__gx", F.floor(F.col("bx") / radius) + F.col("__dx")).withColumn("__gy", F.floor(F.col("by") / radius) + F.col("__dy")).drop("__dx", "__dy")
-    gap = lambda v, low: F.greatest(F.lit(0.0), F.col(low) - F.col(v), F.col(v) - F.col(low) - F.col("__side"))
+    digit = lambda v, low: 1e-14 * (F.abs(v) + F.abs(low) + F.col("__side"))
+    gap = lambda v, low: F.greatest(F.lit(0.0), F.greatest(F.col(low) - F.col(v), F.col(v) - F.col(low) - F.col("__side")) - digit(v, low))
     reach = gap("bx", "__x") * gap("bx", "__x") + gap("by", "__y") * gap("by", "__y") <= radius * radius * (1 + 1e-12)
     right = right.join(squares, ["__gx", "__gy"]).where(reach).drop("__x", "__y", "__side", "__gx", "__gy")
     right = right.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1))).drop("__parts")

@@ -17,6 +17,7 @@ UND = "und"
 LEVEL = 9  # of compression
 SLACK = 3
 LEAD, LEADS = 3000, 3  # bytes of a dictionary that go before a text where languages tie, and how many such parts do in turn
+SALTS = 16  # of the ranking of a language's texts
 RESULT = "lang_pred string, score double, margin double, rejected boolean"
 
 
@@ -34,7 +35,11 @@ def learn(
     """
     rows = docs.where(F.col("lang").isNotNull() & (F.col("lang") != UND) & (F.length("text") <= longest_text))
     slim = rows.groupBy("lang", F.xxhash64("text").alias("of")).agg(F.min(F.xxhash64("doc_id", "text")).alias("h"))
-    chosen = slim.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "of"))).where(F.col("nth") <= texts_per_lang)
+    # Ranked within salts of a language first, so that what one task ranks in the end doesn't grow with the tasks.
+    salt = F.pmod(F.xxhash64("of"), F.lit(SALTS))
+    first = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy("h", "of"))
+    some = slim.withColumn("salt", salt).withColumn("nth", first("salt")).where(F.col("nth") <= texts_per_lang)
+    chosen = some.withColumn("nth", first()).where(F.col("nth") <= texts_per_lang)
     keys = chosen.select("nth", F.col("of").alias("kh"), F.col("lang").alias("kl"))  # texts_per_lang rows a language
     texts = rows.join(F.broadcast(keys), (F.xxhash64("text") == F.col("kh")) & (F.col("lang") == F.col("kl")))
     texts = texts.groupBy("lang", "nth").agg(F.min("text").alias("text"))  # one of all copies

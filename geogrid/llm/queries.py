@@ -49,8 +49,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages' records, read back from archives that hold each payload once."""
-    path, mean = warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    found = warc.read(spark, warc.resolved(spark, path, mean_bytes=mean), payloads=False)
+    path = warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    found = warc.read(spark, warc.resolved(spark, path), payloads=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +44,24 @@ def fresh_id(*of: Column) -> Column:
     return F.concat(F.lit("urn:uuid:"), F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
 
 
-def write(records: DataFrame, path: str, archive_bytes: int = 32 << 20, mean_bytes: float | None = None) -> None:
+def archive_number(length: Column, archive_bytes: int) -> Column:
+    """Number of a record's archive within its task: which stretch of ``archive_bytes`` bytes it starts in.
+
+    Only lengths go to Python, where a sum runs on from batch to batch of a task.
+    """
+
+    @F.pandas_udf("int")
+    def number(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        before = 0
+        for b in batches:
+            ends = before + b.cumsum()
+            yield ((ends - b) // archive_bytes).astype("int32")
+            before = int(ends.iloc[-1]) if len(ends) else before
+
+    return number.asNondeterministic()(length)
+
+
+def write(records: DataFrame, path: str, archive_bytes: int = 32 << 20) -> None:
     """Write records as gzipped WARC 1.1.
 
     ``records`` has record_id, date, page_id, url, record_type, payload_bytes, payload_digest, payload, and for
@@ -51,7 +70,9 @@ def write(records: DataFrame, path: str, archive_bytes: int = 32 << 20, mean_byt
 
     A record is a row of Spark's text writer, whose line end is the empty line that closes a WARC record; so tasks
     commit their archives as they do for any table, to any file system that Spark reaches. ``payload`` is a string
-    or null (a revisit has none). Archives are cut after as many records as make ``archive_bytes`` at the mean size.
+    or null (a revisit has none). A task cuts its archives by running bytes: each holds ``archive_bytes`` before
+    compression and the rest of its last record, so at most twice that unless a record is longer. Columns beyond
+    these are not looked at.
     """
     one_line = lambda c: F.regexp_replace(c, r"[\r\n]+", "%0A")
     line = lambda name, value: F.concat(F.lit(name + ": "), value, F.lit("\r\n"))
@@ -75,33 +96,48 @@ def write(records: DataFrame, path: str, archive_bytes: int = 32 << 20, mean_byt
         line("Content-Type", F.lit("application/http; msgtype=response")),
         F.lit("Content-Length: "), length.cast("string"), F.lit(END), F.lit(HTTP), payload,
     )
-    mean = mean_bytes or 1.0
-    most = max(1, int(archive_bytes / (mean + 600)))
-    records.select(value.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+    texts = records.select(value.alias("value"))
+    cut = texts.withColumn("archive", archive_number(F.octet_length("value").cast("long") + F.lit(len(END)), archive_bytes))
+    # A task's archives come one after another: a few open files spare it a sort of its records, which would spill them.
+    spark, setting = records.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "64")
+    try:
+        cut.write.partitionBy("archive").option("lineSep", END).option("compression", "gzip").text(path)
+    finally:
+        spark.conf.set(setting, before)
 
 
 def _records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and block of each record; lengths come from Content-Length, so a block may hold anything."""
+    """Headers (lower-case names) and block of each record; lengths come from Content-Length, so a block may hold anything.
+
+    An archive is unpacked as it is read, whether it is one gzip member or one a record, so a record at a time is in memory.
+    """
+    file = io.BytesIO(data)
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (at := data.find(b"WARC/1.", at)) >= 0:
-        top = data.index(b"\r\n\r\n", at)
-        lines = data[at:top].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines if ":" in x)}
+        file = io.BufferedReader(gzip.GzipFile(fileobj=file), 1 << 16)
+    while top := file.readline():
+        if not top.startswith(b"WARC/1."):
+            continue
+        headers = {}
+        while (line := file.readline()).strip():
+            name, colon, value = line.decode("utf-8", "replace").partition(":")
+            if colon:
+                headers[name.strip().lower()] = value.strip()
         n = int(headers["content-length"])
-        if top + 4 + n > len(data):
+        block = file.read(n)
+        if len(block) < n or not line:
             raise ValueError("a WARC record is cut short")
-        yield headers, data[top + 4 : top + 4 + n]
-        at = top + 4 + n
+        yield headers, block
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """The records of a folder of archives, gzipped or not, as columns of ``RECORD``.
 
     Payload length and SHA-1 are those of the payload that was read, for a revisit those that its header states; ``content_key`` is the
-    payload's SHA-256. Without ``payloads`` the payload is null. An archive is read whole by one task, so archives
-    should be of some ten MB, as ``write`` makes them. A null or empty folder of archives gives no rows.
+    payload's SHA-256. Without ``payloads`` the payload is null. An archive is one row of a task, unpacked record by
+    record, so archives should be of some ten MB, as ``write`` makes them; a payload of any length is read whole. An
+    empty folder gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,15 +166,14 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     return files.select("content").mapInArrow(run, RECORD)
 
 
-def archived(pages: DataFrame, archive_bytes: int = 32 << 20) -> tuple[str, float]:
-    """Write every row of ``pages`` (page_id, url, html) as a response record; the folder and the mean payload size.
+def archived(pages: DataFrame, archive_bytes: int = 32 << 20) -> str:
+    """Write every row of ``pages`` (page_id, url, html) as a response record; the folder.
 
-    Null html is an empty payload. Rows that repeat get records of their own.
+    Null html is an empty payload, html of any length is one record. Rows that repeat get records of their own, an
+    empty table gives an empty folder, and other columns are not looked at, whatever they are called.
     """
-    spark = pages.sparkSession
+    path = scratch(pages.sparkSession, "warc")
     payload = F.coalesce(F.col("html"), F.lit(""))
-    mean = pages.select(F.avg(F.octet_length(payload)).alias("m")).first()["m"] or 0.0
-    path = scratch(spark, "warc")
     # The place in the table tells rows apart that repeat.
     nth = F.monotonically_increasing_id().cast("string")
     write(
@@ -149,12 +184,12 @@ def archived(pages: DataFrame, archive_bytes: int = 32 << 20) -> tuple[str, floa
             F.lit(None).cast("long").alias("refers_to"), payload.alias("payload"),
             *[F.lit(None).cast("string").alias(c) for c in ("refers_id", "refers_uri", "refers_date")],
         ),
-        path, archive_bytes, mean,
+        path, archive_bytes,
     )
-    return path, mean
+    return path
 
 
-def resolved(spark: SparkSession, path: str, least_bytes: int = 0, archive_bytes: int = 32 << 20, mean_bytes: float = 0.0) -> str:
+def resolved(spark: SparkSession, path: str, least_bytes: int = 0, archive_bytes: int = 32 << 20) -> str:
     """Write the archives of ``path`` anew without repeated payloads; the new folder.
 
     Of records with one payload of at least ``least_bytes`` bytes, the one with the largest page id stays a
@@ -187,5 +222,5 @@ def resolved(spark: SparkSession, path: str, least_bytes: int = 0, archive_bytes
             "record_id": new_id,
         }
     )
-    write(x, to, archive_bytes, mean_bytes)
+    write(x, to, archive_bytes)
     return to

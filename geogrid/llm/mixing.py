@@ -104,22 +104,43 @@ def mixed(
     return x.select("doc_id", "text_hash", "source", "size", "source_size", "target", (upto(last) - upto(last - 1)).cast("int").alias("copies"))
 
 
+def numbered(repeats: DataFrame) -> DataFrame:
+    """``repeats`` with ``__mix_nth``: the rows of each (__mix_id, __mix_hash) from 1, in any order.
+
+    Rows are numbered within the tasks that they are in, after the counts of earlier tasks.
+    """
+    # Stored, so that every use sees the same tasks.
+    x = stored(repeats.withColumn("__mix_part", F.spark_partition_id()), "repeats")
+    key = ["__mix_id", "__mix_hash"]
+    parts = x.groupBy(*key, "__mix_part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(*key).orderBy("__mix_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__mix_before")
+    parts = parts.select(F.col("__mix_id").alias("id"), F.col("__mix_hash").alias("hash"), F.col("__mix_part").alias("part"), before)
+    within = Window.partitionBy(*key, "__mix_part").orderBy(F.xxhash64("__mix_row"))
+    x = x.withColumn("__mix_in", F.row_number().over(within))
+    x = x.join(parts, F.col("__mix_id").eqNullSafe(F.col("id")) & (F.col("__mix_hash") == F.col("hash")) & (F.col("__mix_part") == F.col("part")))
+    return x.withColumn("__mix_nth", F.col("__mix_before") + F.col("__mix_in"))
+
+
 def emit(docs: DataFrame, mix: DataFrame) -> DataFrame:
     """The documents of the mix, each as often as ``mix`` says; columns as in ``docs``.
 
     doc_id is the key of documents. Rows that repeat both id and text share their copies, and it is dealt out which
-    of them have one more, so the mix gets just as many as it says. Null ids and texts are keys like others, an empty
-    table gives no rows, and extra columns are carried along, whatever they are called.
+    of them have one more, so the mix gets just as many as it says: they are numbered within the tasks that they are
+    in, after the counts of earlier tasks, so a row that a third of all rows repeat is in no one task. Null ids and
+    texts are keys like others, an empty table gives no rows, and extra columns are carried along, whatever they are
+    called.
     """
     copies = mix.groupBy(F.col("doc_id").alias("__mix_id"), F.col("text_hash").alias("__mix_hash")).agg(
         F.sum("copies").alias("__mix_copies"), F.count("*").alias("__mix_rows")
     )
+    copies = stored(copies.where("__mix_copies > 0"), "copies")
     rows = docs.select(F.struct(*map(named, docs.columns)).alias("__mix_row"), F.col("doc_id").alias("__mix_doc"), F.xxhash64("text").alias("__mix_of"))
     same = F.col("__mix_doc").eqNullSafe(F.col("__mix_id")) & (F.col("__mix_of") == F.col("__mix_hash"))
-    x = rows.join(copies.where("__mix_copies > 0"), same)
-    single, several = x.where("__mix_rows = 1").withColumn("__mix_nth", F.lit(1)), x.where("__mix_rows > 1")
-    nth = F.row_number().over(Window.partitionBy("__mix_id", "__mix_hash").orderBy(F.xxhash64("__mix_row")))
-    x = single.unionByName(several.withColumn("__mix_nth", nth))
+    x = rows.join(copies.where("__mix_rows = 1"), same).withColumn("__mix_nth", F.lit(1).cast("long"))
+    repeats = copies.where("__mix_rows > 1")
+    if not repeats.isEmpty():
+        x = x.unionByName(numbered(rows.join(repeats, same)).select(x.columns))
     total, n = F.col("__mix_copies"), F.col("__mix_rows")
     own = F.call_function("div", total, n) + (F.col("__mix_nth") <= total % n).cast("int")
     return x.where(own > 0).withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), own))).select("__mix_row.*")

@@ -424,14 +424,18 @@ def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     The row with the smallest id stays, of equal ids that whose text's hash is smallest, a null id only where the
     class has no other; of rows that repeat both id and text one stays. Rows are told apart by text, so a text that
     is like no other stays whatever else its id stands for. Empty and null texts are one class, an empty table gives
-    no rows. Extra columns are carried along, whatever they are called.
+    no rows. Extra columns are carried along, whatever they are called. Rows of one text are dealt over salts by id, and rows that
+    repeat both are combined before they are shuffled, so a text that a third of all rows have is spread.
     """
-    _, own = text_classes(docs, settings)
+    sig, own = text_classes(docs, settings)
     keeper = F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first"), F.col("content"))).alias("k")
     marked = own.join(own.groupBy("class").agg(keeper), "class").withColumn("gone", F.col("content") != F.col("k.content"))
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     marked = marked.where("gone or copies > 1").select("content", "gone", name("first").alias("keep"))
-    rows = docs.select(F.struct(*map(named, docs.columns)).alias("row"), content(F.col("text")).alias("content"), name("doc_id").alias("name"))
-    rows = rows.join(marked, "content", "left").where("keep is null or not gone and keep = name")
+    # A text that many rows have is looked up by each of its salts; what is known of it goes to those that there are.
+    spread = F.pmod(F.xxhash64("doc_id"), F.lit(salts(docs.sparkSession))).cast("int").alias("salt")
+    marked = sig.select("content", spread).distinct().join(marked, "content")
+    rows = docs.select(F.struct(*map(named, docs.columns)).alias("row"), content(F.col("text")).alias("content"), spread, name("doc_id").alias("name"))
+    rows = rows.join(marked, ["content", "salt"], "left").where("keep is null or not gone and keep = name")
     single, several = rows.where("keep is null"), rows.where("keep is not null").dropDuplicates(["content", "name"])
     return single.select("row.*").unionByName(several.select("row.*"))

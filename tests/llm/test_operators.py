@@ -514,6 +514,15 @@ def test_mix(spark, awkward, empty):
     many = spark.createDataFrame([(1, "a b c", "s")] * 9 + [(2, "d", "s")], "doc_id long, text string, source string")
     mix = mixing.mixed(many)
     assert mixing.emit(many, mix).count() == mix.agg(F.sum("copies")).first()[0]
+    # A third of all rows repeat null id and text, in several files: numbered across tasks, each once.
+    hot = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 > 0, F.lit("a b")).alias("text"), F.lit("s").alias("source"), F.col("id").alias("n"))
+    mix = mixing.mixed(hot.repartition(7))
+    out = mixing.emit(hot.repartition(7), mix).collect()
+    assert len(out) == mix.agg(F.sum("copies")).first()[0]
+    nulls, times = mix.where("doc_id is null").agg(F.sum("copies")).first()[0], collections.Counter(r["n"] for r in out if r["doc_id"] is None)
+    assert sum(times.values()) == nulls and set(times.values()) <= {nulls // 1000, nulls // 1000 + 1}
+    rows = hot.select(F.lit(None).cast("long").alias("__mix_id"), F.lit(1).cast("long").alias("__mix_hash"), "n", F.struct("n").alias("__mix_row")).repartition(7)
+    assert sorted(r["__mix_nth"] for r in mixing.numbered(rows).collect()) == list(range(1, 3001))
     assert mixing.mixed(empty).count() == 0
 
 

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``. Where it is unset, a temporary folder is set for it in local mode; on a
+    """A new path below ``spark.checkpoint.dir``, in the folder of the job that ``spark.geogrid.job`` names, if any. Where it is unset, a temporary folder is set for it in local mode; on a
     cluster, whose hosts have different disks, that is an error."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.geogrid.job", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.match(r"local($|\[)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geogrid.llm import exact_dedup, langid, mixing, near_dedup, packing
-from geogrid.llm.common import documents, fresh, stored
+from geogrid.llm.common import delete, documents, fresh, job, scratch
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,8 +78,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the last one's rows."""
-    docs = documents(spark, sf_dir)
+    """All stages over ``documents``; the last one's rows.
+
+    A stage's intermediate tables go once its result is written, and that result once the next stage's is; those of
+    the last stage stay, since its rows are read from them.
+    """
+    docs, last = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        to = scratch(spark, name.replace(" ", "-"))
+        with job(spark, "stage"):
+            found = stage(spark, docs, sf_dir)
+            schema = found.schema
+            found.write.parquet(to)
+        if last:
+            delete(spark, last)
+        docs, last = spark.read.schema(schema).parquet(to), to
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,12 +17,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of ``spark.checkpoint.dir``.
+    """A new path in the shared folder of ``spark.checkpoint.dir``, within a ``job`` in that job's folder.
 
     Where the session names none, a temporary folder is set for it in local mode (tests on one machine); on a
     cluster, whose hosts have different disks, that is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.geogrid.job", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.match(r"local($|\[)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
@@ -39,6 +41,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark reaches; one that is not there is no error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def job(spark: SparkSession, name: str) -> Iterator[None]:
+    """Intermediate tables written within go to one folder, which is deleted at the end, also after an error.
+
+    What is to outlive the job is written, to a path named before, while it lasts: a DataFrame that is read only
+    later would miss its tables.
+    """
+    path, setting = scratch(spark, name), "spark.geogrid.job"
+    outer = spark.conf.get(setting, None)
+    spark.conf.set(setting, path)
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, outer) if outer else spark.conf.unset(setting)
+        delete(spark, path)
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -79,3 +79,22 @@ def test_both_copies_of_the_stores_are_alike():
 
     code = lambda f: [x for x in inspect.getsource(f).split('"""')[2].split() if x]
     assert code(common.scratch) == code(storage.scratch) and code(common.stored) == code(storage.stored)
+
+
+def test_a_job_clears_its_tables(spark):
+    import os
+
+    from geogrid.llm import common
+
+    root = os.path.dirname(common.scratch(spark, "x")).removeprefix("file://")
+    before = set(os.listdir(root))
+    with common.job(spark, "outer"):
+        kept = common.stored(spark.range(3).toDF("a"), "t")
+        with common.job(spark, "inner"):
+            assert common.stored(kept, "u").count() == 3
+        assert kept.count() == 3 and len(set(os.listdir(root)) - before) == 1
+    assert set(os.listdir(root)) == before
+    with pytest.raises(ZeroDivisionError), common.job(spark, "fails"):
+        common.stored(spark.range(2).toDF("a"), "v")
+        1 / 0
+    assert set(os.listdir(root)) == before and spark.conf.get("spark.geogrid.job", None) is None

@@ -17,8 +17,10 @@ from .common import id_schema, named, salts, stored
 from .tokens import slices
 
 BLOCK = 1 << 15
-ROWS = 512  # members of a bucket that are compared with as many others at once
+ROWS = 512  # members of a bucket, or of those with a common rare shingle, that are compared with as many others at once
 BYTES = 4 << 20  # of text, likewise
+BINS = 256  # of a text's weight, by the hash of its shingles
+MANY = 1 / 16  # of a block, from which on bins are looked up
 
 
 @dataclass(frozen=True)
@@ -75,9 +77,17 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return found, docs.count()
 
 
+def rarity(counts: np.ndarray) -> np.ndarray:
+    """The place of each bucket of shingles in the order from rare to frequent, in eighths of a power of two."""
+    return np.minimum(8 * np.log2(1 + counts), 255).astype(np.uint8)
+
+
 def inverse_frequencies(docs: DataFrame, common: float) -> np.ndarray:
     """1 + ln(documents / documents with the bucket), at most 1 - ln(common)."""
-    counts, n = frequencies(docs)
+    return inverse(*frequencies(docs), common)
+
+
+def inverse(counts: np.ndarray, n: int, common: float) -> np.ndarray:
     return (1 + np.log(max(n, 1) / np.clip(counts, max(1, common * n), max(n, 1)))).astype(np.float32)
 
 
@@ -178,70 +188,152 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(kept)
 
 
-def likely_in_homes(members: DataFrame, vertices: DataFrame, least: float) -> DataFrame:
-    """All pairs of different classes that share a bucket and whose samples agree in ``least`` of all places, each once.
+def rare_shingles(texts: DataFrame, idf: np.ndarray, order: np.ndarray, least: float) -> DataFrame:
+    """The rarest shingles of each text (id, class, text), so many that texts alike by ``least`` have one in common.
 
-    ``members`` are (band, key, n, parts, id, class). Everyone has one home, a part of about ROWS members or BYTES of
-    its largest bucket. Two homes that meet in some bucket meet once, in a place g of their own, whatever number of
-    buckets they share, so a bucket of any size is spread, none is left out, and no pair is made twice. Rows are
-    (g, kind, id, pairs): kind 0 names a document of such pairs, kind 1 has the pairs, both sides' 64-bit ids.
+    Two texts of weights W and V have a similarity of ``least`` only if what they share weighs
+    least / (1 + least) * (W + V). Shingles are put in one order, rare ones first. All that two texts share comes at or
+    after the first shingle that they share, so if c of W comes before it, V is at most ``top`` =
+    (1 + least) / least * (W - c) - W, and W is bounded likewise. Shingles whose ``top`` is below least * W can't be the
+    first of any pair. Rows are (s, id, class, weight, top, load, bins); ``load`` is the text's part of a block of ROWS
+    rows and BYTES bytes. ``bins``, in the first row of a text only, are BINS sums of its weights by the shingle's hash,
+    a byte each, in units of the greatest weight of one shingle and rounded up; 255 is that much or more.
     """
-    largest = F.max(F.struct("n", "band", "key", "parts"))
-    homes = members.groupBy("id").agg(largest.alias("h"), F.max("class").alias("class"))
-    home = F.xxhash64("h.band", "h.key", F.pmod(F.xxhash64("id"), F.col("h.parts")))
-    homes = stored(homes.select("id", "class", home.alias("home")), "homes")
-    present = members.select("band", "key", "id").join(homes, "id").groupBy("band", "key", "home").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
-    x = present.select("band", "key", F.col("home").alias("x"), F.col("lo").alias("xl"), F.col("hi").alias("xh"))
-    y = present.select("band", "key", F.col("home").alias("y"), F.col("lo").alias("yl"), F.col("hi").alias("yh"))
-    places = x.join(y, ["band", "key"]).where("x <= y and least(xl, yl) < greatest(xh, yh)").select("x", "y").distinct()
+    spark = texts.sparkSession.sparkContext
+    shared, ranks = spark.broadcast(idf), spark.broadcast(order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", S.CHUNK):
+            h, times, sizes = S.shingled(part.column("text"))
+            w, rank = S.weights(h, times, shared.value), ranks.value[S.bucket(h)]
+            bins = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * BINS + (h % S.U(BINS)).astype(np.int64), w, BINS * len(sizes))
+            bins = np.minimum(np.ceil(bins / shared.value.max() - 1e-9), 255).astype(np.uint8).reshape(-1, BINS)
+            names, tops, totals, first = [], [], [], []
+            for end, n in zip(sizes.cumsum(), sizes, strict=True):
+                own = slice(end - n, end)
+                o = np.lexsort((h[own], rank[own]))
+                total, after = w[own].sum(), w[own][o][::-1].cumsum()[::-1]
+                top = (1 + least) / least * after - total + 1e-9 * total  # sums in another order don't decide
+                k = int((top >= least * total).sum())
+                names.append(h[own][o[:k]])
+                tops.append(top[:k])
+                totals.append(np.full(k, total))
+                first += [bins[len(names) - 1].tobytes(), *[None] * (k - 1)][:k]
+            at = np.repeat(np.arange(len(names)), [len(x) for x in names])
+            load = 1 / ROWS + pa.compute.binary_length(part.column("text")).fill_null(0).to_numpy() / BYTES
+            columns = [np.concatenate(names).view(np.int64), part.column("id").to_numpy()[at], part.column("class").to_numpy()[at]]
+            columns += [np.concatenate(totals), np.concatenate(tops), load[at]]
+            columns = [*map(pa.array, columns), pa.array(first, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["s", "id", "class", "weight", "top", "load", "bins"])
+
+    return texts.select("id", "class", "text").mapInArrow(run, "s long, id long, class long, weight double, top double, load double, bins binary")
+
+
+def meetings(rare: DataFrame) -> DataFrame:
+    """The rows of ``rare_shingles`` that can be of a pair of two classes, at each place g where they meet others: side 0 or 1.
+
+    Of a pair the lighter text is ``wide`` at the first shingle that both have: its ``top`` is at least its own weight.
+    So a shingle counts only where texts of two classes have it, one of them wide, and those that are not wide don't
+    meet each other. A shingle with more than a block's load is cut by class, a class of more than a block into its own
+    parts, which don't meet each other either; two parts meet once, so none is left out. ``many`` tells places of a
+    shingle with more than MANY.
+    """
+    rare = rare.withColumn("wide", F.col("top") >= F.col("weight"))
+    of_class = rare.groupBy("s", "class").agg(F.sum("load").alias("own"), F.max("wide").alias("any"))
+    of_shingle = of_class.groupBy("s").agg(F.sum("own").alias("all"), F.min("class").alias("x"), F.max("class").alias("y"), F.max("any").alias("any"))
+    of_shingle = of_shingle.where("any and x <> y").select("s", "all")
+    large = stored(of_class.where("own > 1").select("s", "class", "own"), "large")
+    parts = F.when(F.col("own").isNotNull(), F.xxhash64("class", F.pmod(F.xxhash64("id"), F.ceil("own")))).otherwise(F.pmod(F.xxhash64("class"), F.ceil("all")))
+    part = F.when(F.col("all") <= 1, F.struct(F.lit(True).alias("wide"), F.lit(0).cast("long").alias("part"))).otherwise(F.struct("wide", parts.alias("part")))
+    rows = rare.join(of_shingle, "s").join(large, ["s", "class"], "left").withColumn("part", part)
+    rows = stored(rows.select("s", "part", "id", "class", "weight", "top", (F.col("all") > 1).alias("cut"), (F.col("all") > MANY).alias("many")), "rare")
+    alone = rows.where("not cut").select(F.col("s").alias("g"), F.lit(0).alias("side"), "id", "class", "weight", "top", "many")
+
+    present = rows.where("cut").groupBy("s", "part").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
+    x = present.select("s", F.col("part").alias("x"), F.col("lo").alias("xl"), F.col("hi").alias("xh"))
+    y = present.select("s", F.col("part").alias("y"), F.col("lo").alias("yl"), F.col("hi").alias("yh"))
+    places = x.join(y, "s").where("x <= y and (x.wide or y.wide) and least(xl, yl) < greatest(xh, yh)")
     sides = F.when(F.col("x") == F.col("y"), F.array("x")).otherwise(F.array("x", "y"))
-    places = places.select(F.xxhash64("x", "y").alias("g"), F.posexplode(sides).alias("side", "home"))
-    m = homes.join(places, "home").join(vertices.select("id", "bands", "samples"), "id").select("g", "side", "id", "class", "bands", "samples")
+    places = places.select("s", F.xxhash64("s", "x", "y").alias("g"), F.posexplode(sides).alias("side", "part"))
+    return alone.unionByName(rows.where("cut").join(places, ["s", "part"]).select("g", "side", "id", "class", "weight", "top", "many"))
+
+
+def within_reach(met: DataFrame, bins: DataFrame, unit: float, least: float) -> DataFrame:
+    """The pairs of ``meetings`` of different classes that are in reach of each other: a, b, and one g of theirs.
+
+    Both weights must be within the other's ``top``. In places of many, what a pair shares weighs at most the sum of the
+    lesser of its ``bins`` (id, bins), of ``unit``: where that is too little for ``least``, so is the similarity.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in runs(batches):
-            g, side, ids, classes = (b.column(c).to_numpy(zero_copy_only=False) for c in ("g", "side", "id", "class"))
-            bands = b.column("bands").flatten().to_numpy().reshape(len(ids), -1)
-            samples = np.frombuffer(b"".join(b.column("samples").to_pylist()), np.uint32).reshape(len(ids), -1)
+            g, side, ids, classes, weight, top = (b.column(c).to_numpy() for c in ("g", "side", "id", "class", "weight", "top"))
+            known = b.column("bins").is_valid().to_numpy(zero_copy_only=False)
+            binned = np.full((len(g), BINS), 255, np.uint8)
+            binned[known] = np.frombuffer(b"".join(b.column("bins").drop_null().to_pylist()), np.uint8).reshape(-1, BINS)
+            full = (binned == 255).any(axis=1)
             edges = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
-            out: list[tuple[int, int, int | None, bytes | None]] = []
             for start, end in zip(edges, edges[1:], strict=False):
-                second = np.flatnonzero(side[start:end]) + start
-                x, y = np.flatnonzero(side[start:end] == 0) + start, second
-                if one := not len(second):
+                x, y = (np.flatnonzero(side[start:end] == k) + start for k in (0, 1))
+                if one := not len(y):
                     y = x
-                lo, hi = [], []
                 for part in np.split(x, range(64, len(x), 64)):
-                    differ = classes[part][:, None] != classes[y][None, :]
-                    if not differ.any():
-                        continue
-                    share, agree = np.zeros(differ.shape, bool), np.zeros(differ.shape, np.int16)
-                    for k in range(bands.shape[1]):
-                        share |= bands[part, k][:, None] == bands[y, k][None, :]
-                    for k in range(samples.shape[1]):
-                        agree += samples[part, k][:, None] == samples[y, k][None, :]
-                    i, j = np.nonzero(differ & share & (agree >= least * samples.shape[1]))
-                    i, j = ids[part[i]], ids[y[j]]
-                    lo.append(i[i < j] if one else i)
-                    hi.append(j[i < j] if one else j)
-                if lo and sum(map(len, lo)):
-                    pairs = np.stack((np.concatenate(lo), np.concatenate(hi)))
-                    out += [(g[start], 0, int(n), None) for n in np.unique(pairs)]
-                    out.append((g[start], 1, None, pairs.tobytes()))
+                    i, j = np.nonzero((classes[part][:, None] != classes[y]) & (weight[part][:, None] <= top[y]) & (weight[y] <= top[part][:, None]))
+                    i, j = part[i], y[j]
+                    enough = least / (1 + least) * (weight[i] + weight[j]) * (1 - 1e-5) / unit  # rounding doesn't decide
+                    ok = (np.minimum(binned[i], binned[j]).sum(axis=1) >= enough) | (full[i] & full[j])
+                    i, j = ids[i[ok]], ids[j[ok]]
+                    if one:
+                        i, j = i[i < j], j[i < j]
+                    if len(i):
+                        columns = [np.minimum(i, j), np.maximum(i, j), np.full(len(i), g[start])]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "g"])
+
+    columns = ["g", "side", "id", "class", "weight", "top", "bins"]
+    many = met.where("many").join(bins, "id").select(columns)
+    few = met.where("not many").withColumn("bins", F.lit(None).cast("binary")).select(columns)
+    found = many.unionByName(few).repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long, g long")
+    return found.groupBy("a", "b").agg(F.min("g").alias("g"))
+
+
+def likely_in_reach(pairs: DataFrame, vertices: DataFrame, least: float) -> DataFrame:
+    """The pairs of ``within_reach`` that share a bucket and whose samples agree in ``least`` of all places, each once.
+
+    Rows are (g, kind, id, pairs): kind 0 names a document of such pairs, kind 1 has the pairs, both sides' 64-bit ids.
+    """
+    for end in ("a", "b"):
+        pairs = pairs.join(vertices.select(F.col("id").alias(end), F.col("bands").alias(f"bands_{end}"), F.col("samples").alias(f"s{end}")), end)
+    pairs = pairs.where(F.arrays_overlap("bands_a", "bands_b")).select("g", "a", "b", "sa", "sb")
+    pairs = pairs.repartition("g").sortWithinPartitions("g")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            if not whole.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(whole.column(c).to_pylist()), np.uint32).reshape(whole.num_rows, -1) for c in ("sa", "sb"))
+            g, a, b = (whole.column(c).to_numpy()[(x == y).mean(axis=1) >= least] for c in ("g", "a", "b"))
+            edges = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+            out: list[tuple[int, int, int | None, bytes | None]] = []
+            for start, end in zip(edges, edges[1:], strict=False):
+                if start < end:
+                    ends = np.stack((a[start:end], b[start:end]))
+                    out += [(g[start], 0, int(n), None) for n in np.unique(ends)]
+                    out.append((g[start], 1, None, ends.tobytes()))
             if out:
                 cols = zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], names=["g", "kind", "id", "pairs"])
 
-    return m.repartition("g").sortWithinPartitions("g").mapInArrow(run, "g long, kind int, id long, pairs binary")
+    return pairs.mapInArrow(run, "g long, kind int, id long, pairs binary")
 
 
 def verified_in_blocks(likely: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
-    """The pairs of ``likely_in_homes`` whose texts have at least this weighted Jaccard similarity: a, b, similarity.
+    """The pairs of ``likely_in_reach`` whose texts have at least this weighted Jaccard similarity: a, b, similarity.
 
     A text goes once to each g, and is cut into shingles once there.
     """
     shared = texts.sparkSession.sparkContext.broadcast(idf)
-    named = likely.where("kind = 0").join(texts, "id").select("g", "kind", "pairs", "id", "text")
+    named = likely.where("kind = 0").select("g", "kind", "id").distinct().withColumn("pairs", F.lit(None).cast("binary"))
+    named = named.join(texts, "id").select("g", "kind", "pairs", "id", "text")
     rows = named.unionByName(likely.where("kind = 1").withColumn("text", F.lit(None).cast("string")))
 
     def compare(known: dict, pairs: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -340,7 +432,8 @@ def merged(classes: DataFrame | None, links: DataFrame) -> DataFrame:
 def text_classes(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, content, salt), and their texts (content, first: smallest id, copies, class, n_links)."""
     spark = docs.sparkSession
-    idf = inverse_frequencies(docs, settings.common)
+    counts, n = frequencies(docs)
+    idf = inverse(counts, n, settings.common)
     # Stored, so the salt of a row is fixed.
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts(spark))).cast("int")
     sig = stored(signatures(docs, idf, settings).withColumn("salt", salt), "signatures")
@@ -371,12 +464,14 @@ def text_classes(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFr
     links = stored(verified_with_leaders(likely, texts, idf, settings.similarity), "verified")
     classes = merged(None, links)
 
-    # All pairs of different classes in the buckets that have several.
+    # All pairs of different classes in the buckets that have several, by the rare shingles that similar texts share.
     left = stored(members.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id")), "members")
-    several = left.groupBy("band", "key").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count("*").alias("n"), F.max("parts").alias("parts")).where("x <> y")
-    several = several.select("band", "key", "n", F.greatest(F.ceil(F.col("n") / ROWS), F.least("parts", "n")).alias("homes"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    left = left.drop("parts").join(several, ["band", "key", "part"]).select("band", "key", "n", F.col("homes").alias("parts"), "id", "class")
-    likely = stored(likely_in_homes(left, vertices, settings.agreement), "likely")
+    several = left.groupBy("band", "key").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.max("parts").alias("parts")).where("x <> y")
+    several = several.select("band", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    left = left.join(several, ["band", "key", "part"]).select("id", "class").distinct()
+    rare = stored(rare_shingles(texts.join(left, "id"), idf, rarity(counts), settings.similarity), "rare")
+    near = within_reach(meetings(rare), rare.where("bins is not null").select("id", "bins"), float(idf.max()), settings.similarity)
+    likely = stored(likely_in_reach(near, vertices, settings.agreement), "likely")
     more = stored(verified_in_blocks(likely, texts, idf, settings.similarity), "verified")
     classes, links = merged(classes, more), links.unionByName(more)
 

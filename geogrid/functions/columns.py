@@ -21,6 +21,13 @@ def near_flag(x: str | Column, limit: float = 2500.0) -> Column:
     return F.coalesce((_c(x) < limit).cast("int"), F.lit(0))
 
 
+def half_away(x: str | Column, digits: int) -> Column:
+    """``x`` rounded to ``digits`` as C and SQL engines do it: scaled, halves away from zero, scaled back. The sign stays,
+    also of a zero, which Spark's decimal rounding loses."""
+    x, scale = _c(x), F.lit(10.0**digits)
+    return F.signum(x) * F.round(F.abs(x) * scale) / scale
+
+
 def exists_at(year: Column, birth: Column, end: Column | None = None, lag: int = 0) -> Column:
     """A town exists in a year if it was founded before it and ended after it; without an end, if founded ``lag`` years before."""
     return (birth < year) & (end > year) if end is not None else birth <= year - lag

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..operators import boosting, clustering, experiments, features, metrics, model_store, models, neighbours, sampling, spatial, timeline
 from ..operators.storage import scratch, stored
 from ..sources import fixtures as X
@@ -97,7 +98,7 @@ SELECT p.id, nth::INT AS nth, list_transform(range(1, len(p.v) + 1), lambda i: r
 FROM p JOIN near ON near.id = p.id AND near.rank = p.pick JOIN m b ON b.id = near.nid""")
 def smp2_smote(spark: SparkSession, d: str) -> DataFrame:
     """As many synthetic rows of the smaller class as balance it."""
-    return sampling.smote(minority(spark, d), "px").select("id", "nth", F.transform("px", lambda v: F.round(v, 5)).alias("px"))
+    return sampling.smote(minority(spark, d), "px").select("id", "nth", F.transform("px", lambda v: C.half_away(v, 5)).alias("px"))
 
 
 @query(f"""WITH x AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS a, (embedding[1]::DOUBLE + embedding[2]::DOUBLE > 0)::INT AS label, vec_id % 23 AS city_id FROM embeddings

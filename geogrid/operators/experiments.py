@@ -2,26 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rng import uniform
+from ..functions.rng import uniform, uniforms
 from . import boosting, metrics, timeline
 from .storage import stored
 
 
-def bits(n: int, holds: Callable[[Column], Column]) -> Column:
-    """``holds(0)`` to ``holds(n - 1)`` as bits of an array of longs, the lowest first."""
-    one = F.lit(1).cast("long")
-
-    def of(first: int) -> Column:
-        each = F.sequence(F.lit(first), F.lit(min(n, first + 64) - 1))
-        return F.aggregate(each, F.lit(0).cast("long"), lambda a, r: a.bitwiseOR(F.when(holds(r), F.call_function("shiftleft", one, r - first)).otherwise(F.lit(0).cast("long"))))
-
-    return F.array(*[of(k) for k in range(0, n, 64)])
+ROWS = 1 << 16  # rows whose numbers are drawn together
 
 
 def bit(x: str | Column, r: Column) -> Column:
@@ -31,39 +24,89 @@ def bit(x: str | Column, r: Column) -> Column:
     return F.call_function("shiftright", long, F.pmod(r, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
 
 
+def _packed(bits: np.ndarray) -> pa.Array:
+    """Rows of bits, a multiple of 64 each, as arrays of longs, the lowest bit first."""
+    longs = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(longs) + 1) * longs.shape[1], pa.int32()), pa.array(longs.reshape(-1)))
+
+
+def _unpacked(column: pa.Array, n: int) -> np.ndarray:
+    longs = column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+    return np.unpackbits(np.ascontiguousarray(longs).view(np.uint8), axis=1, bitorder="little").astype(bool)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at least ``ROWS`` rows, but for the last."""
+    kept: list[pa.RecordBatch] = []
+    for b in batches:
+        kept.append(b)
+        if sum(k.num_rows for k in kept) >= ROWS:
+            yield pa.concat_batches(kept)
+            kept = []
+    if kept and (b := pa.concat_batches(kept)).num_rows:
+        yield b
+
+
 def membership(rows: DataFrame, repeats: int, test: float = 0.2, ratio: float = 0.1, window: str = "start", key: str = "id", group: str = "city_id", label: str = "label") -> DataFrame:
     """Adds ``train`` and ``tested``: in which repeats a row of a window is fitted on, and in which it is scored.
 
     Bit r is of repeat r. In each repeat int(n * test) of the n groups that have a positive row in the window are drawn
     for the test, and all of their rows with them; rows of no group (-1) are drawn one by one. Of both parts all
     positives stay, and so many negatives that there are positives / ratio, by a chance from a hash of window, repeat
-    and key. Rows are not copied for repeats; only groups are ranked and labels are counted repeat by repeat.
+    and key. Rows are not copied for repeats; only groups are ranked and labels are counted repeat by repeat. A row's
+    numbers of all repeats are drawn in batches; rows are dealt over all tasks for it, however few files they are from.
     """
-    name = lambda salt, r: F.concat(F.lit(salt), F.col(window).cast("string"), F.lit("_"), r.cast("string"), F.lit("_"))
+    width = -(-repeats // 64)
+    middles = [f"{r}_" for r in range(repeats)]
+    head = lambda salt: F.concat(F.lit(salt), F.col(window).cast("string"), F.lit("_"))
     some = rows.where((F.col(label) == 1) & (F.col(group) > -1)).select(window, group).distinct()
     each = some.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    order = Window.partitionBy(window, "r").orderBy(uniform(name("group", F.col("r")), group), group)
+    order = Window.partitionBy(window, "r").orderBy(uniform(F.concat(head("group"), F.col("r").cast("string"), F.lit("_")), group), group)
     every = Window.partitionBy(window, "r")
     drawn = each.withColumn("nth", F.row_number().over(order)).withColumn("n", F.count("*").over(every)).where(F.col("nth") <= F.floor(F.col("n") * test))
-    of_group = drawn.groupBy(window, group).agg(F.collect_set("r").alias("rs"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("r", F.lit(64)).cast("int"))
+    of_group = drawn.groupBy(window, group).agg(F.array(*[F.coalesce(F.bit_or(F.when(F.floor(F.col("r") / 64) == k, one)), F.lit(0).cast("long")) for k in range(width)]).alias("__drawn"))
+    none = F.array_repeat(F.lit(0).cast("long"), width)
     x = rows.join(of_group, [window, group], "left")
-    alone = bits(repeats, lambda r: uniform(name("row", r), key) < test)
-    none = F.array_repeat(F.lit(0).cast("long"), -(-repeats // 64))
-    of_town = F.when(F.col("rs").isNotNull(), bits(repeats, lambda r: F.array_contains("rs", r))).otherwise(none)
-    x = stored(x.withColumn("part", F.when(F.col(group) > -1, of_town).otherwise(alone)).drop("rs"), "parts")
+    x = x.withColumn("__alone", ~F.coalesce(F.col(group) > -1, F.lit(False))).withColumn("part", F.when(F.col("__alone"), none).otherwise(F.coalesce("__drawn", none))).drop("__drawn")
+    x = x.withColumn("__head", head("row")).withColumn("__tail", F.col(key).cast("string"))
+    columns = rows.columns
+
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _gathered(batches):
+            part = _unpacked(b.column("part"), b.num_rows)
+            alone = np.flatnonzero(b.column("__alone").to_numpy(zero_copy_only=False))
+            for i, r, u in uniforms(b.column("__head").take(pa.array(alone)), middles, b.column("__tail").take(pa.array(alone))):
+                part[alone[i], r] = u < test
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in columns], _packed(part)], names=[*columns, "part"])
+
+    kinds = lambda df, *more: ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema], *[f"{c} array<bigint>" for c in more]])
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = stored(x.repartition(tasks, window, key).mapInArrow(parted, kinds(rows, "part")), "parts")
 
     r = F.sequence(F.lit(0), F.lit(repeats - 1))
     counts = x.select(window, label, "part", F.explode(r).alias("r")).select(window, "r", bit("part", F.col("r")).alias("test"), (F.col(label) == 1).alias("y"))
     counts = counts.groupBy(window, "r", "test").agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg"))
     chance = F.least(F.lit(1.0), F.coalesce(F.try_divide(F.floor(F.col("pos") / ratio), "neg"), F.lit(0.0)))
-    pick = lambda t: F.map_from_entries(F.collect_list(F.when(F.col("test") == t, F.struct("r", chance.alias("c")))))
-    chances = counts.groupBy(window).agg(pick(True).alias("of_test"), pick(False).alias("of_train"))  # a row for each window
-    x = x.join(chances, window)
-    rate = lambda r: F.when(bit("part", r), F.element_at("of_test", r)).otherwise(F.element_at("of_train", r))
-    stay = bits(repeats, lambda r: (F.col(label) == 1) | (uniform(name("draw", r), key) < rate(r)))
-    x = x.withColumn("stay", stay)
-    x = x.withColumn("tested", F.zip_with("part", "stay", lambda a, b: a.bitwiseAND(b))).withColumn("train", F.zip_with("part", "stay", lambda a, b: F.bitwise_not(a).bitwiseAND(b)))
-    return x.drop("part", "stay", "of_test", "of_train")
+    chances: dict = {}  # two numbers a window and repeat
+    for c in counts.select(window, "r", "test", chance.alias("c")).collect():
+        chances.setdefault(c[window], np.zeros((2, repeats)))[int(c["test"]), c["r"]] = c["c"]
+
+    def stayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _gathered(batches):
+            part = _unpacked(b.column("part"), b.num_rows)
+            positive = b.column("__positive").to_numpy(zero_copy_only=False)
+            stay = np.zeros(part.shape, bool)
+            stay[positive, :repeats] = True
+            others = np.flatnonzero(~positive)
+            starts, which = np.unique(b.column(window).to_numpy(zero_copy_only=False)[others], return_inverse=True)
+            rates = np.array([chances[s] for s in starts.tolist()]).reshape(-1, 2, repeats)
+            for i, r, u in uniforms(b.column("__head").take(pa.array(others)), middles, b.column("__tail").take(pa.array(others))):
+                stay[others[i], r] = u < rates[which[i], part[others[i], r].astype(int), r]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in columns], _packed(part & stay), _packed(~part & stay)], names=[*columns, "tested", "train"])
+
+    x = x.withColumn("__positive", F.coalesce(F.col(label) == 1, F.lit(False))).withColumn("__head", head("draw")).withColumn("__tail", F.col(key).cast("string"))
+    return x.mapInArrow(stayed, kinds(rows, "tested", "train"))
 
 
 def in_windows(cells: DataFrame, windows: DataFrame) -> DataFrame:

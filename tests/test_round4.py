@@ -26,3 +26,34 @@ def test_synthetic_rows_keep_the_sign_of_a_zero(spark, tmp_path):
     c.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
     want = {(i, n): str(px) for i, n, px in c.sql(SQL["smp2_smote"]).fetchall()}
     assert "-0.0" in str(want.values()) and got == want
+
+
+def test_numbers_in_batches_are_those_of_hashes():
+    import hashlib
+
+    import pyarrow as pa
+
+    from geogrid.functions.rng import uniforms
+
+    heads = [f"row{s}_" for s in (-400, 0, 1250)] * 4 + ["x" * 60, "", "ü"]
+    tails = [str(i) for i in (1, 22, 333, 44444)] * 3 + ["y" * 70, "", "é"]
+    middles = ["0_", "17_", ""]
+    got = {(int(i), m): float(x) for rows, m, u in uniforms(pa.array(heads), middles, pa.array(tails)) for i, x in zip(rows, u, strict=True)}
+    assert got == {(i, m): int(hashlib.md5((h + mid + t).encode()).hexdigest()[:8], 16) / 2**32 for i, (h, t) in enumerate(zip(heads, tails, strict=True)) for m, mid in enumerate(middles)}
+
+
+def test_membership_of_one_file_is_drawn_in_many_tasks(spark, tmp_path):
+    from geogrid.operators import experiments
+
+    rows = spark.range(0, 4000, 1, 1).selectExpr("(id % 3 * 50)::int as start", "id", "(case when id % 10 = 0 then id % 7 else -1 end) as city_id", "(id % 10 = 0)::int as label")
+    spark.conf.set("spark.geogrid.job", f"file://{tmp_path}")
+    try:
+        x = experiments.membership(rows, 70, ratio=0.5)
+    finally:
+        spark.conf.unset("spark.geogrid.job")
+    assert len(list(tmp_path.glob("parts-*/part-*.parquet"))) > 1
+    r = F.explode(F.sequence(F.lit(0), F.lit(69))).alias("r")
+    found = x.select("*", r).select("start", "label", "r", experiments.bit("train", F.col("r")).alias("train"), experiments.bit("tested", F.col("r")).alias("tested"))
+    assert found.where("train and tested").count() == 0 and found.where("label = 1 and not train and not tested").count() == 0
+    n = found.where("label = 0").agg(F.avg(F.col("train").cast("int") + F.col("tested").cast("int"))).first()[0]
+    assert abs(n - 2 * 400 / 3600) < 0.01

@@ -14,6 +14,7 @@ from .storage import stored
 
 CELLS = 1 << 19  # (row, fit) pairs that are worked on at once
 FITS = 20  # fits whose sums travel together
+ROWS = 20_000  # rows of a task, where all cores have some: sums are as large for few rows as for many
 
 
 @dataclass(frozen=True)
@@ -60,6 +61,22 @@ class Forest:
             out += self.value[each, t, k - self.feature.shape[2]]
         return out
 
+    def nodes(self, v: np.ndarray, row: np.ndarray, each: np.ndarray, tree: int, levels: int) -> np.ndarray:
+        """The node that each pair of a row and a fit reaches in a tree after some levels."""
+        width = self.feature.shape[2]
+        feature, threshold, k = self.feature[:, tree].reshape(-1), self.threshold[:, tree].reshape(-1), np.zeros(len(row), np.int64)
+        for _ in range(levels):
+            at = each * width + k
+            k = 2 * k + 1 + ~(v[row, feature[at]] <= threshold[at])
+        return k
+
+    def pair_scores(self, v: np.ndarray, row: np.ndarray, each: np.ndarray) -> np.ndarray:
+        """``scores`` of some pairs of a row and a fit only; not for standardised features."""
+        m, first = self.base[each], self.feature.shape[2]
+        for t in range(self.feature.shape[1]):
+            m += self.value[each, t, self.nodes(v, row, each, t, int(np.log2(self.value.shape[2]))) - first]
+        return np.where(self.squared[each], m, 1 / (1 + np.exp(-np.clip(m, -500, 500))))
+
     def scores(self, v: np.ndarray) -> np.ndarray:
         """Probabilities of logistic fits, values of the others."""
         m = self.margins(v)
@@ -89,8 +106,9 @@ class Fits:
         self.squared = np.zeros(self.n, bool) if self.squared is None else np.asarray(self.squared)
         self.positive = np.ones(self.n) if self.positive is None else np.asarray(self.positive, np.float64)
 
-    def read(self, b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(group, v, y, w) of some rows of one group at a time; y and w are (rows, fits)."""
+    def read(self, b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(group, v, row, fit, y, w) of some rows of one group at a time: ``v`` of all of them, and of each pair of a row
+        and a fit that it has a weight in the row's number, the fit, the label and the weight. Pairs without are left out."""
         g = b.column("g").to_numpy()
         v, y, w = (b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(len(g), -1) for c in ("v", "y", "w"))
         cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
@@ -98,11 +116,17 @@ class Fits:
         for start, stop in zip(cuts, cuts[1:], strict=False):
             for at in range(start, stop, step):
                 some = slice(at, min(stop, at + step))
-                weights = np.unpackbits(np.ascontiguousarray(w[some]).view(np.uint8), axis=1, bitorder="little") if self.packed else w[some]
-                weights = weights[:, self.lanes].astype(np.float64)
-                labels = np.broadcast_to(y[some], weights.shape)
-                weights *= np.where(~self.squared & (labels == 1), self.positive, 1)
-                yield int(g[start]), v[some], labels, weights
+                weights = (unpacked(w[some]) if self.packed else w[some])[:, self.lanes]
+                row, each = np.divmod(np.flatnonzero(weights > 0), self.n)
+                labels = y[some][row, each] if y.shape[1] > 1 else y[some][row, 0]
+                weights = weights[row, each].astype(np.float64)
+                weights *= np.where(~self.squared[each] & (labels == 1), self.positive[each], 1)
+                yield int(g[start]), v[some], row, each, labels, weights
+
+
+def unpacked(longs: np.ndarray) -> np.ndarray:
+    """The bits of rows of longs, the lowest first."""
+    return np.unpackbits(np.ascontiguousarray(longs).view(np.uint8), axis=1, bitorder="little")
 
 
 def summed(rows: DataFrame, made, shape: tuple[int, ...], fits: int, finish=None) -> dict[int, np.ndarray]:  # noqa: ANN001
@@ -180,8 +204,8 @@ def fit(rows: DataFrame, fits: Fits) -> dict[int, Forest]:
 
     Each level of the trees of all fits and groups is one scan: a task sums derivatives by (fit, node, feature, bin)
     of its rows, the sums of some fits at a time are added up and their best splits chosen where they meet, and only
-    splits go to the driver. What the rows have reached is worked out from the trees in each scan, so no state is
-    kept between scans, and a lost executor costs its tasks only. Each fit reads its own weight of a row, nothing is
+    splits go to the driver. What the rows have reached is worked out from the trees in each scan, for the fits only that
+    a row has a weight in, so no state is kept between scans, and a lost executor costs its tasks only. Each fit reads its own weight of a row, nothing is
     copied for it. Sums are as large for few rows as for many, so small tables have few tasks.
 
     Missing features (NaN) go right where there is a split. A group or fit without rows, or with one label only, has trees without splits.
@@ -192,7 +216,7 @@ def fit(rows: DataFrame, fits: Fits) -> dict[int, Forest]:
     d, width = len(cuts), s.bins
     cores = rows.sparkSession.sparkContext.defaultParallelism
     total = rows.count()
-    parts = max(1, min(rows.sparkSession.sparkContext.defaultParallelism * 64, total // 250)) if total > 250 * cores else max(1, total // 250)
+    parts = max(1, min(cores * 64, max(min(cores * 2, total // 250), total // ROWS)))
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -207,8 +231,8 @@ def fit(rows: DataFrame, fits: Fits) -> dict[int, Forest]:
     slim = stored(slim, "binned")
 
     def first(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-        for g, _, y, w in fits.read(b):
-            yield g, np.stack((w.sum(0), (w * y).sum(0)), axis=1)
+        for g, _, _, each, y, w in fits.read(b):
+            yield g, np.stack((np.bincount(each, w, n), np.bincount(each, w * y, n)), axis=1)
 
     start = summed(slim, first, (2,), n)
     forests: dict[int, Forest] = {}
@@ -239,26 +263,20 @@ def _level(slim: DataFrame, fits: Fits, forests: dict[int, Forest], cuts: list[n
     parts = count * d * width
 
     def made(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-        for g, v, y, w in fits.read(b):
+        for g, v, row, each, y, w in fits.read(b):
             forest = shared.value[g]
-            row, each = np.arange(len(v))[:, None], np.arange(n)[None, :]
-            m = np.repeat(forest.base[None, :], len(v), axis=0)
-            k = np.zeros(m.shape, np.int64)
-            for tree in range(t + 1):
-                k = np.zeros(m.shape, np.int64)
-                for _ in range(level if tree == t else s.depth):
-                    k = 2 * k + 1 + ~(v[row, forest.feature[each, tree, k]] <= forest.threshold[each, tree, k])
-                if tree < t:
-                    m += forest.value[each, tree, k - forest.feature.shape[2]]
+            m = forest.base[each]
+            for tree in range(t):
+                m += forest.value[each, tree, forest.nodes(v, row, each, tree, s.depth) - forest.feature.shape[2]]
+            k = forest.nodes(v, row, each, t, level)
             p = 1 / (1 + np.exp(-np.clip(m, -500, 500)))
-            slope = w * np.where(fits.squared, y - m, y - p)
-            bend = w * np.where(fits.squared, 1.0, p * (1 - p))
-            some = np.flatnonzero(w.reshape(-1) > 0)
-            base = ((each * count + (k - first)) * width).reshape(-1)[some]
-            slope, bend, at = slope.reshape(-1)[some], bend.reshape(-1)[some], some // n
+            squared = fits.squared[each]
+            slope = w * np.where(squared, y - m, y - p)
+            bend = w * np.where(squared, 1.0, p * (1 - p))
+            base = (each * count + (k - first)) * width
             out = np.zeros((n, count, d, width, 2))
             for j in range(d):
-                key = base + v[at, j]
+                key = base + v[row, j]
                 for i, x in enumerate((slope, bend)):
                     out[:, :, j, :, i] = np.bincount(key, x, n * count * width).reshape(n, count, width)
             yield g, out.reshape(n, parts, 2)
@@ -306,3 +324,30 @@ def score_arrays(rows: DataFrame, forests: dict[int, Forest], keep: tuple[str, .
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
     return rows.select("g", *keep, "v").mapInArrow(run, f"g int, {kinds}, scores array<double>")
+
+
+def score_asked(rows: DataFrame, forests: dict[int, Forest], asked: str, lanes: np.ndarray, keep: tuple[str, ...] = ("id",)) -> DataFrame:
+    """(g, *keep, fit, score) for each row and those fits of its group alone whose bit of ``asked``, longs, is set;
+    ``lanes`` tells each fit's bit. By one scan."""
+    shared = rows.sparkSession.sparkContext.broadcast(forests)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g = b.column("g").to_numpy()
+            v, bits = (b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(len(g), -1) for c in ("v", asked))
+            order = np.argsort(g, kind="stable")
+            cuts = [0, *(np.flatnonzero(np.diff(g[order])) + 1).tolist(), len(g)]
+            for start, stop in zip(cuts, cuts[1:], strict=False):
+                forest = shared.value.get(int(g[order[start]]))
+                step = max(1, CELLS // len(lanes))
+                for at in range(start, stop, step) if forest else ():
+                    some = order[at : min(stop, at + step)]
+                    row, each = np.divmod(np.flatnonzero(unpacked(bits[some])[:, lanes]), len(lanes))
+                    found = forest.pair_scores(v[some], row, each)
+                    from_ = pa.array(some[row])
+                    yield pa.RecordBatch.from_arrays([b.column("g").take(from_), *[b.column(c).take(from_) for c in keep], pa.array(each, pa.int32()), pa.array(found)], names=["g", *keep, "fit", "score"])
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.select("g", *dict.fromkeys([*keep, asked]), "v").mapInArrow(run, f"g int, {kinds}, fit int, score double")

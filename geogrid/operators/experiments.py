@@ -129,18 +129,16 @@ def window_experiment(rows: DataFrame, features: list[str], towns: list[str], re
 
     ``rows`` are (start, id, label, train, tested, *features, *towns), see ``membership``. All windows, repeats and
     both variants are fitted together: one scan a level, a fit reads its repeat's bit of a row. Both variants of a
-    repeat have the same rows. Only rows that a repeat tests are unfolded to be scored.
+    repeat have the same rows. Only those pairs of a row and a fit are worked on that the bits name.
     """
     every = [*features, *towns]
     x = rows.select(F.col("start").cast("int").alias("g"), "id", F.array(*[F.col(c).cast("double") for c in every]).alias("v"), F.array(F.col("label").cast("double")).alias("y"), F.col("train").alias("w"), "tested")
     x = stored(x, "experiment")
     allowed = np.ones((2 * repeats, len(every)), bool)
     allowed[repeats:, len(features) :] = False
-    fits = boosting.Fits(2 * repeats, allowed, np.tile(np.arange(repeats), 2), packed=True, settings=settings)
-    forests = boosting.fit(x, fits)
-    scored = boosting.score_arrays(x, forests, keep=("y", "tested"))
-    asked = F.filter(F.transform("scores", lambda s, i: F.struct(i.alias("fit"), s.alias("score"))), lambda f: bit("tested", f["fit"] % repeats))
-    p = scored.select("g", F.get("y", F.lit(0)).cast("int").alias("label"), F.explode(asked).alias("f")).select("g", "label", "f.fit", "f.score")
+    lanes = np.tile(np.arange(repeats), 2)
+    forests = boosting.fit(x, boosting.Fits(2 * repeats, allowed, lanes, packed=True, settings=settings))
+    p = boosting.score_asked(x, forests, "tested", lanes, keep=("y",)).select("g", F.get("y", F.lit(0)).cast("int").alias("label"), "fit", "score")
     p = stored(p.withColumn("pred", (F.col("score") > 0.5).cast("int")), "scored")
     by = ["g", "fit"]
     r = metrics.rates(metrics.confusion(p, "label", "pred", by=by)).join(metrics.areas(metrics.curve(p, "label", "score", by=by), by), by)

@@ -138,7 +138,9 @@ def _scalers(rows: DataFrame, fits: boosting.Fits, d: int) -> tuple[np.ndarray,
     """Means and population deviations (1 for 0) of the features as each fit weighs the rows."""
 
     def made(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-        for g, v, _, w in fits.read(b):
+        for g, v, row, each, _, weights in fits.read(b):
+            w = np.zeros((len(v), fits.n))
+            w[row, each] = weights
             yield g, np.stack((np.repeat(w.sum(0)[:, None], d, 1), w.T @ v, w.T @ (v * v)), axis=2)
 
     x = boosting.summed(rows, made, (d, 3), fits.n).get(0)

@@ -57,3 +57,25 @@ def test_membership_of_one_file_is_drawn_in_many_tasks(spark, tmp_path):
     assert found.where("train and tested").count() == 0 and found.where("label = 1 and not train and not tested").count() == 0
     n = found.where("label = 0").agg(F.avg(F.col("train").cast("int") + F.col("tested").cast("int"))).first()[0]
     assert abs(n - 2 * 400 / 3600) < 0.01
+
+
+def test_only_asked_pairs_are_scored_and_learnt_from(spark):
+    from geogrid.operators import boosting
+
+    r = np.random.default_rng(5)
+    n, lanes = 300, np.array([0, 65, 65, 3])
+    v, y, g = r.normal(size=(n, 3)).round(3), r.integers(0, 2, n).astype(float), r.integers(0, 2, n) * 7
+    bits = r.random((n, 128)) < 0.1
+    bits[:, 3] = False  # no row has a weight in the last fit
+    longs = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+    df = spark.createDataFrame([(int(g[i]), i, v[i].tolist(), [float(y[i])], longs[i].tolist()) for i in range(n)], "g int, id long, v array<double>, y array<double>, w array<long>").repartition(3)
+    fits = boosting.Fits(4, np.ones((4, 3), bool), lanes, True, settings=boosting.Settings(rounds=2, depth=2, bins=8))
+    batch = df.toArrow().combine_chunks().to_batches()[0]
+    pairs = sum(len(row) for _, _, row, *_ in fits.read(batch))
+    assert pairs == bits[:, lanes].sum() < n  # and so no work is done for the others
+    found = boosting.fit(df, fits)
+    dense = {(x["id"], x["fit"]): x["score"] for x in boosting.score(df, found).collect()}
+    got = {(x["id"], x["fit"]): x["score"] for x in boosting.score_asked(df, found, "w", lanes).collect()}
+    assert got.keys() == {(i, k) for i in range(n) for k, lane in enumerate(lanes) if bits[i, lane]}
+    assert all(abs(dense[k] - x) < 1e-12 for k, x in got.items())
+    assert {k for k, f in found.items() if np.allclose(f.base[3], 0) and (f.value[3] == 0).all()} == {0, 7}

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import stored
 
+BLOCK = 4 << 20  # bytes of a block's vectors
+CELLS = 1 << 20  # distances that are worked out at once
+
 
 def _w(weight: str | None) -> Column:
     return F.col(weight) if weight else F.lit(1)
@@ -109,44 +115,96 @@ def group_attribution(df: DataFrame, groups: dict[str, str], weight: str | None
     return df.groupBy(*by).agg(*[F.try_divide(F.sum(total(c) * w), F.sum(w)).alias(g) for g, c in groups.items()])
 
 
-def silhouette(df: DataFrame, array: str = "px", label: str = "label", key: str = "id", block: int = 256) -> DataFrame:
+def _label_blocks(x: DataFrame, size: int) -> DataFrame:
+    """(block, ids, labels, vs): up to ``size`` rows of (id, label, v) in order of their labels, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        made = TaskContext.get().partitionId() << 32
+
+        def block() -> pa.RecordBatch:
+            nonlocal made
+            b = pa.concat_batches(kept)
+            kept.clear()
+            made += 1
+            packed = [b.column("id").to_numpy().tobytes(), b.column("label").to_numpy().tobytes(), b.column("v").flatten().to_numpy(zero_copy_only=False).tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([made]), *[pa.array([p], pa.binary()) for p in packed]], names=["block", "ids", "labels", "vs"])
+
+        for b in batches:
+            at = 0
+            while at < b.num_rows:
+                to = min(b.num_rows, at + size - sum(k.num_rows for k in kept))
+                kept.append(b.slice(at, to - at))
+                at = to
+                if sum(k.num_rows for k in kept) == size:
+                    yield block()
+        if kept:
+            yield block()
+
+    return x.mapInArrow(run, "block long, ids binary, labels binary, vs binary")
+
+
+def silhouette(df: DataFrame, array: str = "px", label: str = "label", key: str = "id", block: int | None = None) -> DataFrame:
     """(n, silhouette): mean silhouette of a labelling by Euclidean distance, exact.
 
-    Vectors go in blocks of a label; each block of points meets each block of others once, and a distance is summed
-    up by (point, label) inside the pair of blocks, so what is shuffled is one sum for each. All distances are in the
-    definition; ``simplified_silhouette`` grows with the rows only.
+    Rows go in blocks of ``block`` at most (as many as give all cores several pairs of blocks, within ``BLOCK`` bytes),
+    in order of labels. Each pair of blocks is worked on once, for both sides, some rows at a time, so a task holds two
+    blocks and bounded squares of distances; these are summed up by (row, label) inside the pair, so what is shuffled is
+    blocks and one sum for each. All distances are in the definition, so work grows with the square of the rows;
+    ``simplified_silhouette`` grows with the rows only. A row without a label or vector counts 0, and with no other.
     """
-    import numpy as np
-    import pandas as pd
-
-    def sums(it):  # noqa: ANN001, ANN202
-        for pdf in it:
-            out = []
-            for a_ids, a_label, a, b_label, b in zip(pdf.a_ids, pdf.a_label, pdf.a, pdf.b_label, pdf.b, strict=True):
-                a, b = np.stack([np.asarray(v) for v in a]), np.stack([np.asarray(v) for v in b])
-                d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-                s = np.sqrt(np.maximum(d2, 0))
-                s[d2 < 1e-9] = 0
-                out.append(pd.DataFrame({"id": a_ids, "own": a_label, "other": b_label, "s": s.sum(1), "n": len(b)}))
-            if out:
-                yield pd.concat(out)
-
-    x = df.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(array).cast("array<double>").alias("v"))
-    x = x.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-df.count() // block)))))
-    blocks = x.groupBy("label", "g").agg(F.collect_list(F.struct("id", "v")).alias("r"))
-    a = blocks.select(F.lit(1).alias("k"), F.col("label").alias("a_label"), F.col("r.id").alias("a_ids"), F.col("r.v").alias("a"))
-    b = blocks.select(F.lit(1).alias("k"), F.col("label").alias("b_label"), F.col("r.v").alias("b"))
-    fan = 16
-    a = a.withColumn("u", F.pmod(F.xxhash64("a_ids"), F.lit(fan))).withColumn("w", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(fan - 1).cast("long"))))
-    b = b.withColumn("w", F.pmod(F.xxhash64("b"), F.lit(fan))).withColumn("u", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(fan - 1).cast("long"))))
-    pairs = a.join(b, ["u", "w"]).select("a_ids", "a_label", "a", "b_label", "b")
-    d = pairs.mapInPandas(sums, "id long, own int, other int, s double, n long").groupBy("id", "own", "other").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    n = df.count()
+    kind = df.schema[array].dataType.elementType.simpleString()
+    number = np.dtype("float32" if kind == "float" else "float64")
+    x = df.select(F.col(key).cast("long").alias("id"), F.col(label).cast("int").alias("label"), F.col(array).cast("array<float>" if kind == "float" else "array<double>").alias("v"))
+    x = x.where(F.col("label").isNotNull() & F.col("v").isNotNull())
+    width = (x.select(F.size("v").alias("d")).first() or {"d": 1})["d"]
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    block = block or max(1, min(BLOCK // (number.itemsize * max(width, 1)), max(256, -(-n // (2 * cores)))))
+    blocks = stored(_label_blocks(x.repartitionByRange(max(1, -(-n // block)), "label", "id").sortWithinPartitions("label", "id"), block), "blocks")
+
+    def sums(pair: pa.Table) -> pa.Table:
+        sides = {r["side"]: r for r in pair.select(["side", "ids", "labels", "vs"]).to_pylist()}
+        same = 1 not in sides
+        sides = [sides[0], sides.get(1, sides[0])]
+        ids, labels = ([np.frombuffer(r[c], t) for r in sides] for c, t in (("ids", np.int64), ("labels", np.int32)))
+        a, b = (np.frombuffer(r["vs"], number).astype(np.float64).reshape(len(i), -1) for r, i in zip(sides, ids, strict=True))
+        a2, b2 = (a * a).sum(1), (b * b).sum(1)
+        firsts = [np.concatenate(([0], np.flatnonzero(np.diff(x)) + 1)) for x in labels]
+        of_a, of_b = np.zeros((len(a), len(firsts[1]))), np.zeros((len(firsts[0]), len(b)))
+        step = max(1, CELLS // len(b))
+        for start, stop in zip(firsts[0], [*firsts[0][1:], len(a)], strict=True):
+            nth = int(np.searchsorted(firsts[0], start))
+            for at in range(start, stop, step):
+                some = slice(at, min(stop, at + step))
+                norms = a2[some, None] + b2[None, :]
+                s = norms - 2 * a[some] @ b.T
+                i, j = np.nonzero(s <= 1e-5 * norms)  # products have few right digits there
+                for k in range(0, len(i), CELLS // 16):
+                    s[i[k : k + CELLS // 16], j[k : k + CELLS // 16]] = ((a[some][i[k : k + CELLS // 16]] - b[j[k : k + CELLS // 16]]) ** 2).sum(1)
+                np.sqrt(s, out=s)
+                of_a[some] = np.add.reduceat(s, firsts[1], axis=1)
+                of_b[nth] += s.sum(axis=0)
+        parts = []
+        for own, s, other in ((0, of_a, 1), (1, of_b.T, 0))[: 1 if same else 2]:
+            sizes = np.diff([*firsts[other], len(ids[other])])
+            m = len(sizes)
+            parts.append((np.repeat(ids[own], m), np.repeat(labels[own], m), np.tile(labels[other][firsts[other]], len(ids[own])), s.reshape(-1), np.tile(sizes, len(ids[own]))))
+        return pa.table(dict(zip(("id", "own", "other", "s", "n"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+
+    names = blocks.select("block")
+    pairs = names.select(F.col("block").alias("q")).crossJoin(names.select(F.col("block").alias("p"))).where("q <= p")
+    one = lambda side, c: F.struct(F.lit(side).alias("side"), F.col(c).alias("block"))
+    both = F.explode(F.when(F.col("q") == F.col("p"), F.array(one(0, "q"))).otherwise(F.array(one(0, "q"), one(1, "p"))))
+    met = pairs.select("q", "p", both.alias("x")).select("q", "p", "x.side", "x.block").join(blocks, "block")
+    d = met.groupBy("q", "p").applyInArrow(sums, "id long, own int, other int, s double, n long").groupBy("id", "own", "other").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     p = d.groupBy("id", "own").agg(
         F.max(F.when(F.col("own") == F.col("other"), F.try_divide("s", F.col("n") - 1))).alias("a"), F.max(F.when(F.col("own") == F.col("other"), F.col("n"))).alias("size"),
         F.min(F.when(F.col("own") != F.col("other"), F.col("s") / F.col("n"))).alias("b"),
     )
     s = F.when(F.col("size") <= 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    return p.agg(F.count("*").alias("n"), F.avg(s).alias("silhouette"))
+    told = p.select(s.alias("s")).unionByName(df.where(F.col(label).isNull() | F.col(array).isNull()).select(F.lit(0.0).alias("s")))
+    return told.agg(F.count("*").alias("n"), F.avg("s").alias("silhouette"))
 
 
 def simplified_silhouette(df: DataFrame, array: str = "px", label: str = "label") -> DataFrame:

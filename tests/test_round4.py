@@ -79,3 +79,27 @@ def test_only_asked_pairs_are_scored_and_learnt_from(spark):
     assert got.keys() == {(i, k) for i in range(n) for k, lane in enumerate(lanes) if bits[i, lane]}
     assert all(abs(dense[k] - x) < 1e-12 for k, x in got.items())
     assert {k for k, f in found.items() if np.allclose(f.base[3], 0) and (f.value[3] == 0).all()} == {0, 7}
+
+
+def test_silhouette_by_blocks_is_that_of_all_pairs(spark, monkeypatch):
+    from geogrid.operators import metrics
+
+    monkeypatch.setattr(metrics, "CELLS", 64)  # some rows at a time
+    r = np.random.default_rng(6)
+    v = np.concatenate([r.normal(c, 1, (60, 3)) for c in (0, 2, 5)] + [np.full((20, 3), 4.0), 100 + r.normal(0, 1e-6, (40, 3))])  # copies, and vectors much closer than long
+    label = np.concatenate([np.repeat([4, 1, 9], 60), r.integers(0, 2, 20), np.repeat([20, 21], 20)])
+    label[5] = 77  # alone
+    rows = [(i, x.tolist(), int(y)) for i, (x, y) in enumerate(zip(v, label, strict=True))]
+    df = spark.createDataFrame([*rows, (1000, [0.0, 0.0, 0.0], None), (1001, None, 4)], "id long, px array<double>, label int").repartition(5)
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    want = 0.0
+    for i in range(len(v)):
+        own = (label == label[i]) & (np.arange(len(v)) != i)
+        if own.any():
+            a, b = d[i, own].mean(), min(d[i, label == y].mean() for y in set(label) - {label[i]})
+            want += (b - a) / max(a, b) if max(a, b) else 0
+    for block in (None, 16, 1000):
+        got = metrics.silhouette(df, block=block).first()
+        assert got["n"] == len(v) + 2 and abs(got["silhouette"] - want / (len(v) + 2)) < 1e-6
+    few = metrics.silhouette(df.where("id < 0")).first()
+    assert (few["n"], few["silhouette"]) == (0, None)

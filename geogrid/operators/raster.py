@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spatial
+from .spatial import dealt
 from .storage import stored
 
 
@@ -41,13 +42,13 @@ def idw_fill(px: DataFrame, k: int = 5, power: float = 2.0, exact: float = 1e-10
         valid = stored(valid.select(*place, "value"), "valid")
         shared = spatial.knn(gaps, valid.select("row", "col").distinct().withColumn("value", F.lit(None).cast("double")), 2 * k)
         own = valid.select(raster, F.col("row").alias("srow"), F.col("col").alias("scol"), "value")
-        x = gaps.join(shared.drop("value", "rank"), ["row", "col"]).join(own, [raster, "srow", "scol"])
+        x = gaps.join(dealt(shared.drop("value", "rank")), ["row", "col"]).join(dealt(own), [raster, "srow", "scol"])
         nth = F.row_number().over(Window.partitionBy(*place).orderBy("d2", "srow", "scol"))
         x = stored(x.withColumn("rank", nth).where(F.col("rank") <= k).select(*place, "value", "d2"), "near")
         whole = stored(x.groupBy(*place).agg(F.count("*").alias("n")).where(F.col("n") == k).select(*place), "whole")
-        lacking = gaps.join(whole, place, "left_anti")
+        lacking = gaps.join(dealt(whole), place, "left_anti")
         more = spatial.knn(lacking, valid, k, by=(raster,)).select(*place, "value", "d2")
-        near = x.join(whole, place, "left_semi").unionByName(more)
+        near = x.join(dealt(whole), place, "left_semi").unionByName(more)
     d = F.sqrt("d2")
     w = 1 / F.pow(F.greatest(d, F.lit(exact)), F.lit(power))
     hit = F.max(F.when(d < exact, F.col("value")))

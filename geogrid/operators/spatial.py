@@ -204,6 +204,12 @@ def pixels_in_cells(pixels: DataFrame, cells: DataFrame, size: float = 1.0) -> D
     return c.join(p, ["__tx", "__ty"]).where(touch).drop("__tx", "__ty")
 
 
+def dealt(x: DataFrame) -> DataFrame:
+    """One side of a join that is never sent whole to the driver and all tasks. Stored rows and columns of a raster take a
+    few bytes a pixel, so their files seem small enough for it, but in memory they are some 80 times as large."""
+    return x.hint("merge")
+
+
 def knn(targets: DataFrame, sources: DataFrame, k: int = 5, reach: int = 4, by: tuple[str, ...] = ()) -> DataFrame:
     """(*by, row, col, srow, scol, value, d2, rank): the k nearest sources of each target in pixel index space; ties by
     row and column. Targets and sources meet within the same values of ``by`` only, such as a raster's name.
@@ -224,14 +230,14 @@ def knn(targets: DataFrame, sources: DataFrame, k: int = 5, reach: int = 4, by:
         t = t.select(*place, (F.floor(F.col("row") / reach) + F.col("__dy")).alias("__gy"), (F.floor(F.col("col") / reach) + F.col("__dx")).alias("__gx"))
         b = s.withColumn("__gy", F.floor(F.col("srow") / reach)).withColumn("__gx", F.floor(F.col("scol") / reach))
         dr, dc = F.col("row") - F.col("srow"), F.col("col") - F.col("scol")
-        x = t.join(b, [*by, "__gy", "__gx"]).select(*place, "srow", "scol", "value", (dr * dr + dc * dc).cast("double").alias("d2"))
+        x = t.join(dealt(b), [*by, "__gy", "__gx"]).select(*place, "srow", "scol", "value", (dr * dr + dc * dc).cast("double").alias("d2"))
         x = x.withColumn("rank", F.row_number().over(Window.partitionBy(*place).orderBy("d2", "srow", "scol"))).where(F.col("rank") <= k)
         x = stored(x, "knn")
         last = reach > span + most
         if not last:
             done = x.groupBy(*place).agg(F.count("*").alias("n"), F.max("d2").alias("m")).where((F.col("n") == k) & (F.col("m") <= float(reach * reach)))
             done = stored(done.select(*place), "done")
-            x, todo = x.join(done, place, "left_semi"), stored(todo.join(done, place, "left_anti"), "todo")
+            x, todo = x.join(dealt(done), place, "left_semi"), stored(todo.join(dealt(done), place, "left_anti"), "todo")
         found = x if found is None else found.unionByName(x)
         if last or todo.isEmpty():
             return found

@@ -103,3 +103,15 @@ def test_silhouette_by_blocks_is_that_of_all_pairs(spark, monkeypatch):
         assert got["n"] == len(v) + 2 and abs(got["silhouette"] - want / (len(v) + 2)) < 1e-6
     few = metrics.silhouette(df.where("id < 0")).first()
     assert (few["n"], few["silhouette"]) == (0, None)
+
+
+def test_gap_filling_sends_no_pixels_to_the_driver(spark):
+    from geogrid.operators import raster, spatial
+
+    px = spark.range(1200).selectExpr("if(id % 2 = 0, 'a', 'b') as name", "(id div 20)::int as row", "(id % 20)::int as col", "(id % 9)::double as value", "(id % 7 = 0 or id between 300 and 520) as gap")
+    plan = lambda df: df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    filled = raster.idw_fill(px, k=3, raster="name")
+    found = spatial.knn(px.where("gap"), px.where("not gap"), 3, reach=2, by=("name",))
+    assert filled.count() == found.select("name", "row", "col").distinct().count() == px.where("gap").count()
+    for df in (filled, found):
+        assert "Join" in plan(df) and "Broadcast" not in plan(df)

@@ -115,3 +115,23 @@ def test_gap_filling_sends_no_pixels_to_the_driver(spark):
     assert filled.count() == found.select("name", "row", "col").distinct().count() == px.where("gap").count()
     for df in (filled, found):
         assert "Join" in plan(df) and "Broadcast" not in plan(df)
+
+
+def test_a_step_adds_up_the_same_rows_as_the_last_scan(spark):
+    from geogrid.operators import clustering
+
+    r = np.random.default_rng(7)
+    v = r.normal(size=(500, 6)).round(2)
+    for k in (1, 2, 9, 300):
+        c = r.normal(size=(4, k, 6)).round(2)
+        c[0, -1] = c[0, 0]  # the first of equally near centres has the rows
+        c[1, : min(k, 5)] = v[: min(k, 5)]
+        full, step = np.zeros((4, k, 9)), np.zeros((4, k, 7))
+        clustering._add(full, c, v)
+        clustering._add_sums(step, clustering._turned(c), v[:300])
+        clustering._add_sums(step, clustering._turned(c), v[300:])
+        assert np.allclose(step, full[:, :, :7], atol=1e-9) and (step[:, :, 6].sum(1) == 500).all()
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, px array<double>")
+    fits = clustering.Fits(df, "px", [(3, 0), (3, 1)])
+    assert {k: x.shape for k, x in fits._scan(fits.centres, told=False).items()} == {3: (2, 3, 7)}
+    assert fits.rows.rdd.getNumPartitions() <= 2
